@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from siteloom import vocabulary as v
 from siteloom.functions import predicates as p
 from siteloom.functions import scalars as s
+from siteloom.operators.budget import AMOUNTS
 from siteloom.operators.counts import SITE
 from siteloom.operators.numbering import dense_ids, next_id
 from siteloom.schema import REQUIRED_TEXT, conform, with_defaults
@@ -22,6 +23,7 @@ from siteloom.schema import REQUIRED_TEXT, conform, with_defaults
 CLOSED_STATES = {"attivita": v.TASK_DONE, "ticket": v.TICKET_CLOSED}
 TASK_FIELDS = ["stato", "priorita", "percentuale", "note"]
 TICKET_FIELDS = ["stato", "priorita", "responsabile", "impatto"]
+SALTS = 16
 
 
 # --- inserts ---------------------------------------------------------------
@@ -99,26 +101,38 @@ def _fold_state_changes(changes: DataFrame, table: str, fields: list[str]) -> Da
     """Per id: the last values, whether a reopening happened, and when the final closing began.
 
     Applying the changes one after the other stamps the first closing after the
-    last reopening. Step one finds the last values and the last reopening per
-    id; step two the earliest closing after it.
+    last reopening. One aggregation finds the last values, the first closing and
+    the last reopening. Only ids that were reopened need their closings once
+    more; those meet in ``SALTS`` parts per id, so one busy id fills no task.
     """
     moment = F.struct("ts", "seq")
     closed = F.coalesce(F.col("stato").isin(*CLOSED_STATES[table]), F.lit(False))
     last = changes.groupBy("id").agg(
         F.max_by(F.struct(*fields), moment).alias("_new"),
         F.max(F.when(~closed, moment)).alias("_reopened"),
+        F.min(F.when(closed, F.col("ts"))).alias("_first_closed"),
     )
-    after = F.col("_reopened").isNull() | (F.struct("ts", "seq") > F.col("_reopened"))
-    began = (
+    reopened = last.where(F.col("_reopened").isNotNull()).select(
+        "id", "_reopened", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    )
+    after = (
         changes.where(closed)
-        .select("id", "ts", "seq")
-        .join(last.select("id", "_reopened"), "id")
-        .where(after)
+        .select("id", moment.alias("_at"), F.pmod(F.hash("ts", "seq"), F.lit(SALTS)).alias("_salt"))
+        .join(reopened, ["id", "_salt"])
+        .where(F.col("_at") > F.col("_reopened"))
+    )
+    began = (
+        after.groupBy("id", "_salt")
+        .agg(F.min("_at.ts").alias("_ts"))
         .groupBy("id")
-        .agg(F.min("ts").alias("_closed_at"))
+        .agg(F.min("_ts").alias("_closed_again"))
     )
+    was_open = F.col("_reopened").isNotNull()
     return last.join(began, "id", "left").select(
-        "id", "_new", F.col("_reopened").isNotNull().alias("_was_open"), "_closed_at"
+        "id",
+        "_new",
+        was_open.alias("_was_open"),
+        F.when(was_open, F.col("_closed_again")).otherwise(F.col("_first_closed")).alias("_closed_at"),
     )
 
 
@@ -160,13 +174,11 @@ def apply_quick_task_updates(tasks: DataFrame, updates: DataFrame) -> DataFrame:
     At most one quick update per task and batch, as for a merge: a second one
     stops the job instead of being lost.
     """
-    once = updates.groupBy("id").agg(
-        F.count(F.lit(1)).alias("_times"), F.any_value(F.struct("ts", "stato", "priorita", "percentuale", "nota")).alias("_u")
-    )
+    typed = F.struct("ts", "stato", "priorita", "percentuale", "nota")
+    once = updates.groupBy("id").agg(F.count(F.lit(1)).alias("_times"), F.any_value(typed).alias("_u"))
+    complaint = F.concat(F.lit("more than one quick update for task "), F.col("id").cast("string"))
     checked = once.where(
-        F.when(F.col("_times") == 1, F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit("more than one quick update for task "), F.col("id").cast("string"))).cast("boolean")
-        )
+        F.when(F.col("_times") == 1, F.lit(True)).otherwise(F.raise_error(complaint).cast("boolean"))
     )
     changed = F.col("_u").isNotNull()
     fresh = {
@@ -224,22 +236,26 @@ def apply_cascade(tickets: DataFrame, notices: DataFrame, replies: DataFrame) ->
 def upsert_budgets(existing: DataFrame, changes: DataFrame) -> DataFrame:
     """Insert or replace by site; the latest row wins and nulls in amounts become 0.
 
-    A site that already has a row keeps its id; a new one takes the site id.
+    A site that already has a row keeps its id; new ones take the next free ids.
     """
     incoming = changes.select(
         SITE,
-        *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("budget_iniziale", "costo_effettivo", "extra_approvati")],
+        *[F.coalesce(F.col(name), F.lit(0.0)).alias(name) for name in AMOUNTS],
         "note_budget",
         "updated_at",
         F.lit(1).alias("_new"),
         F.lit(None).cast("bigint").alias("id"),
     )
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming)
-    values = ["budget_iniziale", "costo_effettivo", "extra_approvati", "note_budget", "updated_at"]
-    merged = both.groupBy(SITE).agg(
-        F.max("id").alias("id"), F.max_by(F.struct(*values), F.struct("_new", "updated_at")).alias("_last")
+    values = F.struct(*AMOUNTS, "note_budget", "updated_at")
+    merged = (
+        both.groupBy(SITE)
+        .agg(F.max("id").alias("id"), F.max_by(values, F.struct("_new", "updated_at")).alias("_last"))
+        .select("id", SITE, "_last.*")
     )
-    return conform(merged.select(F.coalesce("id", SITE).alias("id"), SITE, "_last.*"), "budget_cantiere")
+    fresh = dense_ids(merged.where(F.col("id").isNull()).drop("id"), SITE, next_id(existing))
+    kept = merged.where(F.col("id").isNotNull())
+    return conform(kept.unionByName(fresh), "budget_cantiere")
 
 
 def form_state(col: Column, words: list[str]) -> Column:

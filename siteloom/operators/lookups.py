@@ -80,13 +80,14 @@ def contact_index(names: DataFrame, crews: DataFrame, name_col: str = "nome_cerc
     lengths = (
         names.select(F.length(F.lower(F.col(name_col))).alias("_n")).where(F.col("_n") > 0).distinct()
     )
+    # at most one row per character of the longest wanted name, so it can be broadcast
     active = crews.where(p.crew_active(F.col("attivo")) & F.col("nome").isNotNull()).select(
         "id", "telefono", F.lower(F.col("nome")).alias("_name")
     )
     by_length = active.where(F.length("_name") > 0).select(
         "*", F.explode(F.sequence(F.lit(1), F.length("_name"))).alias("_n")
     )
-    pieces = by_length.join(lengths, "_n").select(
+    pieces = by_length.join(F.broadcast(lengths), "_n").select(
         "id",
         "telefono",
         "_name",

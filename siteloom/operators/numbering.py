@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dense_ids(batch: DataFrame, order: str, first: int, slices: int = 64, id_col: str = "id") -> DataFrame:
+def dense_ids(batch: DataFrame, order: str, first: int, slices: int | None = None, id_col: str = "id") -> DataFrame:
     """Number the rows ``first``, ``first + 1``, … in the order of a unique numeric column.
 
     The order column is cut into slices at approximate quantiles. Counting per
     slice gives every slice its starting number, and rows are numbered inside
     their slice. Where the cuts fall only affects balance, never the numbers.
-    Beyond the batch itself only ``slices`` numbers and counts are handled.
+    Beyond the batch itself only ``slices`` numbers and counts are handled, by
+    default as many as there are shuffle partitions.
     """
+    slices = slices or max(8, int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / slices for i in range(1, slices)]
     bounds = batch.agg(F.percentile_approx(order, shares, 10000)).first()[0] or []
     cuts = F.lit(sorted(set(bounds))) if bounds else F.array().cast("array<bigint>")
