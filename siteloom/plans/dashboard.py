@@ -20,11 +20,15 @@ TICKET_COLUMNS = ["id", "cantiere", "tipo", "titolo", "responsabile", "priorita"
 
 def scoped(tables: SiteTables, site_id: int | None) -> SiteTables:
     """The tables of one site, or of all; the filter reaches the file scans."""
-    parts = {
-        name: counts.in_scope(df, site_id, "id" if name == "cantieri" else counts.SITE) if name != "artigiani" else df
-        for name, df in tables.items()
-    }
-    return SiteTables(**parts)
+    if site_id is None:
+        return tables
+    key = {"cantieri": "id"}
+    return SiteTables(
+        **{
+            name: counts.in_scope(df, site_id, key.get(name, counts.SITE)) if name != "artigiani" else df
+            for name, df in tables.items()
+        }
+    )
 
 
 def site_rows(tables: SiteTables, as_of: dt.date) -> DataFrame:

@@ -6,7 +6,7 @@ lists sort on the raw text; the parsed date is only used to find overdue rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,23 +109,32 @@ PURGE_ORDER = [
 ]
 
 
-@dataclass(frozen=True)
 class SiteTables:
-    """One handle on the seven tables."""
+    """One handle on the seven tables, as attributes.
 
-    cantieri: DataFrame
-    artigiani: DataFrame
-    attivita: DataFrame
-    ticket: DataFrame
-    aggiornamenti: DataFrame
-    budget_cantiere: DataFrame
-    notifiche: DataFrame
+    A table may be given as a function; it is called when the table is first used.
+    """
 
-    def items(self) -> list[tuple[str, DataFrame]]:
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+    NAMES = tuple(SCHEMAS)
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
+        if set(tables) != set(self.NAMES):
+            raise ValueError(f"expected the tables {', '.join(self.NAMES)}")
+        self._tables = tables
 
     def __getitem__(self, name: str) -> DataFrame:
-        return getattr(self, name)
+        table = self._tables[name]
+        if not isinstance(table, DataFrame):
+            table = self._tables[name] = table()
+        return table
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in type(self).NAMES:
+            return self[name]
+        raise AttributeError(name)
+
+    def items(self) -> list[tuple[str, DataFrame]]:
+        return [(name, self[name]) for name in self.NAMES]
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:

@@ -21,7 +21,7 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def read_tables(spark: SparkSession, root: str) -> SiteTables:
-    return SiteTables(**{name: read_table(spark, root, name) for name in SiteTables.__dataclass_fields__})
+    return SiteTables(**{name: read_table(spark, root, name) for name in SiteTables.NAMES})
 
 
 def row_counts(tables: SiteTables) -> DataFrame:
@@ -75,13 +75,14 @@ def export_csv(tables: SiteTables, root: str) -> None:
     """One CSV folder per table, header in every part file, no index column.
 
     Quotes inside a value are doubled and line breaks stay inside their quotes.
+    A null and an empty text are both written as nothing between two commas.
     The parts carry no byte-order mark: parts are meant to be read together.
     """
     for name, df in tables.items():
         (
             conform(df, name)
             .write.mode("errorifexists")
-            .options(header=True, quote='"', escape='"', encoding="UTF-8", emptyValue='""', nullValue="")
+            .options(header=True, quote='"', escape='"', encoding="UTF-8", emptyValue="", nullValue="")
             .csv(f"{root}/{name}.csv")
         )
 

@@ -8,6 +8,7 @@ name of a zone-less timestamp.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -144,4 +145,4 @@ class StarSchema:
         return self._view("messaggi").select(*MESSAGE_SCHEMA.names)
 
     def tables(self) -> SiteTables:
-        return SiteTables(**{name: self.table(name) for name in SiteTables.__dataclass_fields__})
+        return SiteTables(**{name: partial(self.table, name) for name in SiteTables.NAMES})

@@ -37,28 +37,32 @@ def read_epochs(spark: SparkSession, root: str, schema: StructType | None = None
 
 # --- messages to tickets ---------------------------------------------------
 def messages_to_tickets(
-    messages: DataFrame, tickets_out: str, updates_out: str, checkpoint: str, as_of: dt.date, late: str = "2 days"
+    messages: DataFrame, tickets_out: str, updates_out: str, checkpoint: str, as_of: dt.date
 ) -> StreamingQuery:
     """Triage a message stream into a ticket sink and a field-update sink.
 
-    A message that is delivered again within ``late`` of its first delivery is
-    dropped; the state for that is bounded by the watermark.
+    The stream keeps no state and drops no late message. Copies of a message
+    are removed inside a batch here, and across batches by ``once_per_message``.
     """
-    once = messages.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["id"])
 
     def write(batch: DataFrame, epoch: int) -> None:
-        sorted_out = triage(batch)
+        sorted_out = triage(batch.dropDuplicates(["id"]))
         _write_epoch(ticket_batch(sorted_out, as_of), tickets_out, epoch)
         _write_epoch(update_batch(sorted_out), updates_out, epoch)
 
     return (
-        once.writeStream.foreachBatch(write)
+        messages.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def once_per_message(rows: DataFrame) -> DataFrame:
+    """Rows of a sink without those of messages that were delivered again."""
+    return rows.drop(EPOCH).dropDuplicates(["messaggio_id"])
+
+
 # --- running notice counts -------------------------------------------------
 def running_latest_notices(notices: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Keep the last notice and the count per ticket; each batch writes the tickets it changed."""
