@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from siteloom.sources.star_schema import SPARK_WORDS
+
 SETS: dict[str, tuple[str, str]] = {
     # up to three full-form updates per task
     "task_changes": (
@@ -15,7 +17,7 @@ SELECT a.id AS id, k.k AS seq,
        CASE (a.id + k.k) % 4 WHEN 0 THEN 'Bassa' WHEN 1 THEN 'Media' WHEN 2 THEN 'Alta' ELSE 'Critica' END AS priorita,
        CAST((a.id * k.k) % 140 - 10 AS BIGINT) AS percentuale,
        CASE WHEN (a.id + k.k) % 6 = 0 THEN NULL ELSE 'rev ' || CAST(k.k AS STRING) END AS note
-FROM attivita a JOIN (VALUES (1), (2), (3)) AS k(k) ON k.k <= a.id % 4""",
+FROM attivita a {repeat}a.id % 4{end}""",
     ),
     # up to four updates per ticket, closing and reopening
     "ticket_changes": (
@@ -27,7 +29,7 @@ SELECT t.id AS id, k.k AS seq,
        CASE (t.id + k.k) % 4 WHEN 0 THEN 'Bassa' WHEN 1 THEN 'Media' WHEN 2 THEN 'Alta' ELSE 'Critica' END AS priorita,
        CASE WHEN (t.id + k.k) % 5 = 0 THEN NULL ELSE 'Owner ' || CAST(k.k AS STRING) END AS responsabile,
        'impact ' || CAST(k.k AS STRING) AS impatto
-FROM ticket t JOIN (VALUES (1), (2), (3), (4)) AS k(k) ON k.k <= t.id % 5""",
+FROM ticket t {repeat}t.id % 5{end}""",
     ),
     # one quick update per task, some with a blank note
     "quick_updates": (
@@ -60,7 +62,7 @@ SELECT c.id AS cantiere_id,
        CASE WHEN c.id % 4 = 1 THEN NULL ELSE CAST(k.k * 100 AS DOUBLE) END AS extra_approvati,
        'revision ' || CAST(k.k AS STRING) AS note_budget,
        CAST(CASE k.k WHEN 1 THEN '2024-01-10 08:00:00' ELSE '2024-01-12 08:00:00' END AS {ts}) AS updated_at
-FROM cantieri c JOIN (VALUES (1), (2)) AS k(k) ON k.k <= 1 + c.id % 2""",
+FROM cantieri c {repeat}1 + c.id % 2{end}""",
     ),
     # each site asks for one template; some ask for one that does not exist
     "template_requests": (
@@ -76,5 +78,5 @@ FROM cantieri c""",
 
 def change_set(name: str, source: DataFrame) -> DataFrame:
     table, sql = SETS[name]
-    statement = sql.format(ts="TIMESTAMP_NTZ").replace(f"FROM {table} ", f"FROM {{{table}}} ")
+    statement = sql.format(**SPARK_WORDS).replace(f"FROM {table} ", f"FROM {{{table}}} ")
     return source.sparkSession.sql(statement, **{table: source})

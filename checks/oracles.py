@@ -95,9 +95,14 @@ K_DECISION = f"{K_LENIENT} AND tipo = 'Richiesta decisione'"
 K_CONFIRM = f"{K_LENIENT} AND tipo IN ('Richiesta decisione', 'Richiesta materiale')"
 K_CLIENT = f"{K_STRICT} AND tipo IN ('Richiesta decisione', 'Richiesta materiale', 'Extra lavoro')"
 
+WORDS = {
+    "ts": "TIMESTAMP",
+    "repeat": "JOIN LATERAL (SELECT unnest([1, 2, 3, 4][1:CAST(",
+    "end": " AS INT)]) AS k) k ON true",
+}
 SHARED: dict[str, str] = {
-    **{name: sql.format(ts="TIMESTAMP") for name, sql in VIEW_SQL.items()},
-    **{name: sql.format(ts="TIMESTAMP") for name, (_, sql) in SETS.items()},
+    **{name: sql.format(**WORDS) for name, sql in VIEW_SQL.items()},
+    **{name: sql.format(**WORDS) for name, (_, sql) in SETS.items()},
     "templates": f"SELECT * FROM (VALUES {TEMPLATE_ROWS}) AS v(posto, template, fase, titolo, descrizione, ruolo, priorita, giorno)",
     "task_facts": f"""
 SELECT cantiere_id, count(*) AS totale, count(*) FILTER (WHERE stato IN {DONE}) AS completate,

@@ -399,14 +399,14 @@ def a10_foreman_kpis(t: SiteTables) -> DataFrame:
 
 @tables_query
 def a11_report_counters(t: SiteTables) -> DataFrame:
-    return site_facts(t, AS_OF).select(
+    return site_facts(t, AS_OF, budget=False).select(
         F.col("id").alias(SITE), "ticket_aperti", F.col("operativi").alias("blocchi_rischi"), "attivita_bloccate"
     )
 
 
 @tables_query
 def a12_points_to_confirm(t: SiteTables) -> DataFrame:
-    return site_facts(t, AS_OF).select(F.col("id").alias(SITE), F.col("punti_cliente").alias("punti_da_confermare"))
+    return site_facts(t, AS_OF, budget=False).select(F.col("id").alias(SITE), F.col("punti_cliente").alias("punti_da_confermare"))
 
 
 @tables_query
@@ -480,7 +480,7 @@ def l11_bounded_bullets(t: SiteTables) -> DataFrame:
 
 # --- scalar functions ------------------------------------------------------
 def _sites(t: SiteTables) -> DataFrame:
-    return site_facts(t, AS_OF).withColumnRenamed("id", SITE)
+    return site_facts(t, AS_OF, budget=False).withColumnRenamed("id", SITE)
 
 
 @tables_query
@@ -662,7 +662,7 @@ def m26_colours(t: SiteTables) -> DataFrame:
         F.lit("ticket").alias("tabella"), "id", s.priority_colour(F.col("priorita")).alias("colore"),
         s.card_class(F.col("priorita")).alias("classe"),
     )
-    sites = site_facts(t, AS_OF).select(
+    sites = site_facts(t, AS_OF, budget=False).select(
         F.lit("cantieri").alias("tabella"), "id", s.risk_colour(F.col("livello")).alias("colore"), F.lit("").alias("classe")
     )
     return tickets.unionByName(sites)

@@ -22,17 +22,11 @@ def _status(position: int) -> Column:
 
 
 def with_budget_figures(rows: DataFrame) -> DataFrame:
-    """Add total, variance, percent used and status to rows that hold the three amounts."""
+    """Add total, variance, percent used and status to the rows of ``site_budgets``."""
     budget = F.col("budget_iniziale")
-    filled = rows.withColumns(
-        {
-            **{name: F.coalesce(F.col(name), F.lit(0.0)) for name in AMOUNTS},
-            "note_budget": F.coalesce(F.col("note_budget"), F.lit("")),
-        }
-    )
     used = s.half_even_percent(F.col("totale_aggiornato"), budget)
     return (
-        filled.withColumn("totale_aggiornato", F.col("costo_effettivo") + F.col("extra_approvati"))
+        rows.withColumn("totale_aggiornato", F.col("costo_effettivo") + F.col("extra_approvati"))
         .withColumns(
             {
                 # without a budget the whole total is variance

@@ -76,14 +76,14 @@ def notice_counts(notices: DataFrame) -> DataFrame:
 def attach(sites: DataFrame, *aggregates: DataFrame) -> DataFrame:
     """Left-join per-site aggregates; a site missing from one gets zeros.
 
-    All sides are unique on the site and partitioned on it by their own
-    aggregation, so the joins add no shuffle for them and cannot fan out.
+    All sides are unique on the site and the aggregates are already partitioned
+    on it, so the chain of joins shuffles only the sites and cannot fan out.
     """
-    joined = sites.withColumn(SITE, F.col("id"))
+    joined = sites
     for part in aggregates:
         numbers = [name for name in part.columns if name != SITE]
-        joined = joined.join(part, SITE, "left").fillna(0, subset=numbers)
-    return joined.drop(SITE)
+        joined = joined.join(part.withColumnRenamed(SITE, "id"), "id", "left").fillna(0, subset=numbers)
+    return joined
 
 
 def percent_done(total: Column, percent_sum: Column) -> Column:

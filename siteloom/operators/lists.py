@@ -78,13 +78,19 @@ def section_lists(
 ) -> DataFrame:
     """Per site, one array of at most k lines for each section.
 
-    A row may belong to several sections. All sections share one shuffle: rows
-    are tagged, cut to k per site and section, and only then collected, so no
-    array holds more than k lines.
+    A row may belong to several sections. All sections share one pass: rows are
+    tagged, cut to k per site and section, and only then collected, so no array
+    holds more than k lines.
     """
-    labels = F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in sections.items()]))
-    tagged = rows.select("*", line.alias("riga"), F.explode(labels).alias("sezione"))
-    first = top_per_group(tagged, [SITE, "sezione"], order, k)
+    if len(sections) == 1:
+        # the site alone is the key of both the cut and the collection: one shuffle for both
+        ((name, flag),) = sections.items()
+        tagged = rows.where(flag).select("*", line.alias("riga"), F.lit(name).alias("sezione"))
+        first = top_per_site(tagged, order, k)
+    else:
+        labels = F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in sections.items()]))
+        tagged = rows.select("*", line.alias("riga"), F.explode(labels).alias("sezione"))
+        first = top_per_group(tagged, [SITE, "sezione"], order, k)
     return first.groupBy(SITE).agg(
         *[
             F.transform(

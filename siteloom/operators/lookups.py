@@ -68,43 +68,39 @@ def tickets_with_latest_notice(tickets: DataFrame, notices: DataFrame) -> DataFr
     return open_rows.select(SITE, "id", *TICKET_VIEW, "descrizione").join(latest, [SITE, "id"], "left")
 
 
-def contact_index(names: DataFrame, crews: DataFrame, name_col: str = "nome_cercato") -> DataFrame:
-    """Wanted key (lower case) to phone, for every substring a wanted name can match.
+def contact_index(names: DataFrame, crews: DataFrame, name_col: str) -> DataFrame:
+    """Phone for every wanted name that finds a crew: (_key, telefono), key in lower case.
 
     A wanted name matches a crew whose name equals it, else one whose name
-    contains it; the lowest id wins. "Contains" is an equality with one of the
-    crew name's substrings, so this is a hash aggregation with partial
-    aggregation and needs no pair of names. Only lengths that occur among
-    the wanted names are cut out, and one text is cut at a time.
+    contains it; the lowest id wins. "Contains" means equality with one of the
+    substrings of the crew name, so this is one hash aggregation over substrings
+    and no name is ever compared with all others. Only lengths that occur among
+    the wanted names are cut out.
     """
-    lengths = (
-        names.select(F.length(F.lower(F.col(name_col))).alias("_n")).where(F.col("_n") > 0).distinct()
-    )
+    wanted = names.select(F.lower(F.col(name_col)).alias("_key")).where(F.length("_key") > 0).distinct()
     # at most one row per character of the longest wanted name, so it can be broadcast
-    active = crews.where(p.crew_active(F.col("attivo")) & F.col("nome").isNotNull()).select(
-        "id", "telefono", F.lower(F.col("nome")).alias("_name")
-    )
-    by_length = active.where(F.length("_name") > 0).select(
-        "*", F.explode(F.sequence(F.lit(1), F.length("_name"))).alias("_n")
+    lengths = F.broadcast(wanted.select(F.length("_key").alias("_n")).distinct())
+    active = crews.where(p.crew_active(F.col("attivo")) & F.col("nome").isNotNull())
+    by_length = active.select(F.col("id").alias("_crew"), F.lower(F.col("nome")).alias("_name")).select(
+        "*", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_name"), F.lit(1)))).alias("_n")
     )
-    pieces = by_length.join(F.broadcast(lengths), "_n").select(
-        "id",
-        "telefono",
-        "_name",
-        "_n",
-        F.explode(F.sequence(F.lit(1), F.length("_name") - F.col("_n") + 1)).alias("_at"),
+    pieces = by_length.where(F.col("_n") <= F.length("_name")).join(lengths, "_n").select(
+        "_crew", "_name", "_n", F.explode(F.sequence(F.lit(1), F.length("_name") - F.col("_n") + 1)).alias("_at")
     )
-    keyed = pieces.select(
-        F.substring(F.col("_name"), F.col("_at"), F.col("_n")).alias("_key"),
-        F.struct((F.length("_name") != F.col("_n")).alias("partial"), "id").alias("_rank"),
-        F.coalesce("telefono", F.lit("")).alias("telefono"),
+    best = pieces.groupBy(F.substring(F.col("_name"), F.col("_at"), F.col("_n")).alias("_key")).agg(
+        F.min(F.when(F.length("_name") == F.col("_n"), F.col("_crew"))).alias("_equal"), F.min("_crew").alias("_any")
     )
-    return keyed.groupBy("_key").agg(F.min_by("telefono", "_rank").alias("telefono"))
+    phones = crews.select(F.col("id").alias("_crew"), F.coalesce("telefono", F.lit("")).alias("telefono"))
+    found = wanted.join(best, "_key").select("_key", F.coalesce("_equal", "_any").alias("_crew"))
+    return found.join(phones, "_crew").select("_key", "telefono")
 
 
 def with_contact_phone(rows: DataFrame, crews: DataFrame, name_col: str, row_id: str = "id") -> DataFrame:
-    """Add ``telefono`` of the crew named in ``name_col``; empty where nobody is found."""
-    index = contact_index(rows.select(F.col(name_col).alias("nome_cercato")), crews)
+    """Add ``telefono`` of the crew named in ``name_col``; empty where nobody is found.
+
+    Names are resolved once each; the rows then look their name up.
+    """
+    index = contact_index(rows, crews, name_col)
     wanted = F.lower(F.nullif(F.col(name_col), F.lit("")))
     # rows without a name are spread over the partitions and match nothing
     probe = F.coalesce(wanted, F.concat(F.lit("\u0000"), F.col(row_id).cast("string")))

@@ -33,7 +33,7 @@ def scoped(tables: SiteTables, site_id: int | None) -> SiteTables:
 
 def site_rows(tables: SiteTables, as_of: dt.date) -> DataFrame:
     """KPI, progress and risk of every site in one row."""
-    facts = site_facts(tables, as_of)
+    facts = site_facts(tables, as_of, budget=False)
     return facts.select(
         F.col("id").alias("cantiere_id"),
         F.col("nome").alias("cantiere"),

@@ -9,23 +9,27 @@ from pyspark.sql import functions as F
 
 from siteloom import vocabulary as v
 from siteloom.functions import scalars as s
-from siteloom.operators.budget import AMOUNTS, with_budget_figures
-from siteloom.operators.counts import SITE, attach, percent_done, task_counts, ticket_counts
+from siteloom.operators.budget import site_budgets, with_budget_figures
+from siteloom.operators.counts import attach, percent_done, task_counts, ticket_counts
 from siteloom.operators.risk import with_risk
 from siteloom.schema import SiteTables
 
 SITE_COLUMNS = ["id", "nome", "indirizzo", "cliente", "capo_cantiere", "stato", "data_fine_prevista"]
 
 
-def site_facts(tables: SiteTables, as_of: dt.date, brand: v.Brand = v.NO_BRAND) -> DataFrame:
+def site_facts(
+    tables: SiteTables, as_of: dt.date, brand: v.Brand = v.NO_BRAND, budget: bool = True
+) -> DataFrame:
     """Tasks, tickets and budgets are read once each and reduced to the site before any join.
 
-    Columns that a report does not print are pruned from the plan.
+    Columns that a report does not print are pruned from the plan, and so is an
+    aggregate of which it prints nothing; ``budget=False`` leaves the budget out.
     """
-    counted = attach(tables.cantieri.select(*SITE_COLUMNS), task_counts(tables.attivita, as_of), ticket_counts(tables.ticket))
-    budgets = tables.budget_cantiere.select(F.col(SITE).alias("id"), *AMOUNTS, "note_budget")
+    counted = attach(
+        tables.cantieri.select(*SITE_COLUMNS), task_counts(tables.attivita, as_of), ticket_counts(tables.ticket)
+    )
     percent = percent_done(F.col("totale"), F.col("somma_percentuali"))
-    return with_budget_figures(
+    facts = (
         with_risk(counted, brand)
         .withColumn("avanzamento", percent)
         .withColumns(
@@ -35,5 +39,5 @@ def site_facts(tables: SiteTables, as_of: dt.date, brand: v.Brand = v.NO_BRAND)
                 "motivi": F.array_join("motivi", ", "),
             }
         )
-        .join(budgets, "id", "left")
     )
+    return with_budget_figures(site_budgets(facts, tables.budget_cantiere)) if budget else facts

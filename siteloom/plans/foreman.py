@@ -17,7 +17,7 @@ from siteloom.schema import SiteTables
 
 
 def foreman_cards(tables: SiteTables, as_of: dt.date) -> DataFrame:
-    return site_facts(tables, as_of).select(
+    return site_facts(tables, as_of, budget=False).select(
         F.col("id").alias(SITE),
         F.col("nome").alias("cantiere"),
         s.or_else(F.col("cliente"), v.DASH).alias("cliente"),

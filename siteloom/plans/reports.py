@@ -29,7 +29,7 @@ def _with_lists(facts: DataFrame, *parts: DataFrame) -> DataFrame:
 def daily_rows(tables: SiteTables, as_of: dt.date, brand: v.Brand = v.NO_BRAND, priority_order: str = "name") -> DataFrame:
     """Input of the two daily reports."""
     return _with_lists(
-        site_facts(tables, as_of, brand),
+        site_facts(tables, as_of, brand, budget=False),
         sections.task_lists(tables.attivita, ["completate", "in_corso", "bloccate", "prossime"], sections.DAILY_ROWS)
         .withColumnsRenamed({n: f"righe_{n}" for n in ("completate", "in_corso", "bloccate", "prossime")}),
         sections.daily_ticket_lists(tables.ticket, priority_order=priority_order)

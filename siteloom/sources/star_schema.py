@@ -1,8 +1,9 @@
 """The seven site tables and the message feed, derived from a star-schema dataset.
 
 Each view is one SELECT over one or two Parquet tables. The texts use only SQL
-that is common to Spark and other engines; ``{ts}`` stands for the engine's
-name of a zone-less timestamp.
+that is common to Spark and other engines. ``{ts}`` stands for the engine's name
+of a zone-less timestamp, ``{repeat}`` and ``{end}`` for its way to repeat a row
+n times, numbered from 1 as ``k.k``.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ SELECT e.event_id * 10 + k.k AS id, e.user_id * 10 + e.event_id % 7 AS cantiere_
        CAST(CASE k.k WHEN 1 THEN e.ts + INTERVAL 1 HOURS WHEN 2 THEN e.ts + INTERVAL 2 HOURS ELSE e.ts + INTERVAL 3 HOURS END AS {ts}) AS created_at,
        CASE WHEN k.k = 2 THEN CAST(e.ts + INTERVAL 2 HOURS AS {ts}) END AS sent_at,
        CASE WHEN k.k = 3 THEN CAST(e.ts + INTERVAL 5 HOURS AS {ts}) END AS responded_at
-FROM events e JOIN (VALUES (1), (2), (3)) AS k(k) ON k.k <= 1 + e.event_id % 3
+FROM events e {repeat}1 + e.event_id % 3{end}
 WHERE e.event_id % 2 = 0""",
     "messaggi": """
 SELECT conv_id * 1000 + turn AS id, conv_id AS cantiere_id, role AS autore,
@@ -113,6 +114,12 @@ SELECT conv_id * 1000 + turn AS id, conv_id AS cantiere_id, role AS autore, text
 FROM conversations""",
 }
 
+SPARK_WORDS = {
+    "ts": "TIMESTAMP_NTZ",
+    "repeat": "LATERAL VIEW explode(slice(array(1, 2, 3, 4), 1, CAST(",
+    "end": " AS INT))) k AS k",
+}
+
 _BASE = {
     "cantieri": "customer",
     "artigiani": "supplier",
@@ -135,7 +142,7 @@ class StarSchema:
     def _view(self, name: str) -> DataFrame:
         base = _BASE[name]
         source = self.spark.read.parquet(f"{self.root}/{base}.parquet")
-        statement = VIEW_SQL[name].format(ts="TIMESTAMP_NTZ").replace(f"FROM {base}", f"FROM {{{base}}}")
+        statement = VIEW_SQL[name].format(**SPARK_WORDS).replace(f"FROM {base}", f"FROM {{{base}}}")
         return self.spark.sql(statement, **{base: source})
 
     def table(self, name: str) -> DataFrame:
