@@ -71,6 +71,18 @@ def append_rows(batch: DataFrame, root: str, table: str) -> None:
     conform(batch, table).write.mode("append").parquet(f"{root}/{table}")
 
 
+CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "encoding": "UTF-8",
+    "emptyValue": "",
+    "nullValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def export_csv(tables: SiteTables, root: str) -> None:
     """One CSV folder per table, header in every part file, no index column.
 
@@ -79,20 +91,11 @@ def export_csv(tables: SiteTables, root: str) -> None:
     The parts carry no byte-order mark: parts are meant to be read together.
     """
     for name, df in tables.items():
-        (
-            conform(df, name)
-            .write.mode("errorifexists")
-            .options(header=True, quote='"', escape='"', encoding="UTF-8", emptyValue="", nullValue="")
-            .csv(f"{root}/{name}.csv")
-        )
+        conform(df, name).write.mode("errorifexists").options(**CSV).csv(f"{root}/{name}.csv")
 
 
 def read_csv(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return (
-        spark.read.schema(SCHEMAS[table])
-        .options(header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8", nullValue="", emptyValue="")
-        .csv(f"{root}/{table}.csv")
-    )
+    return spark.read.schema(SCHEMAS[table]).options(**CSV, multiLine=True).csv(f"{root}/{table}.csv")
 
 
 def export_reports(reports: DataFrame, root: str, file_per_site: bool = False) -> None:
@@ -100,11 +103,13 @@ def export_reports(reports: DataFrame, root: str, file_per_site: bool = False) -
 
     Default: one folder per kind of report with many sites per JSON file, which
     holds for any number of sites. ``file_per_site`` writes one text file per
-    site and kind, for the few sites whose files go out to people.
+    site and kind, for the few sites whose files go out to people; such a file
+    ends with exactly the line break that the writer adds.
     """
     if file_per_site:
-        rows = reports.repartition("report", "cantiere_id").select("report", "cantiere_id", "testo")
-        rows.write.mode("errorifexists").partitionBy("report", "cantiere_id").text(root, lineSep="")
+        body = F.regexp_replace("testo", r"\n\z", "").alias("testo")
+        rows = reports.repartition("report", "cantiere_id").select("report", "cantiere_id", body)
+        rows.write.mode("errorifexists").partitionBy("report", "cantiere_id").text(root)
     else:
         reports.select("report", "cantiere_id", "testo").write.mode("errorifexists").partitionBy("report").json(root)
 
@@ -112,8 +117,8 @@ def export_reports(reports: DataFrame, root: str, file_per_site: bool = False) -
 def read_reports(spark: SparkSession, root: str, file_per_site: bool = False) -> DataFrame:
     schema = "cantiere_id long, testo string, report string"
     if file_per_site:
-        rows = spark.read.option("wholetext", True).text(root).withColumnRenamed("value", "testo")
-        rows = rows.withColumn("cantiere_id", F.col("cantiere_id").cast("long"))
+        pages = spark.read.schema("value string, report string, cantiere_id long")
+        rows = pages.text(root, wholetext=True).withColumnRenamed("value", "testo")
     else:
         rows = spark.read.schema(schema).json(root)
     return rows.select("report", "cantiere_id", "testo")
