@@ -20,7 +20,7 @@ from siteloom.plans import client, dashboard, foreman, registers, reports, secti
 from siteloom.plans import notices as notice_plans
 from siteloom.plans.facts import site_facts
 from siteloom.schema import MESSAGE_SCHEMA, SiteTables, with_defaults
-from siteloom.session import SETTINGS
+from siteloom.session import tune
 from siteloom.sources import snapshots
 from siteloom.sources.scratch import new_folder
 from siteloom.sources.star_schema import StarSchema
@@ -34,16 +34,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def _tune(spark: SparkSession) -> None:
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
-
-
 def tables_query(fn: Callable[[SiteTables], DataFrame]) -> Callable[[SiteTables], DataFrame]:
     """Register a query over the site tables under the function's name."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        _tune(spark)
+        tune(spark)
         return fn(StarSchema(spark, folder).tables())
 
     QUERIES[fn.__name__] = run
@@ -54,7 +49,7 @@ def source_query(fn: Callable[[StarSchema], DataFrame]) -> Callable[[StarSchema]
     """Register a query that also needs the message feed."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        _tune(spark)
+        tune(spark)
         return fn(StarSchema(spark, folder))
 
     QUERIES[fn.__name__] = run

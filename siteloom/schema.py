@@ -138,14 +138,8 @@ class SiteTables:
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Select the declared columns in the declared types; a column that is missing becomes null."""
-    have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in SCHEMAS[table].fields
-        ]
-    )
+    """The declared columns in the declared order and types; a column that is missing becomes null."""
+    return df.to(SCHEMAS[table])
 
 
 def with_defaults(df: DataFrame, table: str, now=None) -> DataFrame:

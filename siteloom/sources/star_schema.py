@@ -120,6 +120,15 @@ SPARK_WORDS = {
     "end": " AS INT))) k AS k",
 }
 
+BASE_SCHEMAS = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
+
 _BASE = {
     "cantieri": "customer",
     "artigiani": "supplier",
@@ -141,7 +150,7 @@ class StarSchema:
 
     def _view(self, name: str) -> DataFrame:
         base = _BASE[name]
-        source = self.spark.read.parquet(f"{self.root}/{base}.parquet")
+        source = self.spark.read.schema(BASE_SCHEMAS[base]).parquet(f"{self.root}/{base}.parquet")
         statement = VIEW_SQL[name].format(**SPARK_WORDS).replace(f"FROM {base}", f"FROM {{{base}}}")
         return self.spark.sql(statement, **{base: source})
 
