@@ -63,6 +63,27 @@ SELECT c.id AS cantiere_id,
        'revision ' || CAST(k.k AS STRING) AS note_budget,
        CAST(CASE k.k WHEN 1 THEN '2024-01-10 08:00:00' ELSE '2024-01-12 08:00:00' END AS {ts}) AS updated_at
 FROM cantieri c {repeat}1 + c.id % 2{end}""",
+    ),
+    # typed rows: some names are blank or padded, some dates are left open
+    "new_sites": (
+        "cantieri",
+        """
+SELECT c.id AS richiesta, CASE c.id % 7 WHEN 0 THEN '  ' WHEN 1 THEN NULL WHEN 2 THEN '  New ' || c.nome || ' ' ELSE 'New ' || c.nome END AS nome,
+       c.cliente AS cliente, c.indirizzo AS indirizzo, CASE WHEN c.id % 3 = 0 THEN c.data_inizio END AS data_inizio, c.data_fine_prevista AS data_fine_prevista
+FROM cantieri c""",
+    ),
+    "new_crews": (
+        "artigiani",
+        """
+SELECT a.id AS richiesta, CASE a.id % 4 WHEN 0 THEN '' WHEN 1 THEN ' ' || a.nome ELSE a.nome || ' bis' END AS nome, a.ruolo AS ruolo, a.telefono AS telefono
+FROM artigiani a""",
+    ),
+    "new_tasks": (
+        "attivita",
+        """
+SELECT a.id AS richiesta, a.cantiere_id AS cantiere_id, CASE a.id % 9 WHEN 0 THEN '   ' ELSE ' copy of ' || a.titolo END AS titolo, a.fase AS fase,
+       a.stato AS stato, a.percentuale AS percentuale, CASE WHEN a.id % 4 = 0 THEN NULL ELSE a.scadenza END AS scadenza
+FROM attivita a""",
     ),
     # each site asks for one template; some ask for one that does not exist
     "template_requests": (

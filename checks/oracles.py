@@ -240,6 +240,11 @@ TICKET_ALL = (
     "attivita_id, foto_link, created_at, closed_at"
 )
 
+TASK_ALL = (
+    "id, cantiere_id, fase, titolo, descrizione, assegnato_a, dipende_da_id, stato, priorita, scadenza, percentuale, "
+    "note, created_at, closed_at"
+)
+
 
 def _fingerprints(cell: str = "{}") -> str:
     words = {
@@ -441,6 +446,37 @@ ORACLES: dict[str, str] = {
         f"SELECT (SELECT max(id) FROM ticket) + row_number() OVER (ORDER BY id), cantiere_id, tipo, titolo, testo, autore, 'Capo cantiere', priorita, stato, impatto, "
         f"'2024-01-16', CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), {NOW}, CAST(NULL AS TIMESTAMP) FROM triaged"
     ),
+    "s05_append_updates": _with(
+        f"SELECT id, cantiere_id, autore, testo, categoria, created_at FROM aggiornamenti UNION ALL "
+        f"SELECT (SELECT max(id) FROM aggiornamenti) + row_number() OVER (ORDER BY id), cantiere_id, autore, testo, tipo, {NOW} FROM triaged"
+    ),
+    "s05_append_sites": _with(
+        f"""SELECT * FROM cantieri UNION ALL
+SELECT (SELECT max(id) FROM cantieri) + row_number() OVER (ORDER BY richiesta), {_strip('nome')}, indirizzo, cliente, CAST(NULL AS VARCHAR), 'Attivo',
+       coalesce(data_inizio, '2024-01-15'), coalesce(data_fine_prevista, '2024-02-29'), CAST(NULL AS VARCHAR), {NOW} FROM new_sites WHERE {_strip('nome')} <> ''"""
+    ),
+    "s05_append_crews": _with(
+        f"""SELECT * FROM artigiani UNION ALL
+SELECT (SELECT max(id) FROM artigiani) + row_number() OVER (ORDER BY richiesta), {_strip('nome')}, ruolo, telefono, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 1, {NOW}
+FROM new_crews WHERE {_strip('nome')} <> ''"""
+    ),
+    "s05_append_tasks": _with(
+        f"""SELECT {TASK_ALL} FROM attivita UNION ALL
+SELECT (SELECT max(id) FROM attivita) + row_number() OVER (ORDER BY richiesta), cantiere_id, fase, {_strip('titolo')}, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), stato, 'Media',
+       coalesce(scadenza, '2024-01-22'), CASE WHEN stato IN {DONE} THEN 100 ELSE greatest(0, least(100, coalesce(percentuale, 0))) END, CAST(NULL AS VARCHAR), {NOW}, CAST(NULL AS TIMESTAMP)
+FROM new_tasks WHERE {_strip('titolo')} <> ''"""
+    ),
+    "s05_append_template_tasks": _with(
+        f"""SELECT (SELECT max(id) FROM attivita) + row_number() OVER (ORDER BY r.cantiere_id, t.posto) AS id, r.cantiere_id AS cantiere_id, t.fase AS fase, t.titolo AS titolo, t.descrizione AS descrizione,
+       t.ruolo AS assegnato_a, CAST(NULL AS BIGINT) AS dipende_da_id, 'Da fare' AS stato, t.priorita AS priorita, CAST(r.inizio + CAST(t.giorno AS INTEGER) AS VARCHAR) AS scadenza,
+       CAST(0 AS BIGINT) AS percentuale, 'Creato da template: ' || t.template AS note, {NOW} AS created_at, CAST(NULL AS TIMESTAMP) AS closed_at
+FROM template_requests r JOIN templates t ON t.template = r.template"""
+    ),
+    "s05_append_notices": _with(
+        f"""SELECT (SELECT max(id) FROM notifiche) + row_number() OVER (ORDER BY b.id) AS id, b.cantiere_id AS cantiere_id, b.id AS ticket_id, coalesce(b.responsabile, '') AS destinatario, c.telefono AS telefono,
+       'WhatsApp' AS canale, b.messaggio AS messaggio, 'Inviata manualmente' AS stato, CAST(NULL AS VARCHAR) AS risposta, {NOW} AS created_at, {NOW} AS sent_at, CAST(NULL AS TIMESTAMP) AS responded_at
+FROM notice_bodies b JOIN contacts c ON c.nome_cercato IS NOT DISTINCT FROM b.responsabile WHERE b.{K_STRICT}"""
+    ),
     "s06_budget_upsert": _with(
         """SELECT coalesce(b.id, (SELECT max(id) FROM budget_cantiere) + row_number() OVER (PARTITION BY b.id IS NULL ORDER BY c.cantiere_id)) AS id, c.cantiere_id AS cantiere_id,
        coalesce(c.budget_iniziale, 0) AS budget_iniziale, coalesce(c.costo_effettivo, 0) AS costo_effettivo, coalesce(c.extra_approvati, 0) AS extra_approvati,
@@ -708,6 +744,10 @@ UNION ALL SELECT 'cantieri', id, CASE livello WHEN 'Rosso' THEN 'red' WHEN 'Gial
     "r13_task_register": _with(f"SELECT cantiere_id, id, {TASK_COLS}, note FROM attivita"),
     "r13_ticket_register": _with("SELECT cantiere_id, id, tipo, titolo, aperto_da, responsabile, priorita, stato, scadenza, impatto FROM ticket"),
 }
+ORACLES["r11_notice_figures"] = ORACLES["a09_notice_kpis"]
+ORACLES["r13_pick_lists"] = _with(
+    "SELECT 'cantieri' AS tabella, id, id || ' - ' || nome AS etichetta FROM cantieri UNION ALL SELECT 'attivita', id, id || ' - ' || titolo FROM attivita"
+)
 _LATEST = (
     "SELECT t.cantiere_id AS cantiere_id, t.id AS id, t.tipo, t.titolo, t.responsabile, t.priorita, t.stato, t.scadenza, t.impatto, t.descrizione, "
     "n.ultima_notifica AS ultima_notifica, n.notifiche AS notifiche FROM ticket t LEFT JOIN (SELECT cantiere_id, ticket_id, max(created_at) AS ultima_notifica, count(*) AS notifiche "

@@ -74,8 +74,8 @@ def s02_scoped_scan(t: SiteTables) -> DataFrame:
 
 @tables_query
 def s03_keyed_lookup(t: SiteTables) -> DataFrame:
-    keys = t.notifiche.select(F.col("ticket_id").alias("id")).distinct()
-    return t.ticket.join(keys, "id", "left_semi").select("id", SITE, "titolo", "stato")
+    keys = t.notifiche.select(F.col("ticket_id").alias("id"))
+    return lookups.by_keys(t.ticket, keys).select("id", SITE, "titolo", "stato")
 
 
 @tables_query
@@ -89,6 +89,43 @@ def s05_append_batch(src: StarSchema) -> DataFrame:
     return changes.appended(src.table("ticket"), batch, "ticket", "messaggio_id", NOW)
 
 
+@source_query
+def s05_append_updates(src: StarSchema) -> DataFrame:
+    batch = changes.update_batch(triage(src.messages()))
+    return changes.appended(src.table("aggiornamenti"), batch, "aggiornamenti", "messaggio_id", NOW)
+
+
+@tables_query
+def s05_append_sites(t: SiteTables) -> DataFrame:
+    batch = changes.site_batch(change_set("new_sites", t.cantieri), TICKET_DAY)
+    return changes.appended(t.cantieri, batch, "cantieri", "richiesta", NOW)
+
+
+@tables_query
+def s05_append_crews(t: SiteTables) -> DataFrame:
+    batch = changes.crew_batch(change_set("new_crews", t.artigiani))
+    return changes.appended(t.artigiani, batch, "artigiani", "richiesta", NOW)
+
+
+@tables_query
+def s05_append_tasks(t: SiteTables) -> DataFrame:
+    batch = changes.task_batch(change_set("new_tasks", t.attivita), TICKET_DAY)
+    return changes.appended(t.attivita, batch, "attivita", "richiesta", NOW)
+
+
+@tables_query
+def s05_append_template_tasks(t: SiteTables) -> DataFrame:
+    batch = templates.expand_templates(change_set("template_requests", t.cantieri))
+    ordered = batch.withColumn("ordine", F.col(SITE) * 100 + F.col("posto"))
+    return changes.new_rows(ordered, "attivita", t.attivita, "ordine", NOW)
+
+
+@tables_query
+def s05_append_notices(t: SiteTables) -> DataFrame:
+    batch = notices.registered_notices(notices.outbound_notices(t.ticket, t.cantieri, t.artigiani), NOW)
+    return changes.new_rows(batch, "notifiche", t.notifiche, "ticket_id", NOW)
+
+
 @tables_query
 def s06_budget_upsert(t: SiteTables) -> DataFrame:
     return changes.upsert_budgets(t.budget_cantiere, change_set("budget_changes", t.cantieri))
@@ -809,6 +846,11 @@ def r11_notice_log(t: SiteTables) -> DataFrame:
     return notice_plans.log(t)
 
 
+@tables_query
+def r11_notice_figures(t: SiteTables) -> DataFrame:
+    return notice_plans.figures(t)
+
+
 @tables_query
 def r12_template_preview(t: SiteTables) -> DataFrame:
     return templates.template_preview(change_set("template_requests", t.cantieri))
@@ -819,6 +861,13 @@ def r13_site_register(t: SiteTables) -> DataFrame:
     return registers.site_register(t)
 
 
+@tables_query
+def r13_pick_lists(t: SiteTables) -> DataFrame:
+    sites = registers.site_labels(t).select(F.lit("cantieri").alias("tabella"), "id", "etichetta")
+    tasks = registers.task_labels(t).select(F.lit("attivita").alias("tabella"), "id", "etichetta")
+    return sites.unionByName(tasks)
+
+
 @tables_query
 def r13_crew_register(t: SiteTables) -> DataFrame:
     return registers.crew_register(t)

@@ -78,6 +78,32 @@ def update_batch(triaged: DataFrame) -> DataFrame:
     )
 
 
+def task_batch(batch: DataFrame, as_of: dt.date) -> DataFrame:
+    """Typed tasks: blank titles are left out, percent follows the state, due in a week unless said."""
+    coherent = s.effective_percent(F.col("stato"), F.col("percentuale")).cast("bigint")
+    return _with_missing_day(
+        accepted(batch, "attivita").withColumn("percentuale", coherent), "scadenza", as_of, v.TASK_DUE_DAYS
+    )
+
+
+def site_batch(batch: DataFrame, as_of: dt.date) -> DataFrame:
+    """Typed sites: blank names are left out, start today and end in 45 days unless said."""
+    dated = _with_missing_day(accepted(batch, "cantieri"), "data_inizio", as_of, 0)
+    return _with_missing_day(dated, "data_fine_prevista", as_of, v.SITE_END_DAYS)
+
+
+def crew_batch(batch: DataFrame) -> DataFrame:
+    """Typed crews: blank names are left out."""
+    return accepted(batch, "artigiani")
+
+
+def _with_missing_day(batch: DataFrame, column: str, as_of: dt.date, days: int) -> DataFrame:
+    day = F.lit(str(as_of + dt.timedelta(days=days)))
+    if column not in batch.columns:
+        return batch.withColumn(column, day)
+    return batch.withColumn(column, F.coalesce(column, day))
+
+
 def quick_tickets(batch: DataFrame, as_of: dt.date) -> DataFrame:
     """Tickets typed by the foreman: state follows type and priority, due the next day."""
     return batch.withColumns(

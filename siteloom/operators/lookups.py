@@ -21,6 +21,11 @@ TICKET_VIEW = ["tipo", "titolo", "responsabile", "priorita", "stato", "scadenza"
 TASK_VIEW = ["fase", "titolo", "assegnato_a", "stato", "priorita", "scadenza", "percentuale"]
 
 
+def by_keys(rows: DataFrame, keys: DataFrame, column: str = "id") -> DataFrame:
+    """Rows whose key is listed; one lookup of many keys instead of many lookups of one."""
+    return rows.join(keys.select(column).distinct(), column, "left_semi")
+
+
 def with_site_name(rows: DataFrame, sites: DataFrame) -> DataFrame:
     """Inner join that adds the site name as ``cantiere``; orphans drop out."""
     names = sites.select(F.col("id").alias(SITE), F.col("nome").alias("cantiere"))

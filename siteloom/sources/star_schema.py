@@ -40,7 +40,7 @@ FROM supplier""",
     "attivita": """
 SELECT o_orderkey AS id, o_custkey AS cantiere_id,
        'Fase ' || CAST(o_orderkey % 13 AS STRING) AS fase, 'Task ' || CAST(o_orderkey AS STRING) AS titolo,
-       'total ' || CAST(CAST(o_totalprice AS BIGINT) AS STRING) AS descrizione,
+       'total ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) AS descrizione,
        CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Supplier#' || lpad(CAST(o_orderkey % 10 AS STRING), 9, '0') END AS assegnato_a,
        CASE WHEN o_orderkey % 7 = 3 THEN o_orderkey - 1 END AS dipende_da_id,
        CASE WHEN o_orderkey % 97 = 0 THEN NULL

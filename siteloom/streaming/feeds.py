@@ -46,9 +46,10 @@ def messages_to_tickets(
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        sorted_out = triage(batch.dropDuplicates(["id"]))
+        sorted_out = triage(batch.dropDuplicates(["id"])).persist()
         _write_epoch(ticket_batch(sorted_out, as_of), tickets_out, epoch)
         _write_epoch(update_batch(sorted_out), updates_out, epoch)
+        sorted_out.unpersist()
 
     return (
         messages.writeStream.foreachBatch(write)
