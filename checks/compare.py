@@ -41,6 +41,13 @@ def _kind(value: object) -> str:
     return type(value).__name__
 
 
+# engine type names of equal types
+TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
+    "TIMESTAMP": "timestamp_ntz", "DATE": "date",
+}
+
+
 def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, folder: str, name: str) -> str | None:
     """None when equal, else what differs."""
     result = QUERIES[name](spark, folder)
@@ -50,6 +57,9 @@ def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, folder: str, na
     theirs = _rows(names, cursor.fetchall())
     if sorted(result.columns) != sorted(names):
         return f"columns {sorted(set(result.columns) ^ set(names))}"
+    their_types = {d[0]: TYPES.get(str(d[1]), str(d[1])) for d in cursor.description}
+    if dict(result.dtypes) != their_types:
+        return f"types {sorted(set(result.dtypes) ^ set(their_types.items()))}"
     if len(mine) != len(theirs):
         return f"{len(mine)} rows against {len(theirs)}"
     for a, b in zip(mine, theirs):

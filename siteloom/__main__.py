@@ -1,6 +1,6 @@
 """Batch jobs over a snapshot of the site tables.
 
-spark-submit --py-files siteloom.zip -m siteloom JOB --tables DIR --out DIR [--as-of DAY] [--site ID]
+python -m siteloom JOB --tables DIR --out DIR [--as-of DAY] [--site ID]
 """
 
 from __future__ import annotations
@@ -55,6 +55,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--as-of", type=dt.date.fromisoformat, default=dt.date.today())
     parser.add_argument("--site", type=int, help="one site instead of all")
     parser.add_argument("--brand", default="", help="company name printed in texts")
+    parser.add_argument("--by-site", action="store_true", help="backup: order the files by site")
     parser.add_argument("--file-per-site", action="store_true", help="one text file per site and report")
     given = parser.parse_args(arguments)
 
@@ -67,7 +68,7 @@ def main(arguments: list[str] | None = None) -> None:
     elif given.job == "csv":
         snapshots.export_csv(tables, given.out)
     elif given.job == "backup":
-        snapshots.write_snapshot(tables, given.out)
+        snapshots.write_snapshot(tables, given.out, given.by_site)
     else:
         kind = reports.daily_reports if given.job == "daily-reports" else reports.client_reports
         pages = kind(tables, given.as_of, brand).withColumn("report", s.slug(F.col("report")))

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from siteloom.schema import SCHEMAS, SiteTables
 
 DAY = dt.date(2024, 5, 6)
@@ -11,9 +14,9 @@ def make_tables(spark, **rows) -> SiteTables:
     """Site tables from dict rows; columns that are left out become null."""
     made = {}
     for name in SiteTables.NAMES:
-        fields = SCHEMAS[name].names
-        values = [tuple(row.get(f) for f in fields) for row in rows.get(name, [])]
-        made[name] = spark.createDataFrame(values, SCHEMAS[name])
+        arrow = to_arrow_schema(SCHEMAS[name])
+        values = [{f: row.get(f) for f in arrow.names} for row in rows.get(name, [])]
+        made[name] = spark.createDataFrame(pa.Table.from_pylist(values, arrow)).to(SCHEMAS[name])
     return SiteTables(**made)
 
 

@@ -17,6 +17,21 @@ def test_snapshot_round_trip(spark, tables, tmp_path):
         assert same(back[name], df)
 
 
+def test_snapshot_by_site(spark, tables, tmp_path):
+    root = str(tmp_path / "snap")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        snapshots.write_snapshot(tables, root, by_site=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    back = snapshots.restore_snapshot(spark, root)
+    assert same(back.attivita, tables.attivita)
+    spans = back.attivita.groupBy(F.input_file_name().alias("file")).agg(F.min("cantiere_id"), F.max("cantiere_id")).collect()
+    ordered = sorted((low, high) for _, low, high in spans)
+    assert len(ordered) > 4
+    assert all(a[1] <= b[0] for a, b in zip(ordered, ordered[1:]))
+
+
 def test_restore_notices_lost_rows(spark, tmp_path):
     root = str(tmp_path / "snap")
     snapshots.write_snapshot(demo_tables(spark), root)
