@@ -84,20 +84,19 @@ def section_lists(
     """
     if len(sections) == 1:
         # the site alone is the key of both the cut and the collection: one shuffle for both
-        ((name, flag),) = sections.items()
-        tagged = rows.where(flag).select("*", line.alias("riga"), F.lit(name).alias("sezione"))
-        first = top_per_site(tagged, order, k)
+        (flag,) = sections.values()
+        first = top_per_site(rows.where(flag).withColumn("_section", F.lit(0)), order, k)
     else:
-        labels = F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in sections.items()]))
-        tagged = rows.select("*", line.alias("riga"), F.explode(labels).alias("sezione"))
-        first = top_per_group(tagged, [SITE, "sezione"], order, k)
-    return first.groupBy(SITE).agg(
+        numbers = F.array_compact(F.array(*[F.when(flag, F.lit(i)) for i, flag in enumerate(sections.values())]))
+        first = top_per_group(rows.withColumn("_section", F.explode(numbers)), [SITE, "_section"], order, k)
+    lines = first.select(SITE, "_section", F.struct("posizione", line.alias("riga")).alias("_line"))
+    return lines.groupBy(SITE).agg(
         *[
             F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("sezione") == name, F.struct("posizione", "riga")))),
+                F.array_sort(F.collect_list(F.when(F.col("_section") == i, F.col("_line")))),
                 lambda item: item["riga"],
             ).alias(name)
-            for name in sections
+            for i, name in enumerate(sections)
         ]
     )
 

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # drop fact rows that no key of the other side can match before they are shuffled
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # keep streaming state on disk: it grows with the number of tickets
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 # fixed when the session starts

@@ -10,7 +10,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from siteloom.functions.triage import triage
@@ -30,6 +30,12 @@ def _write_epoch(rows: DataFrame, root: str, epoch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{root}/{EPOCH}={epoch}")
 
 
+def _start(writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
+    """Run until the input is used up, or on and on at an interval such as "1 minute"."""
+    timed = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return timed.option("checkpointLocation", checkpoint).start()
+
+
 def read_epochs(spark: SparkSession, root: str, schema: StructType | None = None) -> DataFrame:
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.parquet(root)
@@ -37,7 +43,7 @@ def read_epochs(spark: SparkSession, root: str, schema: StructType | None = None
 
 # --- messages to tickets ---------------------------------------------------
 def messages_to_tickets(
-    messages: DataFrame, tickets_out: str, updates_out: str, checkpoint: str, as_of: dt.date
+    messages: DataFrame, tickets_out: str, updates_out: str, checkpoint: str, as_of: dt.date, every: str | None = None
 ) -> StreamingQuery:
     """Triage a message stream into a ticket sink and a field-update sink.
 
@@ -51,12 +57,7 @@ def messages_to_tickets(
         _write_epoch(update_batch(sorted_out), updates_out, epoch)
         sorted_out.unpersist()
 
-    return (
-        messages.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _start(messages.writeStream.foreachBatch(write), checkpoint, every)
 
 
 def once_per_message(rows: DataFrame) -> DataFrame:
@@ -65,20 +66,15 @@ def once_per_message(rows: DataFrame) -> DataFrame:
 
 
 # --- running notice counts -------------------------------------------------
-def running_latest_notices(notices: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def running_latest_notices(notices: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Keep the last notice and the count per ticket; each batch writes the tickets it changed."""
     running = (
         notices.where(F.col("ticket_id").isNotNull())
         .groupBy("cantiere_id", "ticket_id")
         .agg(F.max("created_at").alias("ultima_notifica"), F.count(F.lit(1)).alias("notifiche"))
     )
-    return (
-        running.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, epoch: _write_epoch(batch, out, epoch))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = running.writeStream.outputMode("update")
+    return _start(writer.foreachBatch(lambda batch, epoch: _write_epoch(batch, out, epoch)), checkpoint, every)
 
 
 def current_latest_notices(spark: SparkSession, out: str) -> DataFrame:
@@ -94,18 +90,14 @@ def current_latest_notices(spark: SparkSession, out: str) -> DataFrame:
 
 
 # --- state changes ---------------------------------------------------------
-def changes_to_log(changes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def changes_to_log(changes: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append a stream of keyed state changes to a change log, one folder per batch.
 
     The current table is base + log (``apply_changes``); writing that result as
     a new snapshot now and then keeps the log short. No batch rewrites the table.
     """
-    return (
-        changes.writeStream.foreachBatch(lambda batch, epoch: _write_epoch(batch, out, epoch))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = changes.writeStream.foreachBatch(lambda batch, epoch: _write_epoch(batch, out, epoch))
+    return _start(writer, checkpoint, every)
 
 
 def latest_states(log: DataFrame) -> DataFrame:
