@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a folder of this machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="siteloom-")
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    """The folder all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/")
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A path nobody has used yet."""
     return f"{shared_folder(spark)}/siteloom/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, purpose: str) -> DataFrame:
+    """The rows, computed once into the shared folder and read back: lineage ends here and survives lost executors."""
+    spark = rows.sparkSession
+    path = new_folder(spark, purpose)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
