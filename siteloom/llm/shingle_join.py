@@ -53,7 +53,8 @@ LOWEST = np.array(LOWEST)
 DIFFERENCE = (LOWEST[1:] - 1) // 4
 BLOCKS = DIFFERENCE + 1 + -(-DIFFERENCE // 10)
 
-KEYS = np.dtype([("key", "<u8"), ("node", "<i8")])
+#: records that a bucket's task looks up at a time
+TOGETHER = 1 << 18
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -130,10 +131,11 @@ def _profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _slice_keys(batch: pa.RecordBatch) -> np.ndarray:
+def _slice_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(node, key) of a slice's sets."""
     of, values = shingle_sets(batch.column("text"))
     sizes, nodes = nodes_of(of, values, len(batch))
-    # equal sets of a slice have the same keys
+    # equal sets have the same keys
     _, first = np.unique(nodes, return_index=True)
     alone = np.zeros(len(nodes), bool)
     alone[first] = True
@@ -141,41 +143,89 @@ def _slice_keys(batch: pa.RecordBatch) -> np.ndarray:
     band = np.searchsorted(LOWEST, sizes, side="right") - 1
     found = [block_keys(of, values, sizes, b) for b in (band, band - 1)]
     texts, keys = (np.concatenate(x) for x in zip(*found, strict=True))
-    out = np.empty(len(texts), KEYS)
-    out["key"], out["node"] = keys, nodes[texts]
-    return out
-
-
-def _once(records: np.ndarray) -> np.ndarray:
-    records = records[np.lexsort((records["node"], records["key"]))]
-    return records[run_starts(records["key"], records["node"])]
+    return nodes[texts], keys
+
+
+def _pack_keys(nodes: np.ndarray, keys: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket: how many nodes, the nodes, how many keys each has there, and the keys' upper halves.
+
+    Half a key is enough inside a bucket: keys that agree by chance are a meeting more to look at.
+    """
+    bucket = (keys % np.uint64(n_buckets)).astype(np.int64)
+    half = (keys >> np.uint64(32)).astype(np.uint32)
+    order = np.lexsort((half, nodes, bucket))
+    bucket, nodes, half = bucket[order], nodes[order], half[order]
+    once = run_starts(bucket, nodes, half)
+    bucket, nodes, half = bucket[once], nodes[once], half[once]
+    own = run_starts(bucket, nodes)
+    counts = np.diff(np.append(own, len(nodes))).astype(np.uint32)
+    first = run_starts(bucket)
+    last = np.append(first[1:], len(bucket))
+    lead, trail = np.searchsorted(own, first), np.searchsorted(own, last)
+    blobs = [
+        np.int64(d - c).tobytes() + nodes[own[c:d]].tobytes() + counts[c:d].tobytes() + half[a:b].tobytes()
+        for a, b, c, d in zip(first, last, lead, trail, strict=True)
+    ]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blobs, pa.binary())], ["bucket", "records"])
+
+
+def _unpack_keys(blob: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    raw = blob.as_buffer()
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    nodes = np.frombuffer(raw, np.int64, n, 8)
+    counts = np.frombuffer(raw, np.uint32, n, 8 + 8 * n)
+    return np.repeat(nodes, counts), np.frombuffer(raw, np.uint32, offset=8 + 12 * n)
 
 
 def _keys(batches: Iterable[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    yield from buckets.packed((_slice_keys(b) for b in text_slices(batches)), "key", n_buckets, _once)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+    for batch in text_slices(batches):
+        held.append(_slice_keys(batch))
+        count += len(held[-1][0])
+        if count >= buckets.HELD:
+            yield from _pack_keys(*map(np.concatenate, zip(*held, strict=True)), n_buckets)
+            held, count = [], 0
+    if count:
+        yield from _pack_keys(*map(np.concatenate, zip(*held, strict=True)), n_buckets)
+
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, nodes, keys), some records at a time."""
+    current, held, count = None, [], 0
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("records"), strict=True):
+            if held and (bucket != current or count >= TOGETHER):
+                yield current, *map(np.concatenate, zip(*held, strict=True))
+                held, count = [], 0
+            current = bucket
+            held.append(_unpack_keys(blob))
+            count += len(held[-1][0])
+    if held:
+        yield current, *map(np.concatenate, zip(*held, strict=True))
 
 
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(first, node): the sets that share a key with an earlier one of its bucket. Holds one set for each key."""
-    current, keys, firsts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for bucket, part in buckets.parts(batches, KEYS):
+    current, known, firsts = None, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    for bucket, nodes, keys in _parts(batches):
         if bucket != current:
-            current, keys, firsts = bucket, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        part = np.sort(part, order=["key", "node"])
-        own = run_starts(part["key"])
-        at = np.searchsorted(keys, part["key"][own])
-        known = at < len(keys)
-        known[known] = keys[at[known]] == part["key"][own][known]
-        first = part["node"][own].copy()
-        first[known] = firsts[at[known]]
-        lengths = np.diff(np.append(own, len(part)))
-        first = np.repeat(first, lengths)
-        met = np.stack([first, part["node"]], axis=1)[first != part["node"]]
-        if len(met):
-            met = np.unique(met, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(met[:, 0]), pa.array(met[:, 1])], ["first", "node"])
-        new = own[~known]
-        keys, firsts = np.insert(keys, at[~known], part["key"][new]), np.insert(firsts, at[~known], part["node"][new])
+            current, known, firsts = bucket, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        order = np.argsort(keys, kind="stable")
+        nodes, keys = nodes[order], keys[order]
+        own = run_starts(keys)
+        at = np.searchsorted(known, keys[own])
+        old = at < len(known)
+        old[old] = known[at[old]] == keys[own][old]
+        first = nodes[own].copy()
+        first[old] = firsts[at[old]]
+        first = np.repeat(first, np.diff(np.append(own, len(keys))))
+        met = first != nodes
+        if met.any():
+            pairs = np.unique(np.stack([first[met], nodes[met]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["first", "node"])
+        new = own[~old]
+        known, firsts = np.insert(known, at[~old], keys[new]), np.insert(firsts, at[~old], nodes[new])
 
 
 def _whole_groups(batches: Iterable[pa.RecordBatch], columns: list[str], least: int = 4000) -> Iterator[pa.Table]:
