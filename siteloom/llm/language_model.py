@@ -257,7 +257,7 @@ def train_language_model(docs: DataFrame, usable: Column, id_column: str = "doc_
 def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """At most HEAD words: those above the smallest count that leaves no more."""
     rows = counts.select("bucket", "records")
-    by_count = rows.mapInArrow(_count_sizes, "n long, words long").groupBy("n").agg(F.sum("words").alias("words")).orderBy(F.col("n").desc()).limit(HEAD)
+    by_count = rows.mapInArrow(_count_sizes, "n long, words long").groupBy("n").agg(F.sum("words").alias("words")).orderBy(F.col("n").desc()).limit(HEAD + 1)
     above, room = 0, HEAD
     for r in by_count.collect():
         room -= r["words"]
