@@ -8,7 +8,8 @@ sets apart by their difference alone, which gives two bounds:
   hashes are XORed. At least k - d blocks of two linking sets are the same, so the sets meet in a key (band, block, XOR).
   A block without shingles says nothing; a set with too many of those is cut anew by another hash, and a set that links
   with it through such blocks only has as many, so both do.
-- Hamming: each shingle flips one bit of a sketch of ``BITS`` bits. Sketches differ in no more bits than the sets do.
+- Hamming: each shingle flips one bit of a sketch with at least as many bits as the set has members. Sketches differ in no
+  more bits than the sets do; the longer of two is folded by XOR to the length of the other.
 
 A set stands in its own band and in the one below, which holds the smaller sets it may link with. Sets that meet in a key
 are told by the key's first set; all sets told by the same one are compared by sketch, in blocks when they are many. What
@@ -37,7 +38,7 @@ from siteloom.llm.components import Forest, components
 from siteloom.sources.scratch import written
 
 WIDTH = 5
-BITS = 1024
+LEAST_BITS = 256
 #: hashes that cut a set before its empty blocks become keys
 CUTS = 4
 #: sets of a block that are compared by sketch, and shingles of a block that is verified
@@ -83,12 +84,45 @@ def nodes_of(of: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np
     return sizes, mix(_xor_by(of, mix(values), n) + sizes.astype(np.uint64)).astype(np.int64)
 
 
-def sketches_of(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """The parity sketch of each text's set, 64 bits to a number."""
+def sketch_words(sizes: np.ndarray) -> np.ndarray:
+    """How many numbers of 64 bits the sketch of a set has: a power of 2."""
+    return np.int64(1) << np.ceil(np.log2(np.maximum(sizes, LEAST_BITS) / 64)).astype(np.int64)
+
+
+def sketches_of(of: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parity sketches of all sets in a row, and where each begins (one more entry than sets)."""
     bit = mix(values ^ np.uint64(0x5851F42D4C957F2D))
-    words = BITS // 64
-    cell = of * words + ((bit >> np.uint64(8)) % np.uint64(words)).astype(np.int64)
-    return _xor_by(cell, np.uint64(1) << (bit & np.uint64(63)), n * words).reshape(n, words)
+    words = sketch_words(sizes)
+    bounds = np.append(0, np.cumsum(words))
+    cell = bounds[of] + ((bit >> np.uint64(8)) & (words[of] - 1).astype(np.uint64)).astype(np.int64)
+    return _xor_by(cell, np.uint64(1) << (bit & np.uint64(63)), int(bounds[-1])), bounds
+
+
+class Sketches:
+    """Sketches of some sets, by length, and folded once: linking sets differ by one fold at most."""
+
+    def __init__(self, joined: np.ndarray, bounds: np.ndarray) -> None:
+        self.words = np.diff(bounds)
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(self.words).tolist():
+            own, longer = np.flatnonzero(self.words == n), np.flatnonzero(self.words == 2 * n)
+            rows = [joined[bounds[own][:, None] + np.arange(n)]]
+            if len(longer):
+                twice = joined[bounds[longer][:, None] + np.arange(2 * n)]
+                rows.append(twice[:, :n] ^ twice[:, n:])
+            place = np.full(len(self.words), -1)
+            place[np.concatenate([own, longer])] = np.arange(len(own) + len(longer))
+            self.levels[n] = np.concatenate(rows), place
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many bits the sketches of each pair of rows differ."""
+        out = np.zeros(len(a), np.int64)
+        shorter = np.minimum(self.words[a], self.words[b])
+        for n in np.unique(shorter).tolist():
+            rows, place = self.levels[n]
+            for part in np.array_split(np.flatnonzero(shorter == n), 1 + int((shorter == n).sum()) * n // (1 << 20)):
+                out[part] = np.bitwise_count(rows[place[a[part]]] ^ rows[place[b[part]]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def block_keys(of: np.ndarray, values: np.ndarray, sizes: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +159,8 @@ def _profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(batch)
         of, values = shingle_sets(batch.column("text"))
         sizes, nodes = nodes_of(of, values, n)
-        sketches = [s.tobytes() for s in sketches_of(of, values, n)]
+        joined, bounds = sketches_of(of, values, sizes)
+        sketches = [joined[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(sizes), pa.array(nodes), pa.array(sketches, pa.binary())], ["doc_id", "n", "node", "sketch"]
         )
@@ -248,7 +283,7 @@ def _whole_groups(batches: Iterable[pa.RecordBatch], columns: list[str], least:
         yield pa.Table.from_batches(held)
 
 
-def _close_pairs(table: pa.Table, sizes: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _close_pairs(table: pa.Table, sizes: np.ndarray, sketches: Sketches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of a group (of its two blocks) whose sizes and sketches allow a link."""
     i, j, block = (table.column(c).to_numpy() for c in ("i", "j", "block"))
     group = np.cumsum(np.isin(np.arange(len(i)), run_starts(table.column("group").to_numpy(), i, j)))
@@ -265,15 +300,14 @@ def _close_pairs(table: pa.Table, sizes: np.ndarray, sketches: np.ndarray) -> It
         total = sizes[across] + sizes[b]
         fits = 9 * np.abs(sizes[across] - sizes[b]) <= total
         across, b, total = across[fits], b[fits], total[fits]
-        apart = np.bitwise_count(sketches[across] ^ sketches[b]).sum(axis=1, dtype=np.int64)
-        close = 9 * apart <= total
+        close = 9 * sketches.apart(across, b) <= total
         if close.any():
             yield across[close], b[close]
 
 
-def _sketches(table: pa.Table) -> np.ndarray:
-    joined = b"".join(table.column("sketch").to_pylist())
-    return np.frombuffer(joined, np.uint64).reshape(len(table), BITS // 64)
+def _sketches(table: pa.Table) -> Sketches:
+    rows = table.column("sketch").to_pylist()
+    return Sketches(np.frombuffer(b"".join(rows), np.uint64), np.append(0, np.cumsum([len(r) // 8 for r in rows])))
 
 
 def _forest(nodes: np.ndarray, forest: Forest) -> Iterator[pa.RecordBatch]:
@@ -299,7 +333,7 @@ def _verify(batches: Iterable[pa.RecordBatch], numerator: int, denominator: int)
     for table in _whole_groups(batches, ["group", "i", "j"], 400):
         of, values = _sets(table.column("text"))
         sizes, nodes = nodes_of(of, values, len(table))
-        sketches = sketches_of(of, values, len(table))
+        sketches = Sketches(*sketches_of(of, values, sizes))
         first = np.searchsorted(of, np.arange(len(table) + 1))
         # an id that stands for several texts brings all of them
         right = nodes == table.column("node").to_numpy()

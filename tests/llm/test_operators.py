@@ -66,8 +66,8 @@ def test_shingle_blocks_hold_every_link():
             keys = [shingle_join.block_keys(of, values, sizes, x) for x in (band, band - 1)]
             texts, keys = (np.concatenate(x) for x in zip(*keys, strict=True))
             assert set(keys[texts == 0].tolist()) & set(keys[texts == 1].tolist())
-            sketch = shingle_join.sketches_of(of, values, 2)
-            assert np.bitwise_count(sketch[0] ^ sketch[1]).sum() <= len(a) + len(b) - 2 * both
+            sketches = shingle_join.Sketches(*shingle_join.sketches_of(of, values, sizes))
+            assert sketches.apart(np.array([0]), np.array([1]))[0] <= len(a) + len(b) - 2 * both
 
 
 def test_substring_dedup(ready, docs, small_rows, odd_rows):
