@@ -166,7 +166,8 @@ def _take(places: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("index") == F.col("block"))
     start = F.greatest(F.col("index") * block - F.col("begins"), F.lit(0))
     end = F.least(F.col("index") * block + F.col("words") - F.col("begins"), F.col("size"))
-    return blocks.join(drawn, same).select("source", "begins", "turn", start.alias("start"), end.alias("end")).where("end > start")
+    # sizes of drawn rows can't be told in advance, so Spark must not take them for small
+    return blocks.join(drawn.hint("merge"), same).select("source", "begins", "turn", start.alias("start"), end.alias("end")).where("end > start")
 
 
 def mixed_documents(docs: DataFrame, mix: Mix, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
