@@ -31,16 +31,16 @@ SELECT t.id AS id, k.k AS seq,
        'impact ' || CAST(k.k AS STRING) AS impatto
 FROM ticket t {repeat}t.id % 5{end}""",
     ),
-    # one quick update per task, some with a blank note
+    # up to three quick updates per task, two of them at one moment, some with a blank note
     "quick_updates": (
         "attivita",
         """
-SELECT a.id AS id, CAST('2024-01-15 09:30:00' AS {ts}) AS ts,
-       CASE a.id % 3 WHEN 0 THEN 'In corso' WHEN 1 THEN 'Completata' ELSE 'Bloccata' END AS stato,
-       CASE a.id % 2 WHEN 0 THEN 'Alta' ELSE 'Media' END AS priorita,
-       CAST(a.id % 130 AS BIGINT) AS percentuale,
-       CASE a.id % 5 WHEN 0 THEN '   ' WHEN 1 THEN NULL ELSE ' done by ' || COALESCE(a.assegnato_a, 'nobody') || ' ' END AS nota
-FROM attivita a""",
+SELECT a.id AS id, k.k AS seq, CAST(CASE k.k WHEN 1 THEN '2024-01-15 09:30:00' ELSE '2024-01-15 10:45:00' END AS {ts}) AS ts,
+       CASE (a.id + k.k) % 3 WHEN 0 THEN 'In corso' WHEN 1 THEN 'Completata' ELSE 'Bloccata' END AS stato,
+       CASE (a.id + k.k) % 2 WHEN 0 THEN 'Alta' ELSE 'Media' END AS priorita,
+       CAST((a.id * k.k) % 130 AS BIGINT) AS percentuale,
+       CASE (a.id + k.k) % 5 WHEN 0 THEN '   ' WHEN 1 THEN NULL ELSE ' note ' || CAST(k.k AS STRING) || ' by ' || COALESCE(a.assegnato_a, 'nobody') || ' ' END AS nota
+FROM attivita a {repeat}a.id % 4{end}""",
     ),
     # one reply per notice
     "replies": (
@@ -84,6 +84,21 @@ FROM artigiani a""",
 SELECT a.id AS richiesta, a.cantiere_id AS cantiere_id, CASE a.id % 9 WHEN 0 THEN '   ' ELSE ' copy of ' || a.titolo END AS titolo, a.fase AS fase,
        a.stato AS stato, a.percentuale AS percentuale, CASE WHEN a.id % 4 = 0 THEN NULL ELSE a.scadenza END AS scadenza
 FROM attivita a""",
+    ),
+    "new_tickets": (
+        "ticket",
+        """
+SELECT t.id AS richiesta, t.cantiere_id AS cantiere_id, t.tipo AS tipo, CASE t.id % 8 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE ' copy of ' || t.titolo || ' ' END AS titolo,
+       t.descrizione AS descrizione, t.aperto_da AS aperto_da, t.responsabile AS responsabile, t.priorita AS priorita, t.stato AS stato, t.impatto AS impatto,
+       CASE WHEN t.id % 4 = 2 THEN NULL ELSE t.scadenza END AS scadenza, t.attivita_id AS attivita_id, t.foto_link AS foto_link
+FROM ticket t""",
+    ),
+    "quick_tickets": (
+        "ticket",
+        """
+SELECT t.id AS richiesta, t.cantiere_id AS cantiere_id, t.tipo AS tipo, t.priorita AS priorita, CASE t.id % 8 WHEN 3 THEN '' WHEN 4 THEN NULL ELSE ' quick ' || t.titolo END AS titolo,
+       t.descrizione AS descrizione, t.responsabile AS responsabile, t.impatto AS impatto, CASE WHEN t.id % 3 = 0 THEN '2030-01-01' END AS scadenza
+FROM ticket t""",
     ),
     # each site asks for one template; some ask for one that does not exist
     "template_requests": (

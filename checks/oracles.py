@@ -174,7 +174,8 @@ FROM flagged""",
     "feed": "SELECT * FROM messaggi",
     "kpi_rows": """
 SELECT cantiere_id, totale, completate, attivita_bloccate, scadute, 0 AS ticket_aperti, 0 AS bloccanti FROM task_facts
-UNION ALL SELECT cantiere_id, 0, 0, 0, 0, ticket_aperti, bloccanti FROM ticket_facts""",
+UNION ALL SELECT cantiere_id, 0, 0, 0, 0, ticket_aperti, bloccanti FROM ticket_facts
+UNION ALL SELECT id, 0, 0, 0, 0, 0, 0 FROM cantieri""",
     "cascade_changes": """
 SELECT n.ticket_id AS id, r.ts AS ts, r.seq AS seq, r.stato_ticket AS stato
 FROM replies r JOIN notifiche n ON n.id = r.id
@@ -465,6 +466,17 @@ FROM new_crews WHERE {_strip('nome')} <> ''"""
 SELECT (SELECT max(id) FROM attivita) + row_number() OVER (ORDER BY richiesta), cantiere_id, fase, {_strip('titolo')}, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), stato, 'Media',
        coalesce(scadenza, '2024-01-22'), CASE WHEN stato IN {DONE} THEN 100 ELSE greatest(0, least(100, coalesce(percentuale, 0))) END, CAST(NULL AS VARCHAR), {NOW}, CAST(NULL AS TIMESTAMP)
 FROM new_tasks WHERE {_strip('titolo')} <> ''"""
+    ),
+    "s05_append_typed_tickets": _with(
+        f"""SELECT {TICKET_ALL} FROM ticket UNION ALL
+SELECT (SELECT max(id) FROM ticket) + row_number() OVER (ORDER BY richiesta), cantiere_id, tipo, {_strip('titolo')}, descrizione, aperto_da, responsabile, priorita, stato, impatto,
+       coalesce(scadenza, '2024-01-16'), attivita_id, foto_link, {NOW}, CAST(NULL AS TIMESTAMP) FROM new_tickets WHERE {_strip('titolo')} <> ''"""
+    ),
+    "s05_append_quick_tickets": _with(
+        f"""SELECT {TICKET_ALL} FROM ticket UNION ALL
+SELECT (SELECT max(id) FROM ticket) + row_number() OVER (ORDER BY richiesta), cantiere_id, tipo, {_strip('titolo')}, descrizione, 'Capo cantiere', responsabile, priorita,
+       CASE WHEN tipo = 'Blocco' OR priorita = 'Critica' THEN 'Bloccante' ELSE 'Aperto' END, impatto, coalesce(scadenza, '2024-01-16'), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), {NOW}, CAST(NULL AS TIMESTAMP)
+FROM quick_tickets WHERE {_strip('titolo')} <> ''"""
     ),
     "s05_append_template_tasks": _with(
         f"""SELECT (SELECT max(id) FROM attivita) + row_number() OVER (ORDER BY r.cantiere_id, t.posto) AS id, r.cantiere_id AS cantiere_id, t.fase AS fase, t.titolo AS titolo, t.descrizione AS descrizione,
@@ -482,7 +494,9 @@ FROM notice_bodies b JOIN contacts c ON c.nome_cercato IS NOT DISTINCT FROM b.re
        coalesce(c.budget_iniziale, 0) AS budget_iniziale, coalesce(c.costo_effettivo, 0) AS costo_effettivo, coalesce(c.extra_approvati, 0) AS extra_approvati,
        c.note_budget AS note_budget, c.updated_at AS updated_at
 FROM (SELECT * FROM budget_changes QUALIFY row_number() OVER (PARTITION BY cantiere_id ORDER BY updated_at DESC) = 1) c
-LEFT JOIN budget_cantiere b ON b.cantiere_id = c.cantiere_id"""
+LEFT JOIN budget_cantiere b ON b.cantiere_id = c.cantiere_id
+UNION ALL SELECT b.id, b.cantiere_id, b.budget_iniziale, b.costo_effettivo, b.extra_approvati, b.note_budget, b.updated_at
+FROM budget_cantiere b WHERE NOT EXISTS (SELECT 1 FROM budget_changes c WHERE c.cantiere_id = b.cantiere_id)"""
     ),
     "s07_task_update": _with(
         "SELECT id, stato, priorita, CASE WHEN cambiata AND stato IN ('Completata', 'Verificata') THEN 100 WHEN cambiata THEN greatest(0, least(100, coalesce(percentuale, 0))) ELSE percentuale END AS percentuale, note, closed_at FROM ("
@@ -570,6 +584,7 @@ FROM notice_bodies b JOIN contacts c ON c.nome_cercato IS NOT DISTINCT FROM b.re
 UNION ALL SELECT 'tutti', CAST(NULL AS BIGINT), CASE WHEN sum(totale) > 0 THEN CAST(round_even(CAST(sum(completate) AS DOUBLE) / CAST(sum(totale) AS DOUBLE) * 100, 0) AS DOUBLE) ELSE 0 END FROM kpi_rows"""
     ),
     "a03_tasks_by_state": _with("SELECT stato, count(*) AS numero FROM attivita GROUP BY stato"),
+    "a03_tasks_by_state_per_site": _with("SELECT cantiere_id, stato, count(*) AS numero FROM attivita GROUP BY cantiere_id, stato"),
     "a04_site_progress": _with(
         "SELECT cantiere_id, CAST(round_even(CAST(somma AS DOUBLE) / totale, 0) AS INTEGER) AS avanzamento, totale, completate, in_corso, attivita_bloccate AS bloccate FROM task_facts"
     ),
@@ -641,13 +656,14 @@ LEFT JOIN tasks_run_6 b ON b.cantiere_id = x.cantiere_id LEFT JOIN tasks_next_5
     ),
     "m14_close_stamp": _with(f"SELECT id, stato, CASE WHEN stato IN {CLOSED} THEN coalesce(closed_at, {NOW}) END AS closed_at FROM ticket"),
     "m15_quick_ticket_state": _with(
-        "SELECT id, tipo, priorita, CASE WHEN tipo = 'Blocco' OR priorita = 'Critica' THEN 'Bloccante' ELSE 'Aperto' END AS stato, 'Capo cantiere' AS aperto_da, '2024-01-16' AS scadenza FROM ticket"
+        "SELECT id, tipo, priorita, titolo, CASE WHEN tipo = 'Blocco' OR priorita = 'Critica' THEN 'Bloccante' ELSE 'Aperto' END AS stato, 'Capo cantiere' AS aperto_da, '2024-01-16' AS scadenza FROM ticket"
     ),
     "m16_note_append": _with(
-        f"""SELECT a.id AS id, q.stato AS stato, CASE WHEN q.stato = 'Completata' THEN 100 ELSE least(100, q.percentuale) END AS percentuale,
-       CASE WHEN coalesce({_strip('q.nota')}, '') = '' THEN coalesce(a.note, '') ELSE CASE WHEN coalesce(a.note, '') = '' THEN '' ELSE a.note || {NL} END || '[15/01 09:30] ' || {_strip('q.nota')} END AS note,
-       CASE WHEN q.stato = 'Completata' THEN coalesce(a.closed_at, {NOW}) END AS closed_at
-FROM attivita a JOIN quick_updates q ON q.id = a.id"""
+        f"""SELECT x.id AS id, x.stato AS stato, CASE WHEN cambiata AND x.stato = 'Completata' THEN 100 WHEN cambiata THEN least(100, percentuale) ELSE percentuale END AS percentuale,
+       CASE WHEN NOT cambiata THEN vecchia WHEN n.righe IS NULL THEN coalesce(vecchia, '') ELSE CASE WHEN coalesce(vecchia, '') = '' THEN '' ELSE vecchia || {NL} END || n.righe END AS note,
+       closed_at FROM ({_changed("attivita", "quick_updates", ["stato", "priorita", "percentuale"], DONE, "l.id IS NOT NULL AS cambiata, t.note AS vecchia,")}) x
+LEFT JOIN (SELECT id, string_agg('[' || strftime(ts, '%d/%m %H:%M') || '] ' || {_strip('nota')}, {NL} ORDER BY ts, seq) AS righe
+           FROM quick_updates WHERE coalesce({_strip('nota')}, '') <> '' GROUP BY id) n ON n.id = x.id"""
     ),
     "m17_notice_stamps": _with(
         f"SELECT id, CASE WHEN stato = 'Inviata manualmente' THEN {NOW} END AS sent_at, CASE WHEN coalesce({_strip('risposta')}, '') <> '' THEN {NOW} ELSE responded_at END AS responded_at FROM notifiche"

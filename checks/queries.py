@@ -113,6 +113,18 @@ def s05_append_tasks(t: SiteTables) -> DataFrame:
     return changes.appended(t.attivita, batch, "attivita", "richiesta", NOW)
 
 
+@tables_query
+def s05_append_typed_tickets(t: SiteTables) -> DataFrame:
+    batch = changes.typed_tickets(change_set("new_tickets", t.ticket), TICKET_DAY)
+    return changes.appended(t.ticket, batch, "ticket", "richiesta", NOW)
+
+
+@tables_query
+def s05_append_quick_tickets(t: SiteTables) -> DataFrame:
+    batch = changes.quick_tickets(change_set("quick_tickets", t.ticket), TICKET_DAY)
+    return changes.appended(t.ticket, batch, "ticket", "richiesta", NOW)
+
+
 @tables_query
 def s05_append_template_tasks(t: SiteTables) -> DataFrame:
     batch = templates.expand_templates(change_set("template_requests", t.cantieri))
@@ -378,12 +390,12 @@ def j11_outbound_notices(t: SiteTables) -> DataFrame:
 # --- aggregations ----------------------------------------------------------
 @tables_query
 def a01_kpis(t: SiteTables) -> DataFrame:
-    return counts.kpis(t.attivita, t.ticket, AS_OF).drop("tasso_completamento")
+    return counts.kpis(t.cantieri, t.attivita, t.ticket, AS_OF).drop("tasso_completamento")
 
 
 @tables_query
 def a02_completion_rate(t: SiteTables) -> DataFrame:
-    return counts.kpis(t.attivita, t.ticket, AS_OF).select("vista", SITE, "tasso_completamento")
+    return counts.kpis(t.cantieri, t.attivita, t.ticket, AS_OF).select("vista", SITE, "tasso_completamento")
 
 
 @tables_query
@@ -391,6 +403,11 @@ def a03_tasks_by_state(t: SiteTables) -> DataFrame:
     return counts.tasks_by_state(t.attivita)
 
 
+@tables_query
+def a03_tasks_by_state_per_site(t: SiteTables) -> DataFrame:
+    return counts.tasks_by_state(t.attivita, per_site=True)
+
+
 @tables_query
 def a04_site_progress(t: SiteTables) -> DataFrame:
     percent = counts.percent_done(F.col("totale"), F.col("somma_percentuali"))
@@ -612,7 +629,7 @@ def m14_close_stamp(t: SiteTables) -> DataFrame:
 
 @tables_query
 def m15_quick_ticket_state(t: SiteTables) -> DataFrame:
-    batch = t.ticket.select("id", "tipo", "priorita")
+    batch = t.ticket.select("id", "tipo", "priorita", "titolo")
     return changes.quick_tickets(batch, TICKET_DAY)
 
 

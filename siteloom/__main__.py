@@ -1,6 +1,11 @@
 """Batch jobs over a snapshot of the site tables.
 
 python -m siteloom JOB --tables DIR --out DIR [--as-of DAY] [--site ID]
+
+``triage`` turns messages (--messages DIR) into new tickets and field updates;
+``tasks``, ``sites``, ``crews``, ``tickets`` and ``quick-tickets`` complete typed
+rows (--rows DIR, numbered by a column ``richiesta``). These jobs write the rows
+to append, with ids after those of the snapshot.
 """
 
 from __future__ import annotations
@@ -14,6 +19,8 @@ from pyspark.sql import functions as F
 
 from siteloom import vocabulary as v
 from siteloom.functions import scalars as s
+from siteloom.functions.triage import triage
+from siteloom.operators import changes
 from siteloom.operators.notices import outbound_notices
 from siteloom.plans import client, dashboard, foreman, notices, reports
 from siteloom.schema import SiteTables
@@ -24,11 +31,11 @@ Parts = dict[str, DataFrame]
 
 
 def _dashboard(t: SiteTables, day: dt.date, brand: v.Brand) -> Parts:
-    return dashboard.operations_dashboard(t, day)
+    return dashboard.operations_dashboard(t, day, brand=brand)
 
 
 def _foreman(t: SiteTables, day: dt.date, brand: v.Brand) -> Parts:
-    return foreman.foreman_view(t, day)
+    return foreman.foreman_view(t, day, brand)
 
 
 def _client(t: SiteTables, day: dt.date, brand: v.Brand) -> Parts:
@@ -39,6 +46,23 @@ def _notices(t: SiteTables, day: dt.date, brand: v.Brand) -> Parts:
     return {**notices.notice_centre(t), "messaggi": outbound_notices(t.ticket, t.cantieri, t.artigiani, brand)}
 
 
+def _new_rows(job: str, t: SiteTables, rows: DataFrame, day: dt.date, now: dt.datetime) -> Parts:
+    """The rows that a job appends, by table."""
+    if job == "triage":
+        found = triage(rows)
+        made = {"ticket": changes.ticket_batch(found, day), "aggiornamenti": changes.update_batch(found)}
+        return {name: changes.new_rows(batch, name, t[name], "messaggio_id", now) for name, batch in made.items()}
+    table, batch = {
+        "tasks": ("attivita", lambda: changes.task_batch(rows, day)),
+        "sites": ("cantieri", lambda: changes.site_batch(rows, day)),
+        "crews": ("artigiani", lambda: changes.crew_batch(rows)),
+        "tickets": ("ticket", lambda: changes.typed_tickets(rows, day)),
+        "quick-tickets": ("ticket", lambda: changes.quick_tickets(rows, day)),
+    }[job]
+    return {table: changes.new_rows(batch(), table, t[table], "richiesta", now)}
+
+
+WRITERS = ["triage", "tasks", "sites", "crews", "tickets", "quick-tickets"]
 VIEWS: dict[str, Callable[[SiteTables, dt.date, v.Brand], Parts]] = {
     "dashboard": _dashboard,
     "foreman": _foreman,
@@ -49,10 +73,12 @@ VIEWS: dict[str, Callable[[SiteTables, dt.date, v.Brand], Parts]] = {
 
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="siteloom", description=__doc__)
-    parser.add_argument("job", choices=[*VIEWS, "daily-reports", "client-reports", "csv", "backup"])
+    parser.add_argument("job", choices=[*VIEWS, *WRITERS, "daily-reports", "client-reports", "csv", "backup"])
     parser.add_argument("--tables", required=True, help="folder of a snapshot")
     parser.add_argument("--out", required=True, help="folder to write; must not exist")
     parser.add_argument("--as-of", type=dt.date.fromisoformat, default=dt.date.today())
+    parser.add_argument("--now", type=dt.datetime.fromisoformat, default=dt.datetime.now(), help="creation time of new rows")
+    parser.add_argument("--messages", "--rows", dest="rows", help="folder with the rows that a job appends")
     parser.add_argument("--site", type=int, help="one site instead of all")
     parser.add_argument("--brand", default="", help="company name printed in texts")
     parser.add_argument("--by-site", action="store_true", help="backup: order the files by site")
@@ -65,6 +91,12 @@ def main(arguments: list[str] | None = None) -> None:
     if given.job in VIEWS:
         for name, part in VIEWS[given.job](tables, given.as_of, brand).items():
             part.write.mode("errorifexists").parquet(f"{given.out}/{name}")
+    elif given.job in WRITERS:
+        if not given.rows:
+            parser.error(f"{given.job} needs --messages or --rows")
+        rows = spark.read.parquet(given.rows)
+        for name, part in _new_rows(given.job, tables, rows, given.as_of, given.now).items():
+            part.write.mode("errorifexists").parquet(f"{given.out}/{name}")
     elif given.job == "csv":
         snapshots.export_csv(tables, given.out)
     elif given.job == "backup":

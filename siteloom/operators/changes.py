@@ -37,10 +37,6 @@ def accepted(batch: DataFrame, table: str) -> DataFrame:
     return validated(batch, table).where("accettata").drop("accettata")
 
 
-def rejected(batch: DataFrame, table: str) -> DataFrame:
-    return validated(batch, table).where("not accettata").drop("accettata")
-
-
 def new_rows(batch: DataFrame, table: str, existing: DataFrame, order: str, now: dt.datetime) -> DataFrame:
     """Insert batch completed with ids after the highest in use, defaults and creation time.
 
@@ -104,15 +100,15 @@ def _with_missing_day(batch: DataFrame, column: str, as_of: dt.date, days: int)
     return batch.withColumn(column, F.coalesce(column, day))
 
 
+def typed_tickets(batch: DataFrame, as_of: dt.date) -> DataFrame:
+    """Typed tickets: blank titles are left out, due the next day unless said."""
+    return _with_missing_day(accepted(batch, "ticket"), "scadenza", as_of, v.TICKET_DUE_DAYS)
+
+
 def quick_tickets(batch: DataFrame, as_of: dt.date) -> DataFrame:
-    """Tickets typed by the foreman: state follows type and priority, due the next day."""
-    return batch.withColumns(
-        {
-            "stato": s.quick_ticket_state(F.col("tipo"), F.col("priorita")),
-            "aperto_da": F.lit(v.FOREMAN),
-            "scadenza": F.lit(str(as_of + dt.timedelta(days=v.TICKET_DUE_DAYS))),
-        }
-    )
+    """Tickets typed by the foreman: as typed tickets, but the state follows type and priority."""
+    state = s.quick_ticket_state(F.col("tipo"), F.col("priorita"))
+    return typed_tickets(batch, as_of).withColumns({"stato": state, "aperto_da": F.lit(v.FOREMAN)})
 
 
 # --- keyed updates ---------------------------------------------------------
@@ -195,30 +191,22 @@ def apply_ticket_changes(tickets: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def apply_quick_task_updates(tasks: DataFrame, updates: DataFrame) -> DataFrame:
-    """Quick updates (id, ts, stato, priorita, percentuale, nota): the note is appended with its time.
+    """Quick updates (id, ts, seq, stato, priorita, percentuale, nota), any number per task.
 
-    At most one quick update per task and batch, as for a merge: a second one
-    stops the job instead of being lost.
+    State, priority and percent are those of the last update; every note with
+    text is appended on a line of its own, with its time, in order.
     """
-    typed = F.struct("ts", "stato", "priorita", "percentuale", "nota")
-    once = updates.groupBy("id").agg(F.count(F.lit(1)).alias("_times"), F.any_value(typed).alias("_u"))
-    complaint = F.concat(F.lit("more than one quick update for task "), F.col("id").cast("string"))
-    checked = once.where(
-        F.when(F.col("_times") == 1, F.lit(True)).otherwise(F.raise_error(complaint).cast("boolean"))
-    )
-    changed = F.col("_u").isNotNull()
-    fresh = {
-        "stato": F.col("_u.stato"),
-        "priorita": F.col("_u.priorita"),
-        "percentuale": s.effective_percent(F.col("_u.stato"), F.col("_u.percentuale")).cast("bigint"),
-        "note": s.appended_note(F.col("note"), F.col("_u.nota"), F.col("_u.ts")),
-        "closed_at": s.close_stamp(v.TASK_DONE, F.col("_u.stato"), F.col("closed_at"), F.col("_u.ts")),
-    }
-    return (
-        tasks.join(checked, "id", "left")
-        .withColumns({name: F.when(changed, value).otherwise(F.col(name)) for name, value in fresh.items()})
-        .select(*tasks.columns)
+    coherent = updates.drop("nota").withColumn(
+        "percentuale", s.effective_percent(F.col("stato"), F.col("percentuale")).cast("bigint")
     )
+    changed = apply_changes(tasks, coherent, "attivita", ["stato", "priorita", "percentuale"])
+    line = F.struct("ts", "seq", s.appended_note(F.lit(None).cast("string"), F.col("nota"), F.col("ts")).alias("riga"))
+    # the lines of a task become one value of its row, so they have to meet there
+    lines = updates.groupBy("id").agg(F.sort_array(F.collect_list(F.when(p.has_text(F.col("nota")), line))).alias("_lines"))
+    old = F.coalesce("note", F.lit(""))
+    grown = F.concat_ws("\n", F.nullif(F.col("note"), F.lit("")), F.col("_lines.riga"))
+    note = F.when(F.col("_lines").isNull(), F.col("note")).when(F.size("_lines") == 0, old).otherwise(grown)
+    return changed.join(lines, "id", "left").withColumn("note", note).select(*tasks.columns)
 
 
 def apply_replies(notices: DataFrame, replies: DataFrame) -> DataFrame:
@@ -262,22 +250,20 @@ def apply_cascade(tickets: DataFrame, notices: DataFrame, replies: DataFrame) ->
 def upsert_budgets(existing: DataFrame, changes: DataFrame) -> DataFrame:
     """Insert or replace by site; the latest row wins and nulls in amounts become 0.
 
-    A site that already has a row keeps its id; new ones take the next free ids.
+    Of rows with the same time the one with the larger values wins, compared in
+    the order of the columns. A site that already has a row keeps its id; new
+    ones take the next free ids. The changes are folded first, and the base
+    table is read once, by one join.
     """
-    incoming = changes.select(
+    amounts = [F.coalesce(F.col(name), F.lit(0.0)).alias(name) for name in AMOUNTS]
+    latest = changes.groupBy(SITE).agg(F.max(F.struct("updated_at", *amounts, "note_budget")).alias("_last"))
+    merged = existing.join(latest, SITE, "full").select(
+        "id",
         SITE,
-        *[F.coalesce(F.col(name), F.lit(0.0)).alias(name) for name in AMOUNTS],
-        "note_budget",
-        "updated_at",
-        F.lit(1).alias("_new"),
-        F.lit(None).cast("bigint").alias("id"),
-    )
-    both = existing.withColumn("_new", F.lit(0)).unionByName(incoming)
-    values = F.struct(*AMOUNTS, "note_budget", "updated_at")
-    merged = (
-        both.groupBy(SITE)
-        .agg(F.max("id").alias("id"), F.max_by(values, F.struct("_new", "updated_at")).alias("_last"))
-        .select("id", SITE, "_last.*")
+        *[
+            F.when(F.col("_last").isNotNull(), F.col(f"_last.{name}")).otherwise(F.col(name)).alias(name)
+            for name in (*AMOUNTS, "note_budget", "updated_at")
+        ],
     )
     fresh = dense_ids(merged.where(F.col("id").isNull()).drop("id"), SITE, next_id(existing))
     kept = merged.where(F.col("id").isNotNull())

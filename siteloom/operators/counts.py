@@ -7,6 +7,7 @@ rows sends one partial row per input partition.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,16 +120,17 @@ def site_progress(sites: DataFrame, tasks: DataFrame) -> DataFrame:
 KPI = ["totale", "completate", "attivita_bloccate", "ticket_aperti", "bloccanti", "scadute"]
 
 
-def kpis(tasks: DataFrame, tickets: DataFrame, as_of: dt.date) -> DataFrame:
-    """KPI row of every site that has rows, and of all rows together (cantiere_id null).
+def kpis(sites: DataFrame, tasks: DataFrame, tickets: DataFrame, as_of: dt.date) -> DataFrame:
+    """KPI row of every site, zeros included, of keys without a site, and of all rows together (cantiere_id null).
 
     The rollup runs over per-site counts, not over tasks and tickets.
     """
+    listed = sites.select(F.col("id").alias(SITE))
     task_part = task_counts(tasks, as_of).select(
         SITE, "totale", "completate", "attivita_bloccate", "scadute"
     )
     ticket_part = ticket_counts(tickets).select(SITE, "ticket_aperti", "bloccanti")
-    stacked = task_part.unionByName(ticket_part, allowMissingColumns=True)
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [task_part, ticket_part, listed])
     return (
         stacked.rollup(SITE)
         .agg(
@@ -144,8 +146,9 @@ def kpis(tasks: DataFrame, tickets: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
-def tasks_by_state(tasks: DataFrame) -> DataFrame:
-    return tasks.groupBy("stato").agg(F.count(F.lit(1)).alias("numero"))
+def tasks_by_state(tasks: DataFrame, per_site: bool = False) -> DataFrame:
+    """Number of tasks in each state, over all tasks or of each site."""
+    return tasks.groupBy(*[SITE] * per_site, "stato").agg(F.count(F.lit(1)).alias("numero"))
 
 
 def foreman_kpis(sites: DataFrame, tasks: DataFrame, tickets: DataFrame) -> DataFrame:

@@ -77,27 +77,27 @@ def contact_index(names: DataFrame, crews: DataFrame, name_col: str) -> DataFram
     """Phone for every wanted name that finds a crew: (_key, telefono), key in lower case.
 
     A wanted name matches a crew whose name equals it, else one whose name
-    contains it; the lowest id wins. "Contains" means equality with one of the
-    substrings of the crew name, so this is one hash aggregation over substrings
-    and no name is ever compared with all others. Only lengths that occur among
-    the wanted names are cut out.
+    contains it; the lowest id wins. Names that equal one are settled by that
+    join. "Contains" means equality with one of the substrings of the crew name,
+    so the names left over meet the substrings of their lengths in a second
+    join, and no name is ever compared with all others. Substrings that nobody
+    wants go in that join, before they are aggregated.
     """
     wanted = names.select(F.lower(F.col(name_col)).alias("_key")).where(F.length("_key") > 0).distinct()
-    # at most one row per character of the longest wanted name, so it can be broadcast
-    lengths = F.broadcast(wanted.select(F.length("_key").alias("_n")).distinct())
     active = crews.where(p.crew_active(F.col("attivo")) & F.col("nome").isNotNull())
-    by_length = active.select(F.col("id").alias("_crew"), F.lower(F.col("nome")).alias("_name")).select(
-        "*", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_name"), F.lit(1)))).alias("_n")
-    )
+    named = active.select(F.col("id").alias("_crew"), F.lower(F.col("nome")).alias("_name"))
+    equal = wanted.join(named.groupBy(F.col("_name").alias("_key")).agg(F.min("_crew").alias("_crew")), "_key")
+    rest = wanted.join(equal, "_key", "left_anti")
+    # at most one row per character of the longest wanted name, so it can be broadcast
+    lengths = F.broadcast(rest.select(F.length("_key").alias("_n")).distinct())
+    by_length = named.select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_name"), F.lit(1)))).alias("_n"))
     pieces = by_length.where(F.col("_n") <= F.length("_name")).join(lengths, "_n").select(
         "_crew", "_name", "_n", F.explode(F.sequence(F.lit(1), F.length("_name") - F.col("_n") + 1)).alias("_at")
     )
-    best = pieces.groupBy(F.substring(F.col("_name"), F.col("_at"), F.col("_n")).alias("_key")).agg(
-        F.min(F.when(F.length("_name") == F.col("_n"), F.col("_crew"))).alias("_equal"), F.min("_crew").alias("_any")
-    )
+    pieces = pieces.select("_crew", F.substring(F.col("_name"), F.col("_at"), F.col("_n")).alias("_key"))
+    held = pieces.join(rest, "_key").groupBy("_key").agg(F.min("_crew").alias("_crew"))
     phones = crews.select(F.col("id").alias("_crew"), F.coalesce("telefono", F.lit("")).alias("telefono"))
-    found = wanted.join(best, "_key").select("_key", F.coalesce("_equal", "_any").alias("_crew"))
-    return found.join(phones, "_crew").select("_key", "telefono")
+    return equal.unionByName(held).join(phones, "_crew").select("_key", "telefono")
 
 
 def with_contact_phone(rows: DataFrame, crews: DataFrame, name_col: str, row_id: str = "id") -> DataFrame:
@@ -116,18 +116,17 @@ def with_contact_phone(rows: DataFrame, crews: DataFrame, name_col: str, row_id:
 def orphans(tables: SiteTables) -> DataFrame:
     """Keys that point to no parent row, with the number of rows that hold them.
 
-    Keys are counted first, so a hot key is one row when it meets its parent table.
+    Keys are counted first, so a hot key is one row when it meets its parent
+    table, and all children of a parent meet it in one join.
     """
-    reports = []
+    by_parent: dict[str, list[DataFrame]] = {}
     for child, column, parent in FOREIGN_KEYS:
-        keys = (
-            tables[child]
-            .where(F.col(column).isNotNull())
-            .groupBy(F.col(column).alias("chiave"))
-            .agg(F.count(F.lit(1)).alias("righe"))
-        )
-        missing = keys.join(tables[parent].select(F.col("id").alias("chiave")), "chiave", "left_anti")
-        reports.append(
-            missing.select(F.lit(child).alias("tabella"), F.lit(column).alias("colonna"), "chiave", "righe")
-        )
-    return reduce(DataFrame.unionByName, reports)
+        keys = tables[child].where(F.col(column).isNotNull()).groupBy(F.col(column).alias("chiave"))
+        counted = keys.agg(F.count(F.lit(1)).alias("righe"))
+        named = counted.select(F.lit(child).alias("tabella"), F.lit(column).alias("colonna"), "chiave", "righe")
+        by_parent.setdefault(parent, []).append(named)
+    reports = [
+        reduce(DataFrame.unionByName, parts).join(tables[parent].select(F.col("id").alias("chiave")), "chiave", "left_anti")
+        for parent, parts in by_parent.items()
+    ]
+    return reduce(DataFrame.unionByName, reports).select("tabella", "colonna", "chiave", "righe")

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteloom import vocabulary as v
 from siteloom.functions import predicates as p
 from siteloom.functions import scalars as s
 from siteloom.operators import counts, lists, lookups
@@ -31,9 +32,9 @@ def scoped(tables: SiteTables, site_id: int | None) -> SiteTables:
     )
 
 
-def site_rows(tables: SiteTables, as_of: dt.date) -> DataFrame:
+def site_rows(tables: SiteTables, as_of: dt.date, brand: v.Brand = v.NO_BRAND) -> DataFrame:
     """KPI, progress and risk of every site in one row."""
-    facts = site_facts(tables, as_of, budget=False)
+    facts = site_facts(tables, as_of, brand, budget=False)
     return facts.select(
         F.col("id").alias("cantiere_id"),
         F.col("nome").alias("cantiere"),
@@ -73,15 +74,18 @@ def next_due(tables: SiteTables, k: int = NEXT_ROWS) -> DataFrame:
     return rows.orderBy(*lists.by_due_date()).limit(k).select(*TASK_COLUMNS)
 
 
-def operations_dashboard(tables: SiteTables, as_of: dt.date, site_id: int | None = None) -> dict[str, DataFrame]:
+def operations_dashboard(
+    tables: SiteTables, as_of: dt.date, site_id: int | None = None, brand: v.Brand = v.NO_BRAND
+) -> dict[str, DataFrame]:
     """All parts of the dashboard, lazily."""
     scope = scoped(tables, site_id)
     return {
-        "kpi": counts.kpis(scope.attivita, scope.ticket, as_of),
-        "cantieri": site_rows(scope, as_of),
+        "kpi": counts.kpis(scope.cantieri, scope.attivita, scope.ticket, as_of),
+        "cantieri": site_rows(scope, as_of, brand),
         "avanzamento": counts.site_progress(scope.cantieri, scope.attivita).orderBy(*lists.newest_created_first()),
         "ticket_aperti": open_ticket_list(scope),
         "attivita_per_stato": counts.tasks_by_state(scope.attivita),
+        "attivita_per_stato_e_cantiere": counts.tasks_by_state(scope.attivita, per_site=True),
         "attivita": task_list(scope),
         "prossime": next_due(scope),
     }

@@ -16,8 +16,8 @@ from siteloom.plans.facts import site_facts
 from siteloom.schema import SiteTables
 
 
-def foreman_cards(tables: SiteTables, as_of: dt.date) -> DataFrame:
-    return site_facts(tables, as_of, budget=False).select(
+def foreman_cards(tables: SiteTables, as_of: dt.date, brand: v.Brand = v.NO_BRAND) -> DataFrame:
+    return site_facts(tables, as_of, brand, budget=False).select(
         F.col("id").alias(SITE),
         F.col("nome").alias("cantiere"),
         s.or_else(F.col("cliente"), v.DASH).alias("cliente"),
@@ -78,9 +78,9 @@ def open_tickets_by_rank(tables: SiteTables) -> DataFrame:
     return rows.orderBy(SITE, *lists.by_priority_rank())
 
 
-def foreman_view(tables: SiteTables, as_of: dt.date) -> dict[str, DataFrame]:
+def foreman_view(tables: SiteTables, as_of: dt.date, brand: v.Brand = v.NO_BRAND) -> dict[str, DataFrame]:
     return {
-        "schede": foreman_cards(tables, as_of),
+        "schede": foreman_cards(tables, as_of, brand),
         "oggi": todays_tasks(tables),
         "blocchi": todays_blocks(tables),
         "ticket": open_tickets_by_rank(tables),

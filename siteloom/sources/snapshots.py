@@ -1,7 +1,9 @@
 """Reading and writing the seven tables: Parquet snapshots and CSV exports.
 
-Plain Parquet has no MERGE: every change writes a new snapshot folder, and no
-folder is overwritten while it is read.
+Plain Parquet has no MERGE: every change of rows writes a new snapshot folder,
+and no folder is overwritten while it is read. The manifest of a snapshot holds
+its row counts. It is written last, so it is the mark of a change that is
+complete: a folder whose rows differ from it was left in the middle of one.
 """
 
 from __future__ import annotations
@@ -51,13 +53,22 @@ def write_snapshot(tables: SiteTables, root: str, by_site: bool = False) -> None
         rows = conform(df, name)
         rows = _by_site(rows, name) if by_site else rows
         rows.write.mode("errorifexists").parquet(f"{root}/{name}")
-    row_counts(read_tables(spark, root)).coalesce(1).write.mode("errorifexists").parquet(f"{root}/{MANIFEST}")
+    _commit(spark, root)
+
+
+def _commit(spark: SparkSession, root: str) -> None:
+    """Write the manifest: one row per table, counted from what is really in the folders."""
+    row_counts(read_tables(spark, root)).coalesce(1).write.mode("overwrite").parquet(f"{root}/{MANIFEST}")
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("tabella string, righe long").parquet(f"{root}/{MANIFEST}")
 
 
 def restore_snapshot(spark: SparkSession, root: str) -> SiteTables:
     """Read a snapshot back; a table that lost rows since the backup stops the restore."""
     tables = read_tables(spark, root)
-    manifest = spark.read.parquet(f"{root}/{MANIFEST}").withColumnRenamed("righe", "attese")
+    manifest = _manifest(spark, root).withColumnRenamed("righe", "attese")
     wrong = row_counts(tables).join(manifest, "tabella", "left").where(~F.col("righe").eqNullSafe(F.col("attese")))
     broken = [row.tabella for row in wrong.collect()]  # at most one row per table
     if broken:
@@ -69,19 +80,25 @@ def purge(spark: SparkSession, root: str) -> None:
     """A new snapshot in which every table is empty, children written before parents."""
     for name in PURGE_ORDER:
         spark.createDataFrame([], SCHEMAS[name]).write.mode("errorifexists").parquet(f"{root}/{name}")
+    _commit(spark, root)
 
 
 def load_if_empty(spark: SparkSession, root: str, seed: SiteTables) -> bool:
-    """Append the seed only where the sites table holds no row yet."""
-    if not read_table(spark, root, "cantieri").isEmpty():
+    """Write the seed only where the manifest says that the sites table holds no row yet.
+
+    A load that failed half-way left no manifest of its rows, so the next one replaces them.
+    """
+    if not _manifest(spark, root).where("tabella = 'cantieri' AND righe > 0").isEmpty():
         return False
     for name, df in seed.items():
-        conform(df, name).write.mode("append").parquet(f"{root}/{name}")
+        conform(df, name).write.mode("overwrite").parquet(f"{root}/{name}")
+    _commit(spark, root)
     return True
 
 
 def append_rows(batch: DataFrame, root: str, table: str) -> None:
     conform(batch, table).write.mode("append").parquet(f"{root}/{table}")
+    _commit(batch.sparkSession, root)
 
 
 CSV = {

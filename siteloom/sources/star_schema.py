@@ -38,7 +38,7 @@ SELECT s_suppkey AS id, s_name AS nome,
        CAST('2023-01-01 08:00:00' AS {ts}) AS created_at
 FROM supplier""",
     "attivita": """
-SELECT o_orderkey AS id, o_custkey AS cantiere_id,
+SELECT o_orderkey AS id, CASE WHEN o_custkey % 40 = 9 THEN 800000000 + o_custkey ELSE o_custkey END AS cantiere_id,
        'Fase ' || CAST(o_orderkey % 13 AS STRING) AS fase, 'Task ' || CAST(o_orderkey AS STRING) AS titolo,
        'total ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) AS descrizione,
        CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Supplier#' || lpad(CAST(o_orderkey % 10 AS STRING), 9, '0') END AS assegnato_a,
@@ -55,7 +55,7 @@ SELECT o_orderkey AS id, o_custkey AS cantiere_id,
        CASE o_orderkey % 4 WHEN 0 THEN 'note ' || CAST(o_orderkey AS STRING) WHEN 1 THEN '' END AS note,
        CAST(o_orderdate AS {ts}) AS created_at,
        CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN CAST(o_orderdate + INTERVAL 10 DAYS AS {ts}) END AS closed_at
-FROM orders WHERE o_custkey % 40 <> 9""",
+FROM orders""",
     "ticket": """
 SELECT event_id AS id,
        CASE WHEN event_id % 200 = 199 THEN 900000000 + event_id ELSE user_id * 10 + event_id % 7 END AS cantiere_id,
@@ -77,13 +77,13 @@ SELECT event_id AS id,
        CASE WHEN event_id % 11 IN (4, 7, 9) THEN CAST(ts + INTERVAL 1 DAYS AS {ts}) END AS closed_at
 FROM events""",
     "budget_cantiere": """
-SELECT c_custkey AS id, c_custkey AS cantiere_id,
+SELECT c_custkey AS id, CASE WHEN c_custkey % 15 = 7 THEN 800000000 + c_custkey ELSE c_custkey END AS cantiere_id,
        CASE WHEN c_custkey % 20 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(10000 + (c_custkey % 50) * 1000 AS DOUBLE) END AS budget_iniziale,
        abs(c_acctbal) * (1 + c_custkey % 6) AS costo_effettivo,
        CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST((c_custkey % 10) * 100 AS DOUBLE) END AS extra_approvati,
        CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'note ' || c_name END AS note_budget,
        CAST('2023-06-01 08:00:00' AS {ts}) AS updated_at
-FROM customer WHERE c_custkey % 15 <> 7""",
+FROM customer""",
     "notifiche": """
 SELECT e.event_id * 10 + k.k AS id, e.user_id * 10 + e.event_id % 7 AS cantiere_id,
        CASE WHEN e.event_id % 14 = 0 THEN NULL WHEN e.event_id % 50 = 48 THEN 900000000 + e.event_id ELSE e.event_id END AS ticket_id,
@@ -96,17 +96,16 @@ SELECT e.event_id * 10 + k.k AS id, e.user_id * 10 + e.event_id % 7 AS cantiere_
        CAST(CASE k.k WHEN 1 THEN e.ts + INTERVAL 1 HOURS WHEN 2 THEN e.ts + INTERVAL 2 HOURS ELSE e.ts + INTERVAL 3 HOURS END AS {ts}) AS created_at,
        CASE WHEN k.k = 2 THEN CAST(e.ts + INTERVAL 2 HOURS AS {ts}) END AS sent_at,
        CASE WHEN k.k = 3 THEN CAST(e.ts + INTERVAL 5 HOURS AS {ts}) END AS responded_at
-FROM events e {repeat}1 + e.event_id % 3{end}
-WHERE e.event_id % 2 = 0""",
+FROM events e {repeat}1 + e.event_id % 3{end}""",
     "messaggi": """
 SELECT conv_id * 1000 + turn AS id, conv_id AS cantiere_id, role AS autore,
        CASE (conv_id + turn) % 9
-         WHEN 0 THEN 'Sono fermo, manca il materiale. Urgente' WHEN 1 THEN 'Non posso proseguire oggi'
-         WHEN 2 THEN 'Servono le piastrelle. Grazie' WHEN 3 THEN 'Serve conferma del cliente sui sanitari'
-         WHEN 4 THEN 'Ho finito le tracce, ma manca conferma posizione termoarredo. Domani non posso chiudere.'
-         WHEN 5 THEN 'Arrivo subito' WHEN 6 THEN '   ' WHEN 7 THEN '. punto iniziale' ELSE text END AS testo,
+         WHEN 0 THEN 'Sono fermo, manca il materiale. Urgente ' || text WHEN 1 THEN 'Non posso proseguire oggi ' || text
+         WHEN 2 THEN 'Servono le piastrelle. Grazie ' || text WHEN 3 THEN 'Serve conferma del cliente sui sanitari ' || text
+         WHEN 4 THEN 'Ho finito le tracce, ma manca conferma posizione termoarredo. Domani non posso chiudere. ' || text
+         WHEN 5 THEN 'Arrivo subito ' || text WHEN 6 THEN '   ' || text || '  ' WHEN 7 THEN '. punto iniziale ' || text ELSE text END AS testo,
        CAST(CAST(DATE '2024-01-01' + CAST(conv_id % 28 AS INT) AS STRING) || ' 08:00:00' AS {ts}) AS created_at
-FROM conversations WHERE role = 'user'""",
+FROM conversations""",
     "aggiornamenti": """
 SELECT conv_id * 1000 + turn AS id, conv_id AS cantiere_id, role AS autore, text AS testo,
        CASE WHEN turn % 2 = 0 THEN 'Avanzamento' END AS categoria,

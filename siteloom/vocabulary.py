@@ -35,40 +35,13 @@ TYPE_MATERIAL = "Richiesta materiale"
 TYPE_EXTRA = "Extra lavoro"
 TYPE_DELAY = "Rischio ritardo"
 TYPE_COMPLETION = "Completamento attività"
-TICKET_TYPES = [
-    "Avanzamento",
-    "Blocco",
-    "Richiesta decisione",
-    "Richiesta materiale",
-    "Richiesta altro artigiano",
-    "Difetto / non conformità",
-    "Extra lavoro",
-    "Rischio ritardo",
-    "Completamento attività",
-]
 TYPES_FOR_CLIENT = [TYPE_DECISION, TYPE_MATERIAL, TYPE_EXTRA]
 TYPES_OPERATIONAL = [TYPE_BLOCK, TYPE_DECISION, TYPE_MATERIAL, TYPE_DELAY]
 TYPES_TO_CONFIRM = [TYPE_DECISION, TYPE_MATERIAL]
 TYPES_AT_RISK = [TYPE_BLOCK, TYPE_DELAY]
 
-PHASES = [
-    "Sopralluogo / setup",
-    "Demolizioni",
-    "Murature / tracce",
-    "Impianto idraulico",
-    "Impianto elettrico",
-    "Cartongesso",
-    "Massetti / sottofondi",
-    "Pavimenti / rivestimenti",
-    "Serramenti / porte",
-    "Tinteggiatura",
-    "Sanitari / rubinetterie",
-    "Finiture",
-    "Pulizia / consegna",
-]
 SITE_STATES = ["Attivo", "In pausa", "Completato", "Archiviato"]
 NOTICE_STATES = ["Preparata", "Inviata manualmente", "Risposta ricevuta", "Chiusa"]
-NOTICE_PREPARED = "Preparata"
 NOTICE_SENT_BY_HAND = "Inviata manualmente"
 NOTICE_SENT = ["Inviata manualmente", "Risposta ricevuta", "Chiusa"]
 NOTICE_KEEP_TICKET = "Non modificare"

@@ -97,14 +97,45 @@ def test_cascade_skips_unlinked_and_unasked(spark):
     assert rows == {10: ("Chiuso", T0 + dt.timedelta(days=1)), 11: ("Aperto", None), 12: ("Aperto", None)}
 
 
-def test_second_quick_update_stops_the_batch(spark):
-    t = make_tables(spark, attivita=[{"id": 1, "note": "a"}])
-    schema = "id bigint, ts timestamp_ntz, stato string, priorita string, percentuale bigint, nota string"
-    single = spark.createDataFrame([(1, T0, "Completata", "Alta", 10, "b")], schema)
-    row = changes.apply_quick_task_updates(t.attivita, single).first()
-    assert (row.note, row.percentuale, row.closed_at) == ("a\n[01/01 08:00] b", 100, T0)
-    with pytest.raises(Exception, match="more than one quick update for task 1"):
-        changes.apply_quick_task_updates(t.attivita, single.unionByName(single)).collect()
+def test_quick_updates_in_order(spark):
+    t = make_tables(spark, attivita=[{"id": 1, "note": "a"}, {"id": 2, "note": None}, {"id": 3, "note": None}])
+    schema = "id bigint, ts timestamp_ntz, seq bigint, stato string, priorita string, percentuale bigint, nota string"
+    later = T0 + dt.timedelta(hours=1)
+    log = [
+        (1, later, 3, "Completata", "Alta", 10, " d "),
+        (1, T0, 1, "In corso", "Bassa", 20, "b"),
+        (1, later, 2, "Verificata", "Bassa", 5, "c"),
+        (2, T0, 1, "In corso", "Alta", 30, "  "),
+    ]
+    rows = {r.id: r for r in changes.apply_quick_task_updates(t.attivita, spark.createDataFrame(log, schema)).collect()}
+    assert rows[1].note == "a\n[01/01 08:00] b\n[01/01 09:00] c\n[01/01 09:00] d"
+    assert (rows[1].stato, rows[1].priorita, rows[1].percentuale, rows[1].closed_at) == ("Completata", "Alta", 100, later)
+    assert (rows[2].note, rows[2].percentuale, rows[2].closed_at) == ("", 30, None)
+    assert rows[3].note is None
+
+
+def test_ticket_forms(spark):
+    schema = "richiesta bigint, tipo string, priorita string, titolo string, scadenza string"
+    batch = spark.createDataFrame([(1, "Blocco", "Alta", " x ", "2030-01-01"), (2, "Difetto", "Media", "y", None), (3, "Blocco", "Alta", " ", None)], schema)
+    rows = {r.richiesta: r for r in changes.quick_tickets(batch, dt.date(2024, 1, 15)).collect()}
+    assert {k: (r.titolo, r.scadenza, r.stato) for k, r in rows.items()} == {1: ("x", "2030-01-01", "Bloccante"), 2: ("y", "2024-01-16", "Aperto")}
+    assert sorted(r.richiesta for r in changes.typed_tickets(batch, dt.date(2024, 1, 15)).collect()) == [1, 2]
+
+
+def test_budget_changes_of_one_moment(spark):
+    t = make_tables(spark, budget_cantiere=[{"id": 5, "cantiere_id": 1}])
+    schema = "cantiere_id bigint, budget_iniziale double, costo_effettivo double, extra_approvati double, note_budget string, updated_at timestamp_ntz"
+    log = [(1, 2.0, 1.0, None, "b", T0), (1, 3.0, 0.0, None, "a", T0), (1, 9.0, 9.0, 9.0, "old", T0 - dt.timedelta(days=1))]
+    for rows in (log, log[::-1]):
+        row = changes.upsert_budgets(t.budget_cantiere, spark.createDataFrame(rows, schema).repartition(3)).first()
+        assert (row.id, row.budget_iniziale, row.note_budget) == (5, 3.0, "a")
+
+
+def test_dense_ids_of_a_computed_column(spark):
+    batch = spark.range(1000).select((F.col("id") * 7).alias("k"))
+    rows = dense_ids(batch, "k", 1)
+    rows.write.format("noop").mode("overwrite").save()
+    assert [r.id for r in rows.orderBy("k").collect()] == list(range(1, 1001))
 
 
 def test_budget_upsert(spark):

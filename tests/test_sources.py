@@ -57,6 +57,25 @@ def test_load_if_empty(spark, tmp_path):
     assert snapshots.read_table(spark, root, "ticket").count() == 2
 
 
+def test_a_failed_load_is_done_again(spark, tmp_path):
+    root = str(tmp_path / "fresh")
+    snapshots.purge(spark, root)
+    # a load that stopped after its first table
+    demo_tables(spark).cantieri.write.mode("append").parquet(f"{root}/cantieri")
+    with pytest.raises(ValueError, match="cantieri"):
+        snapshots.restore_snapshot(spark, root)
+    assert snapshots.load_if_empty(spark, root, demo_tables(spark))
+    back = snapshots.restore_snapshot(spark, root)
+    assert (back.cantieri.count(), back.attivita.count()) == (1, 5)
+
+
+def test_restore_after_append(spark, tmp_path):
+    root = str(tmp_path / "snap")
+    snapshots.write_snapshot(demo_tables(spark), root)
+    snapshots.append_rows(demo_tables(spark).ticket, root, "ticket")
+    assert snapshots.restore_snapshot(spark, root).ticket.count() == 2
+
+
 def test_csv_keeps_hard_texts(spark, tmp_path):
     texts = ['say "hi", now', "two\nlines", "à ü €", "back\\slash", " padded ", None]
     t = make_tables(spark, ticket=[{"id": i, "titolo": x, "tipo": "Blocco"} for i, x in enumerate(texts)])
