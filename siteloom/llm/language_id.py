@@ -6,8 +6,8 @@ regression is solved once for each language against the rest. The kernel is an i
 so landmarks, map and regression fold into one matrix, and a batch of texts is scored by one product with it. N-grams are
 hashed into ``WIDTH`` places.
 
-Fitting takes a bounded sample: at most ``SAMPLE`` labelled texts, the same number of each language as far as there are
-as many, chosen by a hash. Scoring reads every whole text.
+Fitting takes a bounded sample: at most ``SAMPLE`` labelled texts, about the same number of each language as far as there
+are as many, chosen by a hash. Scoring reads every whole text.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; without any labelled text all get it;
 ties go to the language that sorts first; repeated rows give repeated results.
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm.arrays import text_bytes, text_slices
@@ -99,25 +99,35 @@ def fit_languages(
     docs: DataFrame, usable: Column, text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS
 ) -> LanguageModel:
     """Fit on at most ``sample`` of the ``usable`` rows that have a text and a language."""
-    rows = docs.where(usable).select(F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
-    rows = rows.where("text is not null and lang is not null").withColumn("draw", F.xxhash64("text"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    rows = rows.withColumn("turn", turn).where(F.col("turn") <= sample).orderBy("turn", "lang").limit(sample)
+    rows = docs.where(usable).select(column(text_column).alias("text"), column(lang_column).cast("string").alias("lang"))
+    rows = rows.where("text is not null and lang is not null")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # a fifth more than its share of each language, so that chance leaves enough; the limit is the bound
+    each = 1.2 * sample / max(counts.count(), 1)
+    shares = counts.select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(each) / F.col("n")).alias("share"))
+    rows = rows.withColumn("draw", F.xxhash64(F.lit(3), "text")).join(shares, F.col("lang") == F.col("of"))
+    rows = rows.where(F.pmod("draw", F.lit(1_000_000)) < F.col("share") * 1_000_000).orderBy("draw").limit(sample)
     seen = rows.select("text", "lang").mapInArrow(_pack_presence, "lang string, bits binary").collect()
     if not seen:
         return LanguageModel([], np.zeros((WIDTH, 0), np.float32))
     languages = sorted({r["lang"] for r in seen})
-    x = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in seen]), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
     y = np.array([[1.0 if r["lang"] == lang else -1.0 for lang in languages] for r in seen])
-    own = x[:landmarks]
-    among = (own @ own.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(among)
+    bits = [r["bits"] for r in seen]
+    own = _normed(bits[:landmarks])
+    values, vectors = np.linalg.eigh((own @ own.T).astype(np.float64))
     good = values > values.max() * 1e-6
     root = vectors[:, good] / np.sqrt(values[good])
-    mapped = (x @ own.T).astype(np.float64) @ root
-    weights = np.linalg.solve(mapped.T @ mapped + RIDGE * len(x) / 100 * np.eye(mapped.shape[1]), mapped.T @ y)
-    return LanguageModel(languages, (own.T @ (root @ weights)).astype(np.float32))
+    kernels = [_normed(bits[a : a + ROWS]) @ own.T for a in range(0, len(bits), ROWS)]
+    mapped = np.concatenate(kernels).astype(np.float64) @ root
+    weights = np.linalg.solve(mapped.T @ mapped + RIDGE * len(seen) / 100 * np.eye(mapped.shape[1]), mapped.T @ y)
+    return LanguageModel(languages, own.T @ (root @ weights).astype(np.float32))
+
+
+def _normed(bits: list[bytes]) -> np.ndarray:
+    """Presence vectors of length 1."""
+    x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in bits]), axis=1).astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+    return x
 
 
 def _predict(batches: Iterable[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
