@@ -59,11 +59,11 @@ def rotated(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def bucket_keys(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
-    """For unit rows, by table: the own bucket first, then the nearest others (probes)."""
+    """For unit rows, by table: the own bucket's key of 32 bits first, then those of the nearest others (probes)."""
     n, d = x.shape
     width = max(4, 1 << (d - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, width - d)))
-    out = np.empty((n, tables, probes + 1), np.uint64)
+    out = np.empty((n, tables, probes + 1), np.uint32)
     choices = np.array([c for c in np.ndindex(*[AXES] * hashes) if sum(map(bool, c)) <= 2])
     for table in range(tables):
         codes, losses = [], []
@@ -79,13 +79,13 @@ def bucket_keys(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndar
         for k in range(hashes):
             key = mix(key) + codes[k][:, choices[:, k]]
         found = np.take_along_axis(key, best, axis=1)
-        out[:, table, : found.shape[1]] = mix(found)
+        out[:, table, : found.shape[1]] = mix(found) >> np.uint64(32)
         out[:, table, found.shape[1] :] = out[:, table, :1]
     return out
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(v, np.float64) for v in column.to_pylist()]
+    return [np.frombuffer(v, v[:1].decode(), offset=1).astype(np.float64) for v in column.to_pylist()]
 
 
 def _unit(rows: list[np.ndarray]) -> np.ndarray:
@@ -96,19 +96,24 @@ def _unit(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def _clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as doubles in bytes; null if they can't link."""
+    """Vectors in bytes behind the letter of their type, single precision where that is exact; null if they can't link."""
     for batch in batches:
         out = []
         for value in batch.column("vector").to_pylist():
             x = None if not value or None in value else np.array(value, np.float64) + 0.0
-            out.append(x.tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
+            if x is None or not np.isfinite(x).all() or not x.any():
+                out.append(None)
+                continue
+            with np.errstate(over="ignore"):
+                single = x.astype(np.float32)
+            out.append(b"f" + single.tobytes() if (single == x).all() else b"d" + x.tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "vector"])
 
 
 def _sign(batches: Iterable[pa.RecordBatch], tables: int, hashes: int, probes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = _vectors(batch.column("vector"))
-        keys = np.zeros((len(rows), tables, probes + 1), np.uint64)
+        keys = np.zeros((len(rows), tables, probes + 1), np.uint32)
         sizes = np.array([len(r) for r in rows])
         for d in np.unique(sizes):
             own = np.flatnonzero(sizes == d)
@@ -119,14 +124,21 @@ def _sign(batches: Iterable[pa.RecordBatch], tables: int, hashes: int, probes: i
         )
 
 
-def _list_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, node), each once."""
+def _list_keys(batches: Iterable[pa.RecordBatch], tables: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, node, whether it is the node's own), each bucket once; a bucket is a table and a key."""
     for batch in batches:
-        keys = np.array([np.frombuffer(k, np.uint64) for k in batch.column("keys").to_pylist()]).astype(np.int64)
-        rows = [np.unique(k) for k in keys]
-        nodes = np.repeat(batch.column("node").to_numpy(), [len(r) for r in rows])
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(nodes)], ["bucket", "node"])
+        if not len(batch):
+            continue
+        keys = np.array([np.frombuffer(k, np.uint32) for k in batch.column("keys").to_pylist()]).reshape(len(batch), tables, -1)
+        wide = keys.astype(np.int64) | (np.arange(tables, dtype=np.int64) << 32)[None, :, None]
+        own = np.zeros(wide.shape, bool)
+        own[:, :, 0] = True
+        nodes = np.broadcast_to(np.arange(len(batch))[:, None, None], wide.shape)
+        order = np.lexsort((~own.ravel(), wide.ravel(), nodes.ravel()))
+        node, bucket, own = nodes.ravel()[order], wide.ravel()[order], own.ravel()[order]
+        first = run_starts(node, bucket)
+        named = batch.column("node").take(pa.array(node[first]))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), named, pa.array(own[first])], ["bucket", "node", "own"])
 
 
 def _compare(batches: Iterable[pa.RecordBatch], least: float, tables: int) -> Iterator[pa.RecordBatch]:
@@ -153,8 +165,8 @@ def _compare_group(parts: list[pa.RecordBatch], least: float, tables: int) -> It
         return
     bucket, i, j = (rows.column(c)[0].as_py() for c in ("bucket", "i", "j"))
     nodes, block, copies = (rows.column(c).to_numpy() for c in ("node", "block", "copies"))
-    x = _unit([np.frombuffer(v, np.float64) for v in rows.column("vector").to_pylist()])
-    keys = np.array([np.frombuffer(k, np.uint64) for k in rows.column("keys").to_pylist()]).reshape(len(nodes), tables, -1)
+    x = _unit(_vectors(rows.column("vector")))
+    keys = np.array([np.frombuffer(k, np.uint32) for k in rows.column("keys").to_pylist()]).reshape(len(nodes), tables, -1)
     near = x @ x.T >= least
     near &= (block == i)[:, None] & (block == j)[None, :]
     if i == j:
@@ -166,10 +178,13 @@ def _compare_group(parts: list[pa.RecordBatch], least: float, tables: int) -> It
         mine, theirs = keys[a, table], keys[b, table]
         one = (mine[:, :1] == theirs).any(axis=1)
         other = (theirs[:, :1] == mine).any(axis=1)
-        top = np.uint64(np.iinfo(np.uint64).max)
-        where = np.minimum(np.where(one, mine[:, 0], top), np.where(other, theirs[:, 0], top))
         met = open_pairs & (one | other)
-        first |= met & (where.astype(np.int64) == bucket)
+        if table == bucket >> 32:
+            # they may meet in the own buckets of both: the smaller key counts
+            top = np.int64(1) << 32
+            where = np.minimum(np.where(one, mine[:, 0].astype(np.int64), top), np.where(other, theirs[:, 0].astype(np.int64), top))
+            first = met & (where == bucket & 0xFFFFFFFF)
+            break
         open_pairs &= ~met
     a, b = a[first], b[first]
     if not len(a):
@@ -208,12 +223,13 @@ def link_embeddings(
     equal = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
     nodes = written(equal.withColumn("node", F.xxhash64("vector")), "nodes")
     n = nodes.count()
-    width = max(4, 1 << ((nodes.agg(F.max(F.length("vector"))).first()[0] or 8) // 8 - 1).bit_length())
-    hashes = hashes or max(1, ceil(log(max(n, 2)) / log(2 * width) - 0.5))
+    width = max(4, 1 << ((nodes.agg(F.max(F.length("vector"))).first()[0] or 5) // 4 - 1).bit_length())
+    hashes = hashes or max(1, ceil(log(max(n, 2)) / log(2 * width) + 0.3))
     sign = partial(_sign, tables=tables, hashes=hashes, probes=probes)
     signed = written(nodes.select("node", "vector").mapInArrow(sign, "node long, keys binary"), "signatures")
-    standing = signed.mapInArrow(_list_keys, "bucket long, node long")
-    full = standing.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    standing = signed.mapInArrow(partial(_list_keys, tables=tables), "bucket long, node long, own boolean")
+    # pairs meet where one of them stands itself
+    full = standing.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("own").alias("standing")).where("n > 1 and standing > 0")
     full = full.select(F.col("bucket").alias("_bucket"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
     members = standing.join(full, F.col("bucket") == F.col("_bucket")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     members = members.withColumn("pair", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
