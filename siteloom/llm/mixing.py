@@ -141,7 +141,10 @@ def draw_slots(targets: DataFrame, block: int = BLOCK, shards: int = SHARDS, see
     turns = turns.withColumn("key", key).withColumn("short_slot", permuted(F.col("n") - 1, F.col("n"), F.col("key"), inverse=True))
     # the short block may come early, so one block more than the words fill
     needed = F.least(F.col("n"), F.floor(F.col("wanted") / block) + 2)
-    rows = turns.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((needed - 1) / together)))).repartition("source", "turn", "lot")
+    rows = turns.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((needed - 1) / together))))
+    # a row grows 4096-fold here, so the spread has a fixed width: joined again by their bytes, all would fall to one task
+    width = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(width, "source", "turn", "lot")
     slot = F.explode(F.sequence(F.col("lot") * together, F.least(needed, (F.col("lot") + 1) * together) - 1))
     rows = rows.withColumn("slot", slot)
     before = F.col("slot") * block - F.when(F.col("short_slot") < F.col("slot"), block - F.col("short")).otherwise(0)
