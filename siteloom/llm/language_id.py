@@ -34,6 +34,8 @@ WIDTH = 1 << 15
 LONGEST = 4
 #: texts whose presence vectors are held at a time
 ROWS = 128
+#: languages whose shares are broadcast; of more, shares and texts meet by a shuffle
+FEW_LANGUAGES = 10_000
 
 _ODD = np.uint32(0x9E3779B1)
 # letters in lower case, everything else of ASCII as a blank
@@ -103,8 +105,11 @@ def fit_languages(
     rows = rows.where("text is not null and lang is not null")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     # a fifth more than its share of each language, so that chance leaves enough; the limit is the bound
-    each = 1.2 * sample / max(counts.count(), 1)
+    languages = counts.count()
+    each = 1.2 * sample / max(languages, 1)
     shares = counts.select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(each) / F.col("n")).alias("share"))
+    # few languages, one of which may hold most texts: send the shares to the texts, so that no text is shuffled by language
+    shares = F.broadcast(shares) if languages <= FEW_LANGUAGES else shares
     rows = rows.withColumn("draw", F.xxhash64(F.lit(3), "text")).join(shares, F.col("lang") == F.col("of"))
     rows = rows.where(F.pmod("draw", F.lit(1_000_000)) < F.col("share") * 1_000_000).orderBy("draw").limit(sample)
     seen = rows.select("text", "lang").mapInArrow(_pack_presence, "lang string, bits binary").collect()
