@@ -6,6 +6,12 @@ python -m siteloom JOB --tables DIR --out DIR [--as-of DAY] [--site ID]
 ``tasks``, ``sites``, ``crews``, ``tickets`` and ``quick-tickets`` complete typed
 rows (--rows DIR, numbered by a column ``richiesta``). These jobs write the rows
 to append, with ids after those of the snapshot.
+
+``task-changes``, ``quick-changes``, ``ticket-changes``, ``replies`` and ``budgets``
+apply a change set (--rows DIR; a stream's change log too) and write a whole new
+snapshot. ``message-stream``, ``notice-stream`` and ``change-stream`` read the files
+of --rows as they come, until all are read or on and on (--every "1 minute").
+Jobs that write rows or snapshots always work on all sites.
 """
 
 from __future__ import annotations
@@ -14,8 +20,9 @@ import argparse
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from siteloom import vocabulary as v
 from siteloom.functions import scalars as s
@@ -23,9 +30,10 @@ from siteloom.functions.triage import triage
 from siteloom.operators import changes
 from siteloom.operators.notices import outbound_notices
 from siteloom.plans import client, dashboard, foreman, notices, reports
-from siteloom.schema import SiteTables
+from siteloom.schema import MESSAGE_SCHEMA, SCHEMAS, SiteTables
 from siteloom.session import build_session
 from siteloom.sources import snapshots
+from siteloom.streaming import feeds
 
 Parts = dict[str, DataFrame]
 
@@ -62,7 +70,36 @@ def _new_rows(job: str, t: SiteTables, rows: DataFrame, day: dt.date, now: dt.da
     return {table: changes.new_rows(batch(), table, t[table], "richiesta", now)}
 
 
+def _changed(job: str, t: SiteTables, rows: DataFrame) -> SiteTables:
+    """All tables after a change set."""
+    if job == "replies":
+        tickets = changes.apply_cascade(t.ticket, t.notifiche, rows)
+        return t.replaced("ticket", tickets).replaced("notifiche", changes.apply_replies(t.notifiche, rows))
+    table, apply = {
+        "task-changes": ("attivita", changes.apply_task_changes),
+        "quick-changes": ("attivita", changes.apply_quick_task_updates),
+        "ticket-changes": ("ticket", changes.apply_ticket_changes),
+        "budgets": ("budget_cantiere", changes.upsert_budgets),
+    }[job]
+    return t.replaced(table, apply(t[table], rows))
+
+
+def _stream(job: str, spark: SparkSession, rows: str, out: str, day: dt.date, every: str | None) -> StreamingQuery:
+    """Start a stream over the files of a folder; its own notes go to ``_checkpoint`` beside what it writes."""
+    notes = f"{out}/_checkpoint"
+    if job == "message-stream":
+        messages = feeds.file_stream(spark, rows, MESSAGE_SCHEMA)
+        return feeds.messages_to_tickets(messages, f"{out}/ticket", f"{out}/aggiornamenti", notes, day, every)
+    if job == "notice-stream":
+        sent = feeds.file_stream(spark, rows, SCHEMAS["notifiche"])
+        return feeds.running_latest_notices(sent, f"{out}/ultime", notes, every)
+    log = feeds.file_stream(spark, rows, spark.read.parquet(rows).schema)
+    return feeds.changes_to_log(log, f"{out}/log", notes, every)
+
+
 WRITERS = ["triage", "tasks", "sites", "crews", "tickets", "quick-tickets"]
+CHANGERS = ["task-changes", "quick-changes", "ticket-changes", "replies", "budgets"]
+STREAMS = ["message-stream", "notice-stream", "change-stream"]
 VIEWS: dict[str, Callable[[SiteTables, dt.date, v.Brand], Parts]] = {
     "dashboard": _dashboard,
     "foreman": _foreman,
@@ -73,9 +110,10 @@ VIEWS: dict[str, Callable[[SiteTables, dt.date, v.Brand], Parts]] = {
 
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="siteloom", description=__doc__)
-    parser.add_argument("job", choices=[*VIEWS, *WRITERS, "daily-reports", "client-reports", "csv", "backup"])
-    parser.add_argument("--tables", required=True, help="folder of a snapshot")
-    parser.add_argument("--out", required=True, help="folder to write; must not exist")
+    parser.add_argument("job", choices=[*VIEWS, *WRITERS, *CHANGERS, *STREAMS, "daily-reports", "client-reports", "csv", "backup"])
+    parser.add_argument("--tables", help="folder of a snapshot; all jobs but streams need it")
+    parser.add_argument("--out", required=True, help="folder to write; must not exist, but for a stream that goes on")
+    parser.add_argument("--every", help='streams: go on at this interval, such as "1 minute"')
     parser.add_argument("--as-of", type=dt.date.fromisoformat, default=dt.date.today())
     parser.add_argument("--now", type=dt.datetime.fromisoformat, default=dt.datetime.now(), help="creation time of new rows")
     parser.add_argument("--messages", "--rows", dest="rows", help="folder with the rows that a job appends")
@@ -85,18 +123,28 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--file-per-site", action="store_true", help="one text file per site and report")
     given = parser.parse_args(arguments)
 
+    if not given.rows and given.job in (*WRITERS, *CHANGERS, *STREAMS):
+        parser.error(f"{given.job} needs --messages or --rows")
+    if not given.tables and given.job not in STREAMS:
+        parser.error(f"{given.job} needs --tables")
+
     spark = build_session(f"siteloom-{given.job}")
-    tables = dashboard.scoped(snapshots.read_tables(spark, given.tables), given.site)
+    if given.job in STREAMS:
+        _stream(given.job, spark, given.rows, given.out, given.as_of, given.every).awaitTermination()
+        return
+    everything = snapshots.read_tables(spark, given.tables)
+    tables = dashboard.scoped(everything, given.site)
     brand = v.Brand(given.brand, given.brand)
     if given.job in VIEWS:
         for name, part in VIEWS[given.job](tables, given.as_of, brand).items():
             part.write.mode("errorifexists").parquet(f"{given.out}/{name}")
     elif given.job in WRITERS:
-        if not given.rows:
-            parser.error(f"{given.job} needs --messages or --rows")
         rows = spark.read.parquet(given.rows)
-        for name, part in _new_rows(given.job, tables, rows, given.as_of, given.now).items():
+        for name, part in _new_rows(given.job, everything, rows, given.as_of, given.now).items():
             part.write.mode("errorifexists").parquet(f"{given.out}/{name}")
+    elif given.job in CHANGERS:
+        changed = _changed(given.job, everything, spark.read.parquet(given.rows))
+        snapshots.write_snapshot(changed, given.out, given.by_site)
     elif given.job == "csv":
         snapshots.export_csv(tables, given.out)
     elif given.job == "backup":

@@ -23,7 +23,6 @@ from siteloom.schema import REQUIRED_TEXT, conform, with_defaults
 CLOSED_STATES = {"attivita": v.TASK_DONE, "ticket": v.TICKET_CLOSED}
 TASK_FIELDS = ["stato", "priorita", "percentuale", "note"]
 TICKET_FIELDS = ["stato", "priorita", "responsabile", "impatto"]
-SALTS = 16
 
 
 # --- inserts ---------------------------------------------------------------
@@ -125,7 +124,8 @@ def _fold_state_changes(changes: DataFrame, table: str, fields: list[str]) -> Da
     Applying the changes one after the other stamps the first closing after the
     last reopening. One aggregation finds the last values, the first closing and
     the last reopening. Only ids that were reopened need their closings once
-    more; those meet in ``SALTS`` parts per id, so one busy id fills no task.
+    more, by a join in which a reopened id is one row; the closings of a busy id
+    are split at run time.
     """
     moment = F.struct("ts", "seq")
     closed = F.coalesce(F.col("stato").isin(*CLOSED_STATES[table]), F.lit(False))
@@ -134,21 +134,10 @@ def _fold_state_changes(changes: DataFrame, table: str, fields: list[str]) -> Da
         F.max(F.when(~closed, moment)).alias("_reopened"),
         F.min(F.when(closed, F.col("ts"))).alias("_first_closed"),
     )
-    reopened = last.where(F.col("_reopened").isNotNull()).select(
-        "id", "_reopened", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    )
-    after = (
-        changes.where(closed)
-        .select("id", moment.alias("_at"), F.pmod(F.hash("ts", "seq"), F.lit(SALTS)).alias("_salt"))
-        .join(reopened, ["id", "_salt"])
-        .where(F.col("_at") > F.col("_reopened"))
-    )
-    began = (
-        after.groupBy("id", "_salt")
-        .agg(F.min("_at.ts").alias("_ts"))
-        .groupBy("id")
-        .agg(F.min("_ts").alias("_closed_again"))
-    )
+    reopened = last.where(F.col("_reopened").isNotNull()).select("id", "_reopened")
+    closings = changes.where(closed).select("id", moment.alias("_at"))
+    after = closings.join(reopened, "id").where(F.col("_at") > F.col("_reopened"))
+    began = after.groupBy("id").agg(F.min("_at.ts").alias("_closed_again"))
     was_open = F.col("_reopened").isNotNull()
     return last.join(began, "id", "left").select(
         "id",

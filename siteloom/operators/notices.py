@@ -61,17 +61,41 @@ def outbound_notices(
     ).withColumn("link", s.chat_link(F.col("telefono"), F.col("messaggio")))
 
 
-def registered_notices(outbound: DataFrame, now: dt.datetime, state: str = v.NOTICE_SENT_BY_HAND) -> DataFrame:
-    """Rows for the notices table, stamped as sent when they were sent by hand."""
+def retyped_notices(outbound: DataFrame, typed: DataFrame) -> DataFrame:
+    """Proposed notices with what was typed over them, for the tickets that were typed.
+
+    ``typed`` has ticket_id, once each, and any of destinatario, telefono,
+    messaggio, canale and stato; null leaves the proposal, an empty text does not.
+    The chat link follows the phone and message.
+    """
+    fields = [c for c in ("destinatario", "telefono", "messaggio", "canale", "stato") if c in typed.columns]
+    over = typed.select("ticket_id", *[F.col(c).alias(f"_{c}") for c in fields])
+    kept = {c: F.coalesce(f"_{c}", c) if c in outbound.columns else F.col(f"_{c}") for c in fields}
+    rows = outbound.join(over, "ticket_id").withColumns(kept).drop(*[f"_{c}" for c in fields])
+    return rows.withColumn("link", s.chat_link(F.col("telefono"), F.col("messaggio")))
+
+
+def registered_notices(
+    outbound: DataFrame, now: dt.datetime, state: str = v.NOTICE_SENT_BY_HAND, channel: str = v.CHANNELS[0]
+) -> DataFrame:
+    """Rows for the notices table, stamped as sent when they were sent by hand.
+
+    Columns ``canale`` and ``stato`` of the rows come before the arguments;
+    words outside the lists fall back to them.
+    """
     stamp = s.literal_time(now)
+    chosen = {
+        name: s.one_of(F.col(name), words, fallback) if name in outbound.columns else F.lit(fallback)
+        for name, words, fallback in (("canale", v.CHANNELS, channel), ("stato", v.NOTICE_STATES, state))
+    }
     return outbound.select(
         SITE,
         "ticket_id",
         "destinatario",
         "telefono",
-        F.lit(v.CHANNELS[0]).alias("canale"),
+        chosen["canale"].alias("canale"),
         "messaggio",
-        F.lit(state).alias("stato"),
+        chosen["stato"].alias("stato"),
         stamp.alias("created_at"),
-        s.sent_stamp(F.lit(state), stamp).alias("sent_at"),
+        s.sent_stamp(chosen["stato"], stamp).alias("sent_at"),
     )

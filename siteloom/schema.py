@@ -136,6 +136,10 @@ class SiteTables:
     def items(self) -> list[tuple[str, DataFrame]]:
         return [(name, self[name]) for name in self.NAMES]
 
+    def replaced(self, name: str, rows: DataFrame) -> SiteTables:
+        """The same tables but one."""
+        return SiteTables(**{**self._tables, name: rows})
+
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """The declared columns in the declared order and types; a column that is missing becomes null."""

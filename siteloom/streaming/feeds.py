@@ -7,6 +7,7 @@ the batch is replayed, so a restart after a failure gives each row once.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from siteloom.functions.triage import triage
-from siteloom.operators.changes import last_change, ticket_batch, update_batch
+from siteloom.operators.changes import apply_task_changes, apply_ticket_changes, last_change, new_rows, ticket_batch, update_batch
+from siteloom.schema import SiteTables
 
 EPOCH = "lotto"
 
@@ -65,6 +67,17 @@ def once_per_message(rows: DataFrame) -> DataFrame:
     return rows.drop(EPOCH).dropDuplicates(["messaggio_id"])
 
 
+def rows_to_append(
+    spark: SparkSession, tickets_out: str, updates_out: str, tables: SiteTables, now: dt.datetime
+) -> dict[str, DataFrame]:
+    """What the sinks hold as rows of their tables: defaults, and ids after those in use, in the order of the messages."""
+    sinks = {"ticket": tickets_out, "aggiornamenti": updates_out}
+    return {
+        name: new_rows(once_per_message(read_epochs(spark, path)), name, tables[name], "messaggio_id", now)
+        for name, path in sinks.items()
+    }
+
+
 # --- running notice counts -------------------------------------------------
 def running_latest_notices(notices: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Keep the last notice and the count per ticket; each batch writes the tickets it changed."""
@@ -77,29 +90,40 @@ def running_latest_notices(notices: DataFrame, out: str, checkpoint: str, every:
     return _start(writer.foreachBatch(lambda batch, epoch: _write_epoch(batch, out, epoch)), checkpoint, every)
 
 
-def current_latest_notices(spark: SparkSession, out: str) -> DataFrame:
-    """The newest state of every ticket from the written batches.
+def current_latest_notices(spark: SparkSession, *outs: str) -> DataFrame:
+    """The newest state of every ticket from the written batches, compacted ones included.
 
-    Count and time only ever grow, so the largest of each is the newest.
+    Count and time only ever grow, so the largest of each is the newest, and it
+    does no harm if a batch is read both by itself and compacted.
     """
-    return (
-        read_epochs(spark, out)
-        .groupBy("cantiere_id", "ticket_id")
-        .agg(F.max("ultima_notifica").alias("ultima_notifica"), F.max("notifiche").alias("notifiche"))
+    batches = reduce(DataFrame.unionByName, [read_epochs(spark, out).drop(EPOCH) for out in outs])
+    return batches.groupBy("cantiere_id", "ticket_id").agg(
+        F.max("ultima_notifica").alias("ultima_notifica"), F.max("notifiche").alias("notifiche")
     )
 
 
+def compact_latest_notices(spark: SparkSession, out: str, compacted: str) -> None:
+    """One row per ticket in a new folder; the batches it was made of may go then."""
+    current_latest_notices(spark, out).write.mode("errorifexists").parquet(compacted)
+
+
 # --- state changes ---------------------------------------------------------
 def changes_to_log(changes: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append a stream of keyed state changes to a change log, one folder per batch.
 
-    The current table is base + log (``apply_changes``); writing that result as
-    a new snapshot now and then keeps the log short. No batch rewrites the table.
+    The current table is base + log (``with_log``); writing that result as a new
+    snapshot now and then keeps the log short. No batch rewrites the table.
     """
     writer = changes.writeStream.foreachBatch(lambda batch, epoch: _write_epoch(batch, out, epoch))
     return _start(writer, checkpoint, every)
 
 
+def with_log(tables: SiteTables, table: str, log: DataFrame) -> SiteTables:
+    """The tables after a change log of tasks or tickets; a log that was merged before changes nothing."""
+    apply = {"attivita": apply_task_changes, "ticket": apply_ticket_changes}[table]
+    return tables.replaced(table, apply(tables[table], log))
+
+
 def latest_states(log: DataFrame) -> DataFrame:
     """Newest logged state per key, by event time, then sequence."""
     return last_change(log, "id", ["ts", "seq"])

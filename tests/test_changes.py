@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.change_sets import change_set
 from siteloom.operators import changes
-from siteloom.operators.notices import registered_notices
+from siteloom.operators.notices import registered_notices, retyped_notices
 from siteloom.operators.numbering import dense_ids, next_id
 from siteloom.schema import with_defaults
 from tests.helpers import make_tables, same
@@ -175,3 +175,17 @@ def test_registered_notice_is_stamped_when_sent(spark):
     out = spark.createDataFrame([(1, 2, "Bob", "39", "hi")], "cantiere_id bigint, ticket_id bigint, destinatario string, telefono string, messaggio string")
     assert registered_notices(out, T0).first().sent_at == T0
     assert registered_notices(out, T0, "Preparata").first().sent_at is None
+
+
+def test_typed_recipient_and_channel(spark):
+    schema = "cantiere_id bigint, ticket_id bigint, destinatario string, telefono string, messaggio string"
+    out = spark.createDataFrame([(1, 2, "Bob", "39", "hi"), (1, 3, "Eva", "40", "ho"), (1, 4, "Ada", "41", "he")], schema)
+    typed = spark.createDataFrame(
+        [(2, "Tom", "", "Email", "Preparata"), (3, None, None, "Fax", None)],
+        "ticket_id bigint, destinatario string, telefono string, canale string, stato string",
+    )
+    rows = {r.ticket_id: r for r in registered_notices(retyped_notices(out, typed), T0).collect()}
+    assert sorted(rows) == [2, 3]
+    assert (rows[2].destinatario, rows[2].telefono, rows[2].canale, rows[2].stato, rows[2].sent_at) == ("Tom", "", "Email", "Preparata", None)
+    assert (rows[3].destinatario, rows[3].telefono, rows[3].canale, rows[3].stato, rows[3].sent_at) == ("Eva", "40", "WhatsApp", "Inviata manualmente", T0)
+    assert registered_notices(out, T0, channel="Telefonata").first().canale == "Telefonata"

@@ -1,5 +1,7 @@
 """The batch jobs, from a snapshot to written results."""
 
+import datetime as dt
+
 import pytest
 
 from siteloom.__main__ import VIEWS, main
@@ -33,3 +35,49 @@ def test_reports_and_copies(spark, snapshot, tmp_path):
     assert snapshots.read_csv(spark, str(tmp_path / "c"), "attivita").count() == 5
     main(["backup", *base, "--out", str(tmp_path / "d")])
     assert snapshots.restore_snapshot(spark, str(tmp_path / "d")).ticket.count() == 1
+
+
+T0 = dt.datetime(2024, 1, 2, 8)
+LOGS = {
+    "task-changes": ("attivita", [(1, T0, 1, "Bloccata", "Alta", 10, "n")], "id bigint, ts timestamp_ntz, seq bigint, stato string, priorita string, percentuale bigint, note string"),
+    "quick-changes": ("attivita", [(1, T0, 1, "Bloccata", "Alta", 10, "n")], "id bigint, ts timestamp_ntz, seq bigint, stato string, priorita string, percentuale bigint, nota string"),
+    "ticket-changes": ("ticket", [(1, T0, 1, "Chiuso", "Alta", "r", "i")], "id bigint, ts timestamp_ntz, seq bigint, stato string, priorita string, responsabile string, impatto string"),
+    "replies": ("notifiche", [(1, T0, 1, "Chiusa", "ok", "Chiuso")], "id bigint, ts timestamp_ntz, seq bigint, stato string, risposta string, stato_ticket string"),
+    "budgets": ("budget_cantiere", [(1, 5.0, 1.0, 0.0, "b", T0)], "cantiere_id bigint, budget_iniziale double, costo_effettivo double, extra_approvati double, note_budget string, updated_at timestamp_ntz"),
+}
+
+
+@pytest.mark.parametrize("job", list(LOGS))
+def test_change_jobs_write_a_whole_snapshot(spark, snapshot, tmp_path, job):
+    table, log, schema = LOGS[job]
+    rows, out = str(tmp_path / "rows"), str(tmp_path / "out")
+    spark.createDataFrame(log, schema).write.parquet(rows)
+    # a site changes nothing: snapshots always hold all sites
+    main([job, "--tables", snapshot, "--out", out, "--rows", rows, "--site", "99"])
+    old, new = snapshots.read_tables(spark, snapshot), snapshots.restore_snapshot(spark, out)
+    assert [df.count() for _, df in new.items()] == [df.count() for _, df in old.items()]
+    if job == "budgets":
+        assert new[table].where("cantiere_id = 1").first().budget_iniziale == 5.0
+    elif old[table].where("id = 1").count():
+        assert new[table].where("id = 1").first().stato == log[0][3]
+
+
+def test_rows_of_one_site_get_free_ids(spark, snapshot, tmp_path):
+    rows, out = str(tmp_path / "rows"), str(tmp_path / "out")
+    spark.createDataFrame([(1, 1, "new")], "richiesta bigint, cantiere_id bigint, titolo string").write.parquet(rows)
+    main(["tickets", "--tables", snapshot, "--out", out, "--rows", rows, "--as-of", str(DAY), "--site", "99"])
+    highest = max(r.id for r in snapshots.read_table(spark, snapshot, "ticket").collect())
+    assert spark.read.parquet(f"{out}/ticket").first().id == highest + 1
+
+
+def test_stream_jobs(spark, tmp_path):
+    rows, out = str(tmp_path / "rows"), str(tmp_path / "out")
+    log = spark.createDataFrame([(1, 1, "Bob", "porta rotta", T0)], "id bigint, cantiere_id bigint, autore string, testo string, created_at timestamp_ntz")
+    log.write.parquet(rows)
+    main(["message-stream", "--out", out, "--rows", rows, "--as-of", str(DAY)])
+    main(["message-stream", "--out", out, "--rows", rows, "--as-of", str(DAY)])  # nothing new
+    assert spark.read.parquet(f"{out}/ticket").count() == 1
+    table, changes, schema = LOGS["ticket-changes"]
+    spark.createDataFrame(changes, schema).write.parquet(str(tmp_path / "log"))
+    main(["change-stream", "--out", str(tmp_path / "o2"), "--rows", str(tmp_path / "log")])
+    assert spark.read.parquet(str(tmp_path / "o2" / "log")).count() == 1

@@ -34,6 +34,16 @@ def test_messages_in_two_runs_with_repeats(spark, source, tmp_path):
     sorted_out = triage(messages)
     assert same(changes.ticket_batch(sorted_out, DAY), tickets)
     assert same(changes.update_batch(sorted_out), updates)
+    tables = source.tables()
+    made = feeds.rows_to_append(spark, *paths[:2], tables, dt.datetime(2024, 1, 15))
+    first = {name: tables[name].agg(F.max("id")).first()[0] + 1 for name in made}
+    for name, rows in made.items():
+        ids = sorted(r.id for r in rows.select("id").collect())
+        assert rows.columns == tables[name].columns
+        assert ids == list(range(first[name], first[name] + messages.count()))
+    oldest = messages.orderBy("id").first()
+    row = made["aggiornamenti"].where(F.col("id") == first["aggiornamenti"]).first()
+    assert (row.testo, row.created_at) == (oldest.testo, dt.datetime(2024, 1, 15))
 
 
 def test_notice_counts_in_two_runs(spark, source, tmp_path):
@@ -44,6 +54,10 @@ def test_notice_counts_in_two_runs(spark, source, tmp_path):
         stream = feeds.file_stream(spark, inbox, notices.schema, files_per_batch=1)
         feeds.running_latest_notices(stream, out, cp).awaitTermination()
     assert same(lookups.latest_notices(notices), feeds.current_latest_notices(spark, out))
+    compacted = str(tmp_path / "compacted")
+    feeds.compact_latest_notices(spark, out, compacted)
+    assert same(spark.read.parquet(compacted), lookups.latest_notices(notices))
+    assert same(feeds.current_latest_notices(spark, compacted, out), lookups.latest_notices(notices))
 
 
 def test_change_log(spark, source, tmp_path):
@@ -55,5 +69,8 @@ def test_change_log(spark, source, tmp_path):
     feeds.changes_to_log(stream, out, cp).awaitTermination()
     written = feeds.read_epochs(spark, out).drop(feeds.EPOCH)
     assert same(changes.apply_ticket_changes(tickets, log), changes.apply_ticket_changes(tickets, written))
+    once = feeds.with_log(source.tables(), "ticket", written)
+    assert same(once.ticket, changes.apply_ticket_changes(tickets, log))
+    assert same(feeds.with_log(once, "ticket", written).ticket, once.ticket)
     newest = {r.id: r.seq for r in feeds.latest_states(written).collect()}
     assert newest == {r.id: r.top for r in log.groupBy("id").agg(F.max("seq").alias("top")).collect()}
