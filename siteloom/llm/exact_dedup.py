@@ -39,9 +39,9 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: st
     )
     keys = written(texts.select("length", "beginning"), "lengths")
     lengths = keys.groupBy("length").count().where("count > 1").select("length")
-    beginnings = (
-        keys.join(lengths, "length", "left_semi").groupBy("length", "beginning").count().where("count > 1").select("length", "beginning")
-    )
+    # counted before they meet the lengths: however many rows share a beginning, it is one row there
+    shared = keys.groupBy("length", "beginning").count().where("count > 1").select("length", "beginning")
+    beginnings = shared.join(lengths, "length", "left_semi")
     whole = texts.join(beginnings, ["length", "beginning"], "left_semi").select(F.sha2("bare", 256).alias("text_sha256"), "id", "chars")
     first = F.min(F.struct((-F.col("chars")).alias("less"), F.col("id").isNull().alias("no_id"), "id"))
     groups = whole.groupBy("text_sha256").agg(first.alias("first"), F.count("*").alias("group_size")).where("group_size > 1")
