@@ -20,6 +20,8 @@ from siteloom.sources.scratch import written
 BLANKS = " \t\n\x0b\f\r"
 #: code points that the second step hashes
 HEAD = 64
+#: a group that holds this part of all rows or more (there are at most as many) meets its rows in several places
+PARTS = 1000
 
 
 def squeezed(text: Column) -> Column:
@@ -62,15 +64,23 @@ def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def _marked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    groups = duplicate_groups(docs, id_column, text_column).withColumnRenamed("text_sha256", "sha")
+    groups = written(duplicate_groups(docs, id_column, text_column).withColumnRenamed("text_sha256", "sha"), "groups")
+    # a place holds about a thousandth of all rows at most; ids tell which, so rows that repeat one stay together
+    places = F.greatest(F.ceil(F.col("group_size") * PARTS / max(docs.count(), 1)), F.lit(1)).cast("long")
+    sized = groups.withColumn("places", places)
+    # at most PARTS rows, as group sizes add up to the rows of the table
+    large = F.broadcast(sized.where("places > 1").select(F.col("sha").alias("large_sha"), "places"))
+    spread = sized.withColumn("in_place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1))).drop("places")
     text = column(text_column)
     chars = F.char_length(F.coalesce(text, F.lit("")))
     rows = docs.select(whole_row(docs), column(id_column).alias("id"), chars.alias("chars"), F.sha2(squeezed(text), 256).alias("text_sha256"))
-    marked = rows.join(groups, F.col("text_sha256") == F.col("sha"), "left")
+    rows = rows.join(large, F.col("text_sha256") == F.col("large_sha"), "left")
+    rows = rows.withColumn("place", F.coalesce(F.pmod(F.xxhash64("id"), F.col("places")), F.lit(0).cast("long")))
+    marked = rows.join(spread, (F.col("text_sha256") == F.col("sha")) & (F.col("place") == F.col("in_place")), "left")
     alone = F.col("sha").isNull()
     stays = alone | (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars")))
     # rows that repeat the id, too: the window's groups are the rows of one id and text
-    turn = F.row_number().over(Window.partitionBy("text_sha256", "id").orderBy(F.col("chars").desc()))
+    turn = F.row_number().over(Window.partitionBy("text_sha256", "place", "id").orderBy(F.col("chars").desc()))
     return marked.select(
         "row",
         "text_sha256",
