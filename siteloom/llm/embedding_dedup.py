@@ -5,6 +5,9 @@ component and that component's sign. A table's bucket joins ``hashes`` such valu
 aren't near; their number follows the number of vectors. A vector stands in its own bucket and is also looked for in the
 ``probes`` next ones, where one component nearly won.
 
+More hashes and longer vectors part near ones more often, so tables are added until ``RECALL`` of drawn pairs whose cosine
+is exactly the bound meet (``plan``). If ``MOST_TABLES`` are too few for that, the buckets get a hash less.
+
 Equal vectors are one node. Buckets with one node end there; vectors are shuffled for the others only. A large bucket is
 cut into blocks, and each pair of blocks is a group of its own, compared by one matrix product in double precision. Pairs
 are never written: a pair is counted in the first table where it meets, and a block gives link counts and the links of a
@@ -31,8 +34,14 @@ from siteloom.llm.components import Forest, components
 from siteloom.sources.scratch import written
 
 LEAST_COSINE = 0.9
+#: tables at least and at most
 TABLES = 12
+MOST_TABLES = 96
 PROBES = 6
+#: share of pairs at the bound that meet in some table, at every size
+RECALL = 0.997
+#: pairs that are drawn to see that
+PAIRS = 4000
 #: axes of a rotation that may take part in a probe
 AXES = 4
 #: nodes of a block
@@ -58,14 +67,19 @@ def rotated(x: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
-def bucket_keys(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
+def width_of(d: int) -> int:
+    """Components that vectors of length d are filled up to."""
+    return max(4, 1 << (d - 1).bit_length())
+
+
+def bucket_keys(x: np.ndarray, tables: int, hashes: int, probes: int, skipped: int = 0) -> np.ndarray:
     """For unit rows, by table: the own bucket's key of 32 bits first, then those of the nearest others (probes)."""
     n, d = x.shape
-    width = max(4, 1 << (d - 1).bit_length())
+    width = width_of(d)
     x = np.pad(x, ((0, 0), (0, width - d)))
     out = np.empty((n, tables, probes + 1), np.uint32)
     choices = np.array([c for c in np.ndindex(*[AXES] * hashes) if sum(map(bool, c)) <= 2])
-    for table in range(tables):
+    for at, table in enumerate(range(skipped, skipped + tables)):
         codes, losses = [], []
         for k in range(hashes):
             y = rotated(x, table * hashes + k)
@@ -79,11 +93,47 @@ def bucket_keys(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndar
         for k in range(hashes):
             key = mix(key) + codes[k][:, choices[:, k]]
         found = np.take_along_axis(key, best, axis=1)
-        out[:, table, : found.shape[1]] = mix(found) >> np.uint64(32)
-        out[:, table, found.shape[1] :] = out[:, table, :1]
+        out[:, at, : found.shape[1]] = mix(found) >> np.uint64(32)
+        out[:, at, found.shape[1] :] = out[:, at, :1]
     return out
 
 
+def tables_for(d: int, hashes: int, probes: int, least: float) -> int | None:
+    """Tables in which ``RECALL`` of drawn pairs with the cosine ``least`` meet; None if ``MOST_TABLES`` are too few."""
+    n = max(500, min(PAIRS, (1 << 19) // d))
+    draw = np.random.default_rng(d)
+    x, y = draw.normal(size=(2, n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = least * x + np.sqrt(max(0.0, 1 - least**2)) * y
+    for table in range(MOST_TABLES):
+        a, b = (bucket_keys(v, 1, hashes, probes, table)[:, 0] for v in (x, y))
+        apart = ~((a[:, :1] == b) | (b[:, :1] == a)).any(axis=1)
+        x, y = x[apart], y[apart]
+        if len(x) <= (1 - RECALL) * n:
+            return table + 1
+    return None
+
+
+def plan(counts: dict[int, int], probes: int, least: float, tables: int | None = None, hashes: int | None = None) -> tuple[int, dict[int, int]]:
+    """The number of tables, and the hashes of a bucket for vectors of each width, of which there are ``counts``."""
+    needed, chosen = TABLES, {}
+    for width, n in counts.items():
+        wanted = chosen[width] = hashes or max(1, ceil(log(max(n, 2)) / log(2 * width) + 0.3))
+        if tables:
+            continue
+        own = MOST_TABLES
+        for k in [hashes] if hashes else range(1, wanted + 1):
+            found = tables_for(width, k, probes, least)
+            if found is None:
+                break
+            own = found
+        chosen[width] = k if found or k == 1 or hashes else k - 1
+        needed = max(needed, own)
+    return tables or needed, chosen
+
+
 def _vectors(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(v, v[:1].decode(), offset=1).astype(np.float64) for v in column.to_pylist()]
 
@@ -110,7 +160,7 @@ def _clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "vector"])
 
 
-def _sign(batches: Iterable[pa.RecordBatch], tables: int, hashes: int, probes: int) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterable[pa.RecordBatch], tables: int, hashes: dict[int, int], probes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = _vectors(batch.column("vector"))
         keys = np.zeros((len(rows), tables, probes + 1), np.uint32)
@@ -118,7 +168,7 @@ def _sign(batches: Iterable[pa.RecordBatch], tables: int, hashes: int, probes: i
         for d in np.unique(sizes):
             own = np.flatnonzero(sizes == d)
             for part in np.array_split(own, len(own) // 2000 + 1):
-                keys[part] = bucket_keys(_unit([rows[i] for i in part]), tables, hashes, probes)
+                keys[part] = bucket_keys(_unit([rows[i] for i in part]), tables, hashes[width_of(int(d))], probes)
         yield pa.RecordBatch.from_arrays(
             [batch.column("node"), pa.array([k.tobytes() for k in keys], pa.binary())], ["node", "keys"]
         )
@@ -213,7 +263,7 @@ def link_embeddings(
     id_column: str = "vec_id",
     vector_column: str = "embedding",
     least: float = LEAST_COSINE,
-    tables: int = TABLES,
+    tables: int | None = None,
     probes: int = PROBES,
     hashes: int | None = None,
 ) -> DataFrame:
@@ -222,10 +272,13 @@ def link_embeddings(
     rows = written(rows.mapInArrow(_clean, "vec_id long, vector binary"), "vectors")
     equal = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
     nodes = written(equal.withColumn("node", F.xxhash64("vector")), "nodes")
-    n = nodes.count()
-    width = max(4, 1 << ((nodes.agg(F.max(F.length("vector"))).first()[0] or 5) // 4 - 1).bit_length())
-    hashes = hashes or max(1, ceil(log(max(n, 2)) / log(2 * width) + 0.3))
-    sign = partial(_sign, tables=tables, hashes=hashes, probes=probes)
+    length = F.expr("(length(vector) - 1) div if(substr(vector, 1, 1) = X'66', 4, 8)")
+    sizes = nodes.groupBy(F.length(F.bin(length - 1)).alias("bits")).agg(F.count("*").alias("n")).collect()
+    counts: dict[int, int] = {}
+    for r in sizes:
+        counts[max(4, 1 << r["bits"])] = counts.get(max(4, 1 << r["bits"]), 0) + r["n"]
+    tables, chosen = plan(counts, probes, least, tables, hashes)
+    sign = partial(_sign, tables=tables, hashes=chosen, probes=probes)
     signed = written(nodes.select("node", "vector").mapInArrow(sign, "node long, keys binary"), "signatures")
     standing = signed.mapInArrow(partial(_list_keys, tables=tables), "bucket long, node long, own boolean")
     # pairs meet where one of them stands itself
@@ -241,8 +294,8 @@ def link_embeddings(
     compare = partial(_compare, least=least, tables=tables)
     found = written(groups.mapInArrow(compare, "node long, other long, links long"), "found")
     linked = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.join(linked, "node", "left").join(counts, "node", "left").select("vector", "node", "least_id", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    linked_to = found.groupBy("node").agg(F.sum("links").alias("links"))
+    known = nodes.join(linked, "node", "left").join(linked_to, "node", "left").select("vector", "node", "least_id", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     smallest = known.groupBy(F.col("component").alias("_component")).agg(F.min("least_id").alias("smallest"))
     known = known.join(smallest, F.col("component") == F.col("_component"))
     known = known.select(F.col("vector").alias("_vector"), (F.col("links") + F.col("copies") - 1).alias("links"), "smallest")
