@@ -46,6 +46,8 @@ PAIRS = 4000
 AXES = 4
 #: nodes of a block
 BLOCK = 512
+#: a bucket's number: 32 bits of the key, these for the table, and the vectors' length
+TABLE_BITS = 8
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -164,23 +166,25 @@ def _sign(batches: Iterable[pa.RecordBatch], tables: int, hashes: dict[int, int]
     for batch in batches:
         rows = _vectors(batch.column("vector"))
         keys = np.zeros((len(rows), tables, probes + 1), np.uint32)
-        sizes = np.array([len(r) for r in rows])
+        sizes = np.array([len(r) for r in rows], np.int32)
         for d in np.unique(sizes):
             own = np.flatnonzero(sizes == d)
             for part in np.array_split(own, len(own) // 2000 + 1):
                 keys[part] = bucket_keys(_unit([rows[i] for i in part]), tables, hashes[width_of(int(d))], probes)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array([k.tobytes() for k in keys], pa.binary())], ["node", "keys"]
+            [batch.column("node"), pa.array(sizes, pa.int32()), pa.array([k.tobytes() for k in keys], pa.binary())], ["node", "length", "keys"]
         )
 
 
 def _list_keys(batches: Iterable[pa.RecordBatch], tables: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, node, whether it is the node's own), each bucket once; a bucket is a table and a key."""
+    """(bucket, node, whether it is the node's own), each bucket once; a bucket is a vector's length, a table and a key."""
     for batch in batches:
         if not len(batch):
             continue
         keys = np.array([np.frombuffer(k, np.uint32) for k in batch.column("keys").to_pylist()]).reshape(len(batch), tables, -1)
         wide = keys.astype(np.int64) | (np.arange(tables, dtype=np.int64) << 32)[None, :, None]
+        # keys of different lengths may be equal by chance
+        wide |= (batch.column("length").to_numpy().astype(np.int64) << TABLE_BITS + 32)[:, None, None]
         own = np.zeros(wide.shape, bool)
         own[:, :, 0] = True
         nodes = np.broadcast_to(np.arange(len(batch))[:, None, None], wide.shape)
@@ -229,7 +233,7 @@ def _compare_group(parts: list[pa.RecordBatch], least: float, tables: int) -> It
         one = (mine[:, :1] == theirs).any(axis=1)
         other = (theirs[:, :1] == mine).any(axis=1)
         met = open_pairs & (one | other)
-        if table == bucket >> 32:
+        if table == bucket >> 32 & (1 << TABLE_BITS) - 1:
             # they may meet in the own buckets of both: the smaller key counts
             top = np.int64(1) << 32
             where = np.minimum(np.where(one, mine[:, 0].astype(np.int64), top), np.where(other, theirs[:, 0].astype(np.int64), top))
@@ -279,7 +283,7 @@ def link_embeddings(
         counts[max(4, 1 << r["bits"])] = counts.get(max(4, 1 << r["bits"]), 0) + r["n"]
     tables, chosen = plan(counts, probes, least, tables, hashes)
     sign = partial(_sign, tables=tables, hashes=chosen, probes=probes)
-    signed = written(nodes.select("node", "vector").mapInArrow(sign, "node long, keys binary"), "signatures")
+    signed = written(nodes.select("node", "vector").mapInArrow(sign, "node long, length int, keys binary"), "signatures")
     standing = signed.mapInArrow(partial(_list_keys, tables=tables), "bucket long, node long, own boolean")
     # pairs meet where one of them stands itself
     full = standing.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("own").alias("standing")).where("n > 1 and standing > 0")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siteloom.llm import embedding_dedup
@@ -98,3 +99,14 @@ def test_hadamard():
     plain = np.array([[(-1) ** bin(i & j).count("1") for j in range(8)] for i in range(8)]) / np.sqrt(8)
     assert np.allclose(embedding_dedup.hadamard(x), x @ plain)
     assert np.allclose(np.linalg.norm(embedding_dedup.rotated(x, 5), axis=1), np.linalg.norm(x, axis=1))
+
+
+def test_keys_that_two_lengths_share(monkeypatch):
+    """Vectors of different length whose keys are equal by chance don't meet."""
+    monkeypatch.setattr(embedding_dedup, "bucket_keys", lambda x, tables, hashes, probes, skipped=0: np.full((len(x), tables, probes + 1), 7, np.uint32))
+    vectors = [b"f" + np.ones(d, np.float32).tobytes() for d in (3, 3, 4, 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(vectors, pa.binary())], ["node", "vector"])
+    signed = embedding_dedup._sign([batch], 2, {4: 1, 8: 1}, 1)
+    listed = pa.Table.from_batches(embedding_dedup._list_keys(signed, 2)).to_pylist()
+    met = {(r["bucket"] >> 32 & 255, frozenset(q["node"] for q in listed if q["bucket"] == r["bucket"])) for r in listed}
+    assert met == {(table, frozenset(group)) for table in (0, 1) for group in ((0, 1), (2,), (3,))}
