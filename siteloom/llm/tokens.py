@@ -3,12 +3,14 @@
 The tokenizer splits text before it merges bytes, and never merges over that split. A single space or line feed between
 two plain characters always begins a new part, and so does a mark behind a letter; a text may be cut there: the ids of
 the chunks, one after the other, are the ids of the text (``tests/llm`` compares them). Chunks repeat a lot, so a worker
-keeps the ids of those it has seen, and the tokenizer runs on new ones only.
+keeps the ids of those it has seen, and the tokenizer runs on new ones only. A token that was added to the vocabulary
+(``<|endoftext|>``) is taken out of a text before anything else, and is a chunk of its own.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +45,15 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take their neighbours into account")
+        #: finds added tokens, the longer one first
+        self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in sorted(added.values(), key=lambda t: -len(t.content)))) if added else None
         #: bytes of each id: the vocabulary writes one character for a byte
         self.widths = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
-            self.widths[i] = len(token)
+            self.widths[i] = len(added[i].content.encode()) if i in added else len(token)
         self._forget()
 
     @classmethod
@@ -66,7 +72,7 @@ class ChunkEncoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more entry than texts)."""
         raw, bounds = text_bytes(column)
-        starts, ends = chunks(raw, bounds)
+        starts, ends = chunks(raw, bounds, self.added)
         hashes = byte_hashes(raw, starts, ends)
         keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > KEPT:
@@ -117,7 +123,7 @@ class ChunkEncoder:
         return np.concatenate(ids), np.concatenate(lengths)
 
 
-def chunks(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def chunks(raw: np.ndarray, bounds: np.ndarray, added: re.Pattern[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Where the chunks of some texts begin and end."""
     n = len(raw)
     if not n:
@@ -135,6 +141,22 @@ def chunks(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     # a mark behind a letter, but for the apostrophe, which may begin a part with the letters behind it
     cuts[1:] |= _MARK[raw[1:]] & _LETTER[raw[:-1]]
     ends = np.unique(bounds)
+    for a, b in _spans(raw, ends, added) if added else ():
+        cuts[a + 1 : b] = False
+        cuts[a] = True
+        cuts[b : b + 1] = True
     cuts[ends[ends < n]] = True
     starts = np.flatnonzero(cuts)
     return starts, np.append(starts[1:], n)
+
+
+def _spans(raw: np.ndarray, ends: np.ndarray, added: re.Pattern[bytes]) -> list[tuple[int, int]]:
+    """Where added tokens stand, each within one text."""
+    data, out, at = raw.tobytes(), [], 0
+    while found := added.search(data, at):
+        a, b = found.span()
+        inside = np.searchsorted(ends, a, "right") == np.searchsorted(ends, b, "left")
+        if inside:
+            out.append((a, b))
+        at = b if inside else a + 1
+    return out

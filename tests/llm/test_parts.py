@@ -55,6 +55,23 @@ def test_chunks_encode_as_whole_texts(path, odd, small):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_added_tokens_keep_their_id(path):
+    """The ids are those of the plain tokenizer, also where a text holds an added token or two texts would make one."""
+    from tokenizers import Tokenizer
+
+    plain, encoder, draw = Tokenizer.from_file(path), ChunkEncoder(path), random.Random(3)
+    mark = "<|endoftext|>"
+    parts = [mark, mark, mark[:6], mark[6:], "a", "bc", " ", "  ", "\n", "'s", "é", "|>", "<", "9", "."]
+    texts = [mark, "a" + mark + "b", "x " + mark + " y", mark * 2, mark[:7], mark[7:], mark[:-1], mark]
+    texts += ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(2000)]
+    ids, bounds = encoder.encode(pa.array(texts))
+    assert ids[:1].tolist() == [50256]
+    for i, text in enumerate(texts):
+        own = ids[bounds[i] : bounds[i + 1]]
+        assert own.tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert encoder.widths[own].sum() == len(text.encode())
+
+
 def test_buckets_keep_every_record():
     kind = np.dtype([("key", "<u8"), ("x", "<i8")])
     records = np.zeros(1000, kind)
