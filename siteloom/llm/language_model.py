@@ -2,11 +2,16 @@
 
 Every word has a class, a hash of its first letters; the end of a text has one of its own. The model is
 
-    P(word | words before) = P(class | words before) * P(word | class).
+    P(word | words before) = P(class | words before) * P(word | class, words before).
 
 The first factor is a maximum-entropy model over classes: a softmax over the sum of weights of hashed features, which are
-the word before (one n-gram), the two before (two), the second before alone (a skip), and the first one of the text. The
-second is the word's smoothed count among its class; unseen words of a class share one more place. Both factors sum to 1.
+the word before (one n-gram), the two before (two), the second before alone (a skip), and the first one of the text.
+
+The second is a tree of such softmaxes inside each class (``Tree``), with the same features, hashed with the node. Its
+leaves are the ``HEAD`` most frequent words; one branch of a class's root stands for all other words of the class, which
+share it by their smoothed counts, and unseen words have one more place there. A softmax starts with the branches' counts,
+so without any learnt weight P(word | class) is the word's smoothed count. All factors sum to 1. Places of features grow
+with the root of the number of tokens, up to ``MOST_PLACES`` (the weights of all levels have to fit a worker's memory).
 
 Training reads all training documents. Counts of all words are merged in each task, then by hash buckets, and stay
 distributed. Weights are trained by distributed gradient updates: in each round every task takes the current weights over
@@ -33,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm import buckets
-from siteloom.llm.arrays import Words, find_words, mix, run_starts, text_bytes, text_slices
+from siteloom.llm.arrays import Words, find_words, mix, ranges, run_starts, text_bytes, text_slices
 from siteloom.llm.carried import column, unpacked, whole_row
 from siteloom.sources.scratch import written
 
@@ -41,6 +46,8 @@ SMOOTHING = 0.1
 CLASSES = 32
 #: places of the hashed features of one kind
 PLACES = 1 << 13
+#: of a large corpus
+MOST_PLACES = 1 << 15
 KINDS = 4
 ROUNDS = 3
 #: tokens of one step of a task, and how far a step goes
@@ -78,8 +85,8 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, classes, first
 
 
-def features_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each token and kind of feature, its row in the weight table."""
+def keys_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each token and kind of feature, its hash."""
     counts = np.diff(first)
     place = np.arange(len(tokens)) - np.repeat(first[:-1], counts)
 
@@ -93,45 +100,115 @@ def features_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     opening = np.repeat(tokens[first[:-1]], counts) if len(tokens) else tokens
     opening = np.where(place == 0, np.uint64(0), opening)
     kinds = [one, mix(one) + two, two, opening]
-    rows = [mix(k + np.uint64(i + 1)) % np.uint64(PLACES) + np.uint64(i * PLACES) for i, k in enumerate(kinds)]
-    return np.stack(rows).astype(np.int64)
+    return np.stack([mix(k + np.uint64(i + 1)) for i, k in enumerate(kinds)])
+
+
+def features_of(keys: np.ndarray, places: int, nodes: np.ndarray | None = None) -> np.ndarray:
+    """For each token and kind of feature, its row in the weight table; of a tree's level, hashed with the node."""
+    if nodes is not None:
+        keys = mix(keys ^ mix(nodes.astype(np.uint64) + np.uint64(1)))
+    return (keys % np.uint64(places)).astype(np.int64) + np.arange(KINDS)[:, None] * places
 
 
 @dataclass
 class ClassModel:
-    #: (KINDS * PLACES, CLASSES) weights, and one bias for each class
+    #: (KINDS * places, CLASSES) weights, and one bias for each class (of each node, in a tree)
     weights: np.ndarray
     bias: np.ndarray
 
+    @property
+    def places(self) -> int:
+        return len(self.weights) // KINDS
+
     @staticmethod
-    def flat(counts: np.ndarray) -> ClassModel:
+    def flat(counts: np.ndarray, places: int = PLACES) -> ClassModel:
         """The model that knows how often each class comes."""
         share = (counts + 1.0) / (counts.sum() + CLASSES)
-        return ClassModel(np.zeros((KINDS * PLACES, CLASSES), np.float32), np.log(share).astype(np.float32))
+        return ClassModel(np.zeros((KINDS * places, CLASSES), np.float32), np.log(share).astype(np.float32))
 
-    def chances(self, rows: np.ndarray) -> np.ndarray:
+    def chances(self, rows: np.ndarray, nodes: np.ndarray | None = None) -> np.ndarray:
         """P(class) for each token."""
         z = self.weights[rows[0]]
         for kind in rows[1:]:
             z += self.weights[kind]
-        z += self.bias
+        z += self.bias if nodes is None else self.bias[nodes]
         z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
         return z
 
-    def learn(self, rows: np.ndarray, classes: np.ndarray, squares: np.ndarray) -> None:
+    def learn(self, rows: np.ndarray, classes: np.ndarray, squares: np.ndarray, nodes: np.ndarray | None = None) -> None:
         """One step; each weight's own step shrinks with the gradients it has had (``squares``)."""
-        error = self.chances(rows)
+        error = self.chances(rows, nodes)
         error[np.arange(len(classes)), classes] -= 1
         for kind in rows:
-            lines, where = np.unique(kind, return_inverse=True)
-            order = np.argsort(where, kind="stable")
-            total = np.add.reduceat(error[order], run_starts(where[order]))
+            order = np.argsort(kind, kind="stable")
+            starts = run_starts(kind[order])
+            lines = kind[order][starts]
+            total = np.add.reduceat(error[order], starts)
             squares[lines] += np.square(total)
             self.weights[lines] -= RATE * total / np.sqrt(squares[lines] + 1)
 
 
+@dataclass
+class Tree:
+    """The levels inside the classes; branch 0 of a class's root stands for its words beyond the head."""
+
+    #: head words in order, and where each goes on each level; a row of branches for each level
+    words: np.ndarray
+    branches: np.ndarray
+    levels: list[ClassModel]
+
+    @staticmethod
+    def of(head: tuple[np.ndarray, np.ndarray, np.ndarray], tokens: np.ndarray, words: np.ndarray, places: int) -> Tree:
+        """The tree without learnt weights, in which every head word is a leaf (if its class has less than 31 * 32 * 32)."""
+        names, counts, classes = head
+        if not len(names):
+            return Tree(names, np.zeros((0, 0), np.int64), [])
+        order = np.lexsort((names, -counts, classes))
+        first = run_starts(classes[order])
+        rank = np.empty(len(names), np.int64)
+        sizes = np.diff(np.append(first, len(names)))
+        rank[order] = ranges(np.zeros(len(first), np.int64), sizes)
+        own, most = CLASSES - 1, int(sizes.max())
+        depth = 1 if most <= own else 2 if most <= own * CLASSES else 3
+        branches = np.stack([1 + rank % own, rank // own % CLASSES, rank // (own * CLASSES) % CLASSES])[:depth]
+        mass, node, levels = counts + SMOOTHING, classes.astype(np.int64), []
+        for k in range(depth):
+            total = np.bincount(node * CLASSES + branches[k], weights=mass, minlength=CLASSES ** (k + 2)).reshape(-1, CLASSES)
+            if k == 0:
+                total[:, 0] = np.maximum(tokens + SMOOTHING * (words + 1) - total.sum(axis=1), SMOOTHING)
+            share = total / np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
+            bias = np.where(share > 0, np.log(np.maximum(share, 1e-300)), -1e9).astype(np.float32)
+            levels.append(ClassModel(np.zeros((KINDS * places, CLASSES), np.float32), bias))
+            node = node * CLASSES + branches[k]
+        return Tree(names, branches, levels)
+
+    def steps(self, tokens: np.ndarray, classes: np.ndarray, keys: np.ndarray) -> Iterator[tuple[ClassModel, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Level by level: the model, its number, the tokens that come so far, their feature rows, nodes and branches."""
+        if not self.levels:
+            return
+        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
+        known = self.words[at] == tokens
+        here, node = np.arange(len(tokens)), classes
+        for k, level in enumerate(self.levels):
+            branch = self.branches[k][at[here]]
+            if k == 0:
+                branch = np.where(known, branch, 0)
+            yield level, k, here, features_of(keys[:, here], level.places, node + (k << 32)), node, branch
+            node = node * CLASSES + branch
+            if k == 0:
+                here, node = here[known], node[known]
+
+    def gain(self, tokens: np.ndarray, classes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """What the words before change of log10 P(word | class), for each token."""
+        out = np.zeros(len(tokens))
+        for level, _, here, rows, nodes, branch in self.steps(tokens, classes, keys):
+            chance = level.chances(rows, nodes)[np.arange(len(here)), branch]
+            out[here] += np.log10(np.maximum(chance, 1e-30)) - level.bias[nodes, branch] / np.log(10)
+        return out
+
+
 def _count(batches: Iterable[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
     def counted() -> Iterator[np.ndarray]:
         for batch in text_slices(batches):
@@ -174,28 +251,40 @@ def _sum_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _head(batches: Iterable[pa.RecordBatch], above: int) -> Iterator[pa.RecordBatch]:
     for _, own in buckets.by_bucket(batches, COUNTS):
         own = own[own["n"] > above]
-        yield pa.RecordBatch.from_arrays([pa.array(own["word"].view(np.int64)), pa.array(own["n"])], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(own["word"].view(np.int64)), pa.array(own["n"]), pa.array(own["cls"])], ["word", "n", "cls"])
 
 
-def _train(batches: Iterable[pa.RecordBatch], model: ClassModel) -> Iterator[pa.RecordBatch]:
-    """A task's weights after its documents, in packed lines, and how many tokens it had."""
-    own = ClassModel(model.weights.copy(), model.bias)
-    squares = np.zeros_like(own.weights)
+def _train(batches: Iterable[pa.RecordBatch], model: ClassModel, tree: Tree) -> Iterator[pa.RecordBatch]:
+    """A task's weights after its documents, in packed lines of all levels, and how many tokens it had."""
+    before = [model, *tree.levels]
+    own = [ClassModel(m.weights.copy(), m.bias) for m in before]
+    grown = Tree(tree.words, tree.branches, own[1:])
+    squares = [np.zeros_like(m.weights) for m in own]
     seen = 0
     for batch in text_slices(batches):
         tokens, classes, first = tokens_of(batch.column("text"))
-        rows = features_of(tokens, first)
+        keys = keys_of(tokens, first)
         for a in range(0, len(tokens), STEP):
-            own.learn(rows[:, a : a + STEP], classes[a : a + STEP], squares)
+            part = slice(a, a + STEP)
+            own[0].learn(features_of(keys[:, part], model.places), classes[part], squares[0])
+            for level, k, _, rows, nodes, branch in grown.steps(tokens[part], classes[part], keys[:, part]):
+                if len(nodes):
+                    level.learn(rows, branch, squares[k + 1], nodes)
         seen += len(tokens)
     if seen:
-        changed = (own.weights - model.weights) * seen
         step = PLACES // 4
-        parts = range(0, len(changed), step)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(parts)), pa.array([seen] * len(parts)), pa.array([changed[a : a + step].astype(np.float32).tobytes() for a in parts], pa.binary())],
-            ["part", "seen", "change"],
-        )
+        for k, (new, old) in enumerate(zip(own, before, strict=True)):
+            # half precision on the way; the sum is in single precision
+            changed = (new.weights - old.weights).astype(np.float16)
+            parts = range(0, len(changed), step)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k * len(changed) + a for a in parts]),
+                    pa.array([seen] * len(parts)),
+                    pa.array([changed[a : a + step].tobytes() for a in parts], pa.binary()),
+                ],
+                ["part", "seen", "change"],
+            )
 
 
 def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +293,7 @@ def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[int, int] = {}
     for batch in batches:
         for part, n, change in zip(*(batch.column(c).to_pylist() for c in ("part", "seen", "change")), strict=True):
-            totals[part] = totals.get(part, 0) + np.frombuffer(change, np.float32)
+            totals[part] = totals.get(part, 0) + np.frombuffer(change, np.float16).astype(np.float32) * n
             seen[part] = seen.get(part, 0) + n
     for part, total in totals.items():
         mean = (total / seen[part]).astype(np.float32)
@@ -217,8 +306,10 @@ class LanguageModel:
     #: distributed: the counts of all training words by bucket
     counts: DataFrame
     n_buckets: int
-    #: words and counts of the most frequent ones, sorted by word
-    head: tuple[np.ndarray, np.ndarray]
+    #: words, counts and classes of the most frequent ones, sorted by word
+    head: tuple[np.ndarray, np.ndarray, np.ndarray]
+    #: inside the classes
+    tree: Tree
     #: by class: tokens and distinct words in training
     tokens: np.ndarray
     words: np.ndarray
@@ -239,22 +330,26 @@ def train_language_model(docs: DataFrame, usable: Column, id_column: str = "doc_
     found = counts.agg(*totals).first()
     tokens, words = (np.array([found[f"{c}{i}"] or 0 for i in range(CLASSES)], np.float64) for c in ("tokens", "words"))
     head = _most_frequent(counts)
-    model = ClassModel.flat(tokens)
+    places = min(MOST_PLACES, max(PLACES, 1 << int(np.sqrt(tokens.sum())).bit_length() - 1)) if tokens.sum() else PLACES
+    model = ClassModel.flat(tokens, places)
+    tree = Tree.of(head, tokens, words, places)
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast(model)  # KINDS * PLACES * CLASSES floats
+        shared = spark.sparkContext.broadcast((model, tree))  # KINDS * places * CLASSES floats for each level, and HEAD words
         parts = own.where(F.col("round") == turn).select("text")
-        tried = parts.mapInArrow(lambda batches, shared=shared: _train(batches, shared.value), "part long, seen long, change binary")
+        tried = parts.mapInArrow(lambda batches, shared=shared: _train(batches, *shared.value), "part long, seen long, change binary")
         mean = tried.repartition(KINDS * 4, "part").mapInArrow(_average, "part long, change binary").collect()
-        weights = model.weights.copy()
+        weights = np.concatenate([m.weights for m in (model, *tree.levels)])
         for r in mean:
             change = np.frombuffer(r["change"], np.float32).reshape(-1, CLASSES)
             weights[r["part"] : r["part"] + len(change)] += change
-        model = ClassModel(weights, model.bias)
+        each = np.split(weights, 1 + len(tree.levels))
+        model = ClassModel(each[0], model.bias)
+        tree = Tree(tree.words, tree.branches, [ClassModel(w, old.bias) for w, old in zip(each[1:], tree.levels, strict=True)])
         shared.unpersist()
-    return LanguageModel(model, counts.select("bucket", "records"), n_buckets, head, tokens, words)
+    return LanguageModel(model, counts.select("bucket", "records"), n_buckets, head, tree, tokens, words)
 
 
-def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """At most HEAD words: those above the smallest count that leaves no more."""
     rows = counts.select("bucket", "records")
     by_count = rows.mapInArrow(_count_sizes, "n long, words long").groupBy("n").agg(F.sum("words").alias("words")).orderBy(F.col("n").desc()).limit(HEAD + 1)
@@ -264,10 +359,10 @@ def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if room < 0:
             above = r["n"]
             break
-    found = rows.mapInArrow(partial(_head, above=above), "word long, n long").toArrow()
+    found = rows.mapInArrow(partial(_head, above=above), "word long, n long, cls int").toArrow()
     words = found.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
-    return words[order], found.column("n").to_numpy()[order]
+    return words[order], found.column("n").to_numpy()[order], found.column("cls").to_numpy()[order]
 
 
 def _count_sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +376,8 @@ class _Scorer:
     """What a task needs to score."""
 
     classes: ClassModel
-    head: tuple[np.ndarray, np.ndarray]
+    tree: Tree
+    head: tuple[np.ndarray, np.ndarray, np.ndarray]
     #: by class, log10 of the smoothed number of its tokens; the same for all tokens
     by_class: np.ndarray
     everything: float
@@ -291,7 +387,7 @@ class _Scorer:
         tokens, classes, first = tokens_of(column)
         n = len(column)
         of = np.repeat(np.arange(n), np.diff(first))
-        words, counts = self.head
+        words, counts, _ = self.head
         at = np.minimum(np.searchsorted(words, tokens), max(len(words) - 1, 0))
         known = words[at] == tokens if len(words) else np.zeros(len(tokens), bool)
         rare = np.log10(SMOOTHING)
@@ -299,10 +395,12 @@ class _Scorer:
         if len(words):
             part[known] = np.log10(counts[at[known]] + SMOOTHING)
         model = np.empty(len(tokens))
-        rows = features_of(tokens, first)
+        keys = keys_of(tokens, first)
         for a in range(0, len(tokens), STEP):
-            chance = self.classes.chances(rows[:, a : a + STEP])
-            model[a : a + STEP] = np.log10(np.maximum(chance[np.arange(len(chance)), classes[a : a + STEP]], 1e-30))
+            step = slice(a, a + STEP)
+            chance = self.classes.chances(features_of(keys[:, step], self.classes.places))
+            model[step] = np.log10(np.maximum(chance[np.arange(len(chance)), classes[step]], 1e-30))
+            model[step] += self.tree.gain(tokens[step], classes[step], keys[:, step])
         sums = np.zeros(n, SUMS)
         sums["row"], sums["copies"], sums["tokens"] = row, 1, np.diff(first)
         sums["known"] = np.bincount(of, weights=known, minlength=n)
@@ -387,7 +485,7 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_column: str = "doc
     spark = docs.sparkSession
     n, v = model.tokens.sum(), model.words.sum()
     by_class = np.log10(model.tokens + SMOOTHING * (model.words + 1))
-    scorer = _Scorer(model.classes, model.head, by_class, float(np.log10(n + SMOOTHING * (v + 1))))
+    scorer = _Scorer(model.classes, model.tree, model.head, by_class, float(np.log10(n + SMOOTHING * (v + 1))))
     shared = spark.sparkContext.broadcast(scorer)  # the weights, and HEAD words at most
     n_buckets = model.n_buckets
     key = F.xxhash64(column(id_column), column(text_column))

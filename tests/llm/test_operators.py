@@ -291,6 +291,32 @@ def test_language_model_is_a_distribution(small):
     assert (classes[counts["cls"]] * within).sum() + (classes * unseen).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_words_before_tell_words_of_a_class_apart(ready):
+    """Two equally frequent words of one class, each behind a word of its own, get the larger score there."""
+    def text(i, swap=False):
+        a, b = ("stone", "stick") if not swap else ("stick", "stone")
+        return f"red {a} " * (i % 7 + 3) + f"blue {b} " * (i % 7 + 3)
+
+    rows = ready.createDataFrame([(i, text(i)) for i in range(300)] + [(1000 + i, text(0, i > 0)) for i in range(2)], "doc_id long, text string")
+    model = language_model.train_language_model(rows, F.col("doc_id") < 1000)
+    right, wrong = (r["score"] for r in language_model.score_documents(rows, model).where("doc_id >= 1000").orderBy("doc_id").collect())
+    assert right > wrong + 1
+
+
+def test_language_model_with_its_tree_is_a_distribution(small):
+    """Behind given words, the chances of all training words and of one unseen word of each class sum to 1."""
+    model = language_model.train_language_model(small, F.lit(True))
+    counts = np.concatenate([np.frombuffer(r["records"], language_model.COUNTS) for r in model.counts.collect()])
+    words = np.append(counts["word"], np.arange(1, 33, dtype=np.uint64))
+    classes = np.append(counts["cls"], np.arange(32)).astype(np.int64)
+    assert model.tree.levels and any(level.weights.any() for level in model.tree.levels)
+    keys = np.repeat(np.array([[3], [4], [5], [6]], np.uint64), len(words), axis=1)
+    n = np.append(counts["n"], np.zeros(32))
+    within = (n + 0.1) / (model.tokens + 0.1 * (model.words + 1))[classes]
+    chance = model.classes.chances(language_model.features_of(keys[:, :1], model.classes.places))[0]
+    assert (chance[classes] * within * 10 ** model.tree.gain(words, classes, keys)).sum() == pytest.approx(1, abs=1e-3)
+
+
 @pytest.mark.parametrize("small_head", [0, 5])
 def test_language_model_beyond_the_head(small_head, docs, odd_rows, monkeypatch):
     monkeypatch.setattr(language_model, "HEAD", max(small_head, 1))
