@@ -19,9 +19,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language; where ``lang`` is null, the predicted one."""
+    """Documents in some language; where ``lang`` is null, the predicted one, or null if no language could be learnt."""
     prepare(spark)
     model = fit_languages(docs, fold("doc_id", 3) != 1)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = predict_languages(docs, model, lang_name="predicted language", score_name="language score")
     found = found.where(F.col("predicted language") != UNKNOWN)
     lang = F.coalesce("lang", "predicted language").alias("lang")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siteloom.llm import exact_dedup, language_id, language_model, mixing, packing, shingle_join, substring_dedup, token_counts, toxicity
 from siteloom.llm.queries import QUERIES, fold
 
@@ -328,6 +329,14 @@ def test_language_model_beyond_the_head(small_head, docs, odd_rows, monkeypatch)
     assert [r[2] for r in found] == pytest.approx([r[4] for r in wanted])
 
 
+def test_language_stage_without_labels(ready):
+    """Without a label to learn from, documents with a letter stay."""
+    texts = ["good words", "日本", "12 %", "", None, "é"]
+    rows = ready.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    found = corpus_pipeline.identify_languages(ready, rows, "")
+    assert sorted(tuple(r) for r in found.collect()) == [(0, "good words", None), (1, "日本", None), (5, "é", None)]
+
+
 def test_nothing(nothing, path):
     """Empty tables give empty results of the same columns."""
     results = [
