@@ -27,7 +27,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm.arrays import Sequences, Words, find_words, mix, ranges, run_starts, text_bytes
-from siteloom.llm.carried import row_schema, unpacked, whole_row
+from siteloom.llm.carried import column, row_schema, unpacked, whole_row
 
 LEAST = 24
 TIMES = 3
@@ -47,9 +46,9 @@ TWICE = 9
 #: bytes of text whose words are looked at together
 SLICE_BYTES = 1 << 20
 #: comparisons of one step
-STEP = 1 << 22
+STEP = 1 << 18
 
-RUNS = "runs array<struct<start:bigint,length:bigint,period:bigint>>"
+RUNS = "array<struct<start:bigint,length:bigint,period:bigint>>"
 
 
 class Stretches:
@@ -327,9 +326,9 @@ def collapsed(words: Words, of: np.ndarray, start: np.ndarray, length: np.ndarra
     return out, np.append(0, np.cumsum(np.bincount(text, weights=room, minlength=texts).astype(np.int64)))
 
 
-def _run_rows(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+def _run_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = pc.struct_field(batch.column("row"), [at])
+        texts = batch.column("_text")
         lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = (np.cumsum(lengths) - lengths) // SLICE_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
@@ -348,15 +347,16 @@ def _run_rows(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordB
             )
 
 
-def periodic_runs(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """The rows with ``runs`` (start, length, period; by start, then period) and ``collapsed_text``.
+def periodic_runs(docs: DataFrame, text_column: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """The rows (all columns, or the named ones) with ``runs`` and ``collapsed_text``.
 
-    ``collapsed_text`` joins by one space the words that no run contains after its first ``period`` words.
+    ``runs`` holds start, length and period, by start, then period. ``collapsed_text`` joins by one space the words that no
+    run contains after its first ``period`` words.
     """
-    rows = docs.select(whole_row(docs)).mapInArrow(
-        partial(_run_rows, at=docs.columns.index(text_column)), row_schema(docs, {"runs": RUNS.split(" ", 1)[1], "collapsed_text": "string"})
-    )
-    return unpacked(rows, docs, {"runs": F.col("runs"), "collapsed_text": F.col("collapsed_text")})
+    kept = docs.select(*[column(c) for c in (docs.columns if columns is None else columns)])
+    sent = docs.select(whole_row(kept), column(text_column).alias("_text"))
+    rows = sent.mapInArrow(_run_rows, row_schema(kept, {"runs": RUNS, "collapsed_text": "string"}))
+    return unpacked(rows, kept, {"runs": F.col("runs"), "collapsed_text": F.col("collapsed_text")})
 
 
 def strongest_run(runs: Column) -> Column:

@@ -148,7 +148,7 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", looped_text("doc_id", "text").alias("text"))
-    rows = periodic_runs(docs).withColumn("best", strongest_run(F.col("runs")))
+    rows = periodic_runs(docs, columns=["doc_id"]).withColumn("best", strongest_run(F.col("runs")))
     return rows.select(
         "doc_id",
         F.size("runs").cast("long").alias("n_runs"),
