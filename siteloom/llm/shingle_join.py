@@ -18,7 +18,8 @@ verified on the shingles of the whole texts. No candidate is dropped and no link
 pairs are never written, only spanning forests.
 
 Defined results: texts without words (null, empty) have no shingles and link with nothing; with fewer than five words the
-whole sequence is the one shingle; repeated rows link; sizes count distinct shingles; an empty table gives none.
+whole sequence is the one shingle; repeated rows link; sizes count distinct shingles; ids keep their type, may repeat and
+may be null (a component's smallest id is null only if all of its ids are); an empty table gives none.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.llm import buckets
@@ -162,7 +163,8 @@ def _profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined, bounds = sketches_of(of, values, sizes)
         sketches = [joined[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes), pa.array(nodes), pa.array(sketches, pa.binary())], ["doc_id", "n", "node", "sketch"]
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes), pa.array(nodes), pa.array(sketches, pa.binary())],
+            ["doc_id", "text_key", "n", "node", "sketch"],
         )
 
 
@@ -372,9 +374,29 @@ def _in_blocks(members: DataFrame, weight: str, most: int) -> DataFrame:
 
 def shingle_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest id that links reach)."""
-    rows = docs.select(column(id_column).cast("long").alias("doc_id"), column(text_column).alias("text"))
-    profiles = written(rows.mapInArrow(_profile, "doc_id long, n long, node long, sketch binary"), "profiles")
-    nodes = profiles.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    placed = _placed(docs, id_column, text_column)
+    placed = placed.join(_smallest_ids(placed), F.col("component") == F.col("_component"), "left")
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
+
+
+def _smallest_ids(placed: DataFrame) -> DataFrame:
+    return placed.where("n > 0").groupBy(F.col("component").alias("_component")).agg(F.min("doc_id").alias("smallest"))
+
+
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Ids of any type, and a hash of the text: a row is known by both, as ids may repeat or be null."""
+    text = column(text_column)
+    return docs.select(column(id_column).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
+def _placed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """One row for each document: doc_id, text_key, n (shingles), component (of its set; null without shingles)."""
+    rows = _rows(docs, id_column, text_column)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    profiles = written(rows.mapInArrow(_profile, f"doc_id {kind}, text_key long, n long, node long, sketch binary"), "profiles")
+    # a set's texts are looked up in one of its rows
+    key = F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("text_key")
+    nodes = profiles.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), key, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "sets")
     n_buckets = buckets.bucket_count(rows)
     keys = rows.mapInArrow(partial(_keys, n_buckets=n_buckets), buckets.SCHEMA)
@@ -388,27 +410,41 @@ def shingle_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     linked = components(_verified(rows, nodes, written(candidates, "candidates")))
     known = nodes.select(F.col("node").alias("_node")).join(linked, F.col("_node") == F.col("node"), "left")
     known = known.select("_node", F.coalesce("component", "_node").alias("component"))
-    placed = profiles.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(known, F.col("node") == F.col("_node"), "left")
-    smallest = placed.where("n > 0").groupBy(F.col("component").alias("_component")).agg(F.min("doc_id").alias("smallest"))
-    placed = placed.join(smallest, F.col("component") == F.col("_component"), "left")
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
+    own = profiles.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    return own.join(known, F.col("node") == F.col("_node"), "left").select("doc_id", "text_key", "n", "component")
 
 
 def _verified(rows: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
     """Links of a spanning forest of each candidate group, verified on the texts of one document of each set."""
     members = candidates.select(F.col("component").alias("group"), F.col("node").alias("_node"))
-    members = members.join(nodes.select("node", "doc_id", "n"), F.col("_node") == F.col("node")).drop("_node")
-    members = members.withColumnRenamed("doc_id", "_doc")
-    texts = members.join(rows, F.col("_doc") == F.col("doc_id")).select("group", "node", "n", "text")
+    chosen = nodes.select("node", "n", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
+    members = members.join(chosen, F.col("_node") == F.col("node")).drop("_node")
+    texts = members.join(rows, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))).select("group", "node", "n", "text")
     groups = _in_blocks(texts, "n", VERIFY_BLOCK).select("group", "i", "j", "block", "node", "text")
     groups = groups.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
     return groups.mapInArrow(partial(_verify, numerator=80, denominator=100), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, and all that link with nothing, with their own columns; rows
-    that repeat an id stay or go together."""
-    found = shingle_components(docs, id_column, text_column)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    rows = docs.select(whole_row(docs), column(id_column).cast("long").alias("id"))
-    return unpacked(rows.join(gone, F.col("id") == F.col("doc_id"), "left_anti"), docs)
+    """One document of each component, and all that link with nothing, with their own columns.
+
+    The one with the smallest id stays (null ids last), of texts with that id the one with the smallest hash, of rows that
+    repeat id and text any one. Texts without words link with nothing and stay.
+    """
+    placed = written(_placed(docs, id_column, text_column).where("n > 0"), "placed")
+    smallest = _smallest_ids(placed)
+    of_id = placed.join(smallest, (F.col("component") == F.col("_component")) & F.col("doc_id").eqNullSafe(F.col("smallest")))
+    stays = of_id.groupBy("_component").agg(F.min("smallest").alias("smallest"), F.min("text_key").alias("least_key"))
+    others = ~(F.col("doc_id").eqNullSafe(F.col("smallest")) & (F.col("text_key") == F.col("least_key")))
+    gone = placed.join(stays, F.col("component") == F.col("_component")).where(others)
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
+    rows = docs.select(whole_row(docs), column(id_column).alias("_id"), F.xxhash64(column(text_column)).alias("_key"))
+    rows = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
+    again = placed.groupBy(F.col("doc_id").alias("_again"), F.col("text_key").alias("_again_key")).count().where("count > 1").drop("count")
+    again = written(again, "repeated")
+    if not again.isEmpty():
+        same = F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_key") == F.col("_again_key"))
+        once = Window.partitionBy("_id", "_key").orderBy("_key")
+        repeated = rows.join(again, same, "left_semi").withColumn("_turn", F.row_number().over(once)).where("_turn = 1").drop("_turn")
+        rows = rows.join(again, same, "left_anti").unionByName(repeated)
+    return unpacked(rows, docs)

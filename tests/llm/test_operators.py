@@ -45,7 +45,34 @@ def test_shingle_join(ready, docs, small_rows, odd_rows):
     assert collected(QUERIES["op4_shingle_join"](ready, SMALL), "doc_id", "n_shingles", "component_id") == brute.shingle_components(small_rows)
     kept = shingle_join.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _, least in brute.shingle_components(odd_rows) if i == least]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({i for i, n, least in brute.shingle_components(odd_rows) if i == least or not n})
+
+
+def test_near_duplicates_by_row(ready):
+    """Ids that repeat, are null or are texts: one row of each group stays, and every text that links with nothing."""
+    a = " ".join(f"w{i}" for i in range(60))
+    near, other, third = a + " end", " ".join(f"v{i}" for i in range(40)), " ".join(f"u{i}" for i in range(9))
+    rows = [("1", a), ("2", a), ("2", other), ("2", near), (None, a), (None, third), (None, third + " x y z"), (None, None), (None, None), ("3", ""), ("3", ""), ("9", third), ("9", third)]
+    docs = ready.createDataFrame(rows, "doc_id string, text string")
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in shingle_join.drop_near_duplicates(docs).collect())
+    assert kept == sorted([("1", a), ("2", other), ("None", third + " x y z"), ("None", "None"), ("None", "None"), ("3", ""), ("3", ""), ("9", third)])
+    found = Counter((r["doc_id"], r["component_id"]) for r in shingle_join.shingle_components(docs).collect())
+    assert found == Counter({("1", "1"): 1, ("2", "1"): 2, ("2", "2"): 1, (None, "1"): 1, (None, "9"): 1, (None, None): 3, ("3", "3"): 2, ("9", "9"): 2})
+    # null ids alone
+    alone = ready.createDataFrame([(None, a), (None, near), (None, a)], "doc_id long, text string")
+    assert shingle_join.drop_near_duplicates(alone).count() == 1
+
+
+def test_pipeline_of_odd_ids(ready, tmp_path):
+    """Ids of text, repeated and null ids, and an empty table go through all stages."""
+    words = [" ".join(f"{c}{i}" for i in range(50)) for c in "abc"]
+    rows = [("d0", words[0], "en", "s", 1), ("d0", words[1], "en", "s", 1), (None, words[0] + " more", "en", None, 1), (None, words[2], "en", "t", 1), ("d1", None, "en", "s", 0)]
+    schema = "doc_id string, text string, lang string, source string, n_chars long"
+    for name, table in (("some", rows), ("none", [])):
+        ready.createDataFrame(table, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    packed = corpus_pipeline.run(ready, f"{tmp_path}/some")
+    assert {r["doc_id"] for r in packed.collect()} == {"d0", None}
+    assert corpus_pipeline.run(ready, f"{tmp_path}/none").count() == 0
 
 
 def test_shingle_blocks_hold_every_link():
@@ -129,7 +156,6 @@ def test_packing(which, docs, small, path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rows = docs if which == "odd" else small
     found = defaultdict(list)
     for r in packing.pack_documents(rows, path).collect():
@@ -180,7 +206,6 @@ def test_token_counts(which, docs, small, path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rows = docs if which == "odd" else small
     texts = rows.select("doc_id", "text").collect()
     for rule in token_counts.RULES:

@@ -178,6 +178,5 @@ def test_pipeline(docs, ready, odd, path, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     tokens = sum(len(plain.encode(r["text"], add_special_tokens=False).ids) + 1 for r in kept[3].collect())
     assert kept[4].agg(F.sum("length")).first()[0] == tokens
