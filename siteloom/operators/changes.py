@@ -1,8 +1,9 @@
 """Change sets: inserts, upserts and keyed updates as whole-table jobs.
 
 The table side is read once and joined by key; the change side is first folded
-to one row per key by an aggregation, so a key with many changes is combined
-before the shuffle and never sorted inside one task.
+to one row per key by an aggregation of numbers, so a key with many changes is
+combined before the shuffle and nothing is sorted. The values of the change that
+it finds are fetched by a join.
 """
 
 from __future__ import annotations
@@ -111,40 +112,80 @@ def quick_tickets(batch: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 # --- keyed updates ---------------------------------------------------------
+#: seq from its smallest value on, and how many values it has: one moment's changes are numbered within this
+SEQ_FLOOR, SEQ_VALUES = -(1 << 63), 1 << 64
+#: before any moment, in microseconds; for a change without a time
+NO_TIME = -(10**18)
+
+
+def order_key(ts: str = "ts", seq: str = "seq") -> Column:
+    """Time, then sequence, as one number: hash aggregation keeps numbers, where structs and texts make it sort.
+
+    Nulls come first. Microseconds have 18 digits at most, so the number fits 38.
+    """
+    micros = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(NO_TIME)).cast("decimal(20,0)")
+    place = F.coalesce(F.col(seq), F.lit(SEQ_FLOOR)).cast("decimal(20,0)") - F.lit(SEQ_FLOOR).cast("decimal(20,0)")
+    return (micros * F.expr(f"CAST({SEQ_VALUES} AS DECIMAL(20,0))") + place).cast("decimal(38,0)")
+
+
+def _keyed(changes: DataFrame, fields: list[str], ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """Changes with their order key and a hash of their values."""
+    return changes.withColumns({"_key": order_key(ts, seq), "_hash": F.xxhash64(*fields)})
+
+
+def _last_columns() -> list[Column]:
+    """The key and the hash of an id's last change (of different changes with one key, those of one)."""
+    return [F.max("_key").alias("_last"), F.max_by("_hash", "_key").alias("_pick")]
+
+
+def _with_last_values(last: DataFrame, keyed: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """The rows of ``last``, one for each key, with the values of the change that they name.
+
+    The changes meet them by id, key and hash, so a busy id is spread over the partitions. A change that was delivered
+    again is one row.
+    """
+    values = keyed.select(F.col(key).alias("_id"), "_key", "_hash", *[F.col(f).alias(f"_new_{f}") for f in fields])
+    meets = (F.col(key) == F.col("_id")) & (F.col("_last") == F.col("_key")) & (F.col("_pick") == F.col("_hash"))
+    return last.join(values, meets).drop("_id", "_key", "_hash").distinct()
+
+
 def last_change(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The latest change of every key, by aggregation."""
+    """The latest change of every key, by time and sequence: found by aggregation, its values fetched by a join."""
     values = [name for name in changes.columns if name != key]
-    latest = F.max_by(F.struct(*values), F.struct(*order))
-    return changes.groupBy(key).agg(latest.alias("_last")).select(key, "_last.*")
+    keyed = _keyed(changes, values, *order)
+    found = _with_last_values(keyed.groupBy(key).agg(*_last_columns()), keyed, key, values)
+    return found.select(key, *[F.col(f"_new_{name}").alias(name) for name in values])
 
 
 def _fold_state_changes(changes: DataFrame, table: str, fields: list[str]) -> DataFrame:
     """Per id: the last values, whether a reopening happened, and when the final closing began.
 
     Applying the changes one after the other stamps the first closing after the
-    last reopening. One aggregation finds the last values, the first closing and
-    the last reopening. Only ids that were reopened need their closings once
-    more, by a join in which a reopened id is one row; the closings of a busy id
-    are split at run time.
+    last reopening. One aggregation finds the last change, the first closing and
+    the last reopening, all as numbers. Only ids that were reopened need their
+    closings once more, by a join in which a reopened id is one row; the closings
+    of a busy id are split at run time.
     """
-    moment = F.struct("ts", "seq")
+    keyed = _keyed(changes, fields)
     closed = F.coalesce(F.col("stato").isin(*CLOSED_STATES[table]), F.lit(False))
-    last = changes.groupBy("id").agg(
-        F.max_by(F.struct(*fields), moment).alias("_new"),
-        F.max(F.when(~closed, moment)).alias("_reopened"),
+    last = keyed.groupBy("id").agg(
+        *_last_columns(),
+        F.max(F.when(~closed, F.col("_key"))).alias("_reopened"),
         F.min(F.when(closed, F.col("ts"))).alias("_first_closed"),
     )
     reopened = last.where(F.col("_reopened").isNotNull()).select("id", "_reopened")
-    closings = changes.where(closed).select("id", moment.alias("_at"))
-    after = closings.join(reopened, "id").where(F.col("_at") > F.col("_reopened"))
-    began = after.groupBy("id").agg(F.min("_at.ts").alias("_closed_again"))
+    closings = keyed.where(closed).select("id", "ts", "_key")
+    after = closings.join(reopened, "id").where(F.col("_key") > F.col("_reopened"))
+    began = after.groupBy("id").agg(F.min("ts").alias("_closed_again"))
     was_open = F.col("_reopened").isNotNull()
-    return last.join(began, "id", "left").select(
+    stamps = last.join(began, "id", "left").select(
         "id",
-        "_new",
+        "_last",
+        "_pick",
         was_open.alias("_was_open"),
         F.when(was_open, F.col("_closed_again")).otherwise(F.col("_first_closed")).alias("_closed_at"),
     )
+    return _with_last_values(stamps, keyed, "id", fields)
 
 
 def apply_changes(existing: DataFrame, changes: DataFrame, table: str, fields: list[str]) -> DataFrame:
@@ -155,11 +196,11 @@ def apply_changes(existing: DataFrame, changes: DataFrame, table: str, fields: l
     set again changes nothing.
     """
     folded = _fold_state_changes(changes, table, fields)
-    state = F.col("_new.stato")
+    state = F.col("_new_stato")
     kept = F.when(~F.col("_was_open"), F.col("closed_at"))
     stamp = s.close_stamp(CLOSED_STATES[table], state, kept, F.col("_closed_at"))
-    changed = F.col("_new").isNotNull()
-    new_values = {name: F.when(changed, F.col(f"_new.{name}")).otherwise(F.col(name)) for name in fields}
+    changed = F.col("_was_open").isNotNull()
+    new_values = {name: F.when(changed, F.col(f"_new_{name}")).otherwise(F.col(name)) for name in fields}
     return (
         existing.join(folded, "id", "left")
         .withColumns({**new_values, "closed_at": F.when(changed, stamp).otherwise(F.col("closed_at"))})
@@ -203,18 +244,16 @@ def apply_replies(notices: DataFrame, replies: DataFrame) -> DataFrame:
 
     The stamp is that of the last reply with text, even if a later change is blank.
     """
-    moment = F.struct("ts", "seq")
-    folded = replies.groupBy("id").agg(
-        F.max_by(F.struct("stato", "risposta"), moment).alias("_new"),
-        F.max_by("ts", F.when(p.has_text(F.col("risposta")), moment)).alias("_replied"),
-    )
-    changed = F.col("_new").isNotNull()
+    fields = ["stato", "risposta"]
+    keyed = _keyed(replies, fields)
+    replied = F.max_by("ts", F.when(p.has_text(F.col("risposta")), F.col("_key"))).alias("_replied")
+    folded = _with_last_values(keyed.groupBy("id").agg(*_last_columns(), replied), keyed, "id", fields)
+    changed = F.col("_last").isNotNull()
     return (
         notices.join(folded, "id", "left")
         .withColumns(
             {
-                "stato": F.when(changed, F.col("_new.stato")).otherwise(F.col("stato")),
-                "risposta": F.when(changed, F.col("_new.risposta")).otherwise(F.col("risposta")),
+                **{name: F.when(changed, F.col(f"_new_{name}")).otherwise(F.col(name)) for name in fields},
                 "responded_at": F.coalesce(F.col("_replied"), F.col("responded_at")),
             }
         )

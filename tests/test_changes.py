@@ -66,6 +66,25 @@ def test_changes_are_idempotent(random_case):
     assert rows_of(changes.apply_ticket_changes(once, log)) == rows_of(once)
 
 
+def test_repeated_and_conflicting_changes(spark):
+    """A change that comes again is one; of different changes under one time and sequence one wins whole; nulls are earliest."""
+    t = make_tables(spark, ticket=[{"id": i, "stato": "Aperto"} for i in range(1, 6)])
+    later = T0 + dt.timedelta(seconds=1)
+    log = [(1, T0, 1, "Chiuso", "a", "x", None)] * 4
+    log += [(2, T0, 1, "Chiuso", "a", "x", None), (2, T0, 1, "Aperto", "b", "y", None)]
+    log += [(3, None, 9, "Chiuso", "a", "x", None), (3, T0, None, "Risolto", "b", "y", None), (3, T0, -5, "In gestione", "c", None, None)]
+    log += [(4, T0, (1 << 63) - 1, "Chiuso", "a", "x", None), (4, later, -(1 << 63), "Risolto", "b", None, None)]
+    rows = rows_of(changes.apply_ticket_changes(t.ticket, spark.createDataFrame(log, CHANGE)))
+    assert len(rows) == 5
+    assert rows[1] == ("Chiuso", "a", "x", T0) and rows[5] == ("Aperto", None, None, None)
+    assert rows[2][:3] in {("Chiuso", "a", "x"), ("Aperto", "b", "y")}
+    assert rows[3] == ("In gestione", "c", None, None)
+    assert rows[4] == ("Risolto", "b", None, T0)
+    newest = changes.last_change(spark.createDataFrame(log, CHANGE), "id", ["ts", "seq"])
+    assert {r.id: r.priorita for r in newest.where("id <> 2").collect()} == {1: "a", 3: "c", 4: "b"}
+    assert newest.count() == 4 and set(newest.columns) == set(CHANGE.replace(",", "").split()[::2])
+
+
 def test_task_changes_are_idempotent(tables):
     log = change_set("task_changes", tables.attivita)
     once = changes.apply_task_changes(tables.attivita, log)

@@ -43,6 +43,12 @@ def test_plan_holds_at_any_size(spark, no_broadcast, name):
         assert "BroadcastHashJoin" not in plan
 
 
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith(("s07", "s08", "m16"))])
+def test_change_sets_are_folded_by_hashing(spark, no_broadcast, name):
+    """Keys and stamps are numbers, so that no aggregation of changes sorts them."""
+    assert "SortAggregate" not in plan_of(QUERIES[name](spark, SMALL))
+
+
 @pytest.mark.parametrize(
     "name, columns",
     [
