@@ -24,7 +24,7 @@ def dense_ids(batch: DataFrame, order: str, first: int, slices: int | None = Non
     batch = written(batch, "batch")
     shares = [i / slices for i in range(1, slices)]
     bounds = batch.agg(F.percentile_approx(order, shares, 10000)).first()[0] or []
-    in_slice = batch.withColumn("_slice", _cuts_below(F.col(order), sorted(set(bounds))))
+    in_slice = batch.withColumn("_slice", cuts_below(F.col(order), sorted(set(bounds))))
     sizes = in_slice.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
@@ -37,7 +37,7 @@ def dense_ids(batch: DataFrame, order: str, first: int, slices: int | None = Non
     )
 
 
-def _cuts_below(value: Column, cuts: list) -> Column:
+def cuts_below(value: Column, cuts: list) -> Column:
     """How many of the sorted cuts are below a value, in about twice the square root of their number of steps."""
     if not cuts:
         return F.lit(0)
