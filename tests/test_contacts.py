@@ -51,3 +51,30 @@ def test_random_names(spark):
 
 def test_no_crews(spark):
     check(spark, [], ["a", None])
+
+
+def test_names_by_their_grams(spark):
+    """Names that share their rarest gram, hold it at its end, twice, or not at all; longer and shorter than a gram."""
+    crews = [{"id": i, "nome": n, "telefono": str(i), "attivo": 1} for i, n in enumerate(["Mario Rossi", "Maria Rossini", "aaaaaa", "ab", "x", "Rossi", "日本の大工", "mar"])]
+    names = ["rossi", "ross", "rossin", "o ros", "mar", "maria", "ario r", "aaa", "aaaa", "aaaaaaa", "ab", "b", "x", "日本", "日本の", "の大工", "大", "zzz", "rossx", "mario rossi ", "ri"]
+    check(spark, crews, names)
+
+
+def test_random_long_names(spark):
+    rng = random.Random(8)
+
+    def word(low, high, letters="abc "):
+        return "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+
+    crews = [{"id": i, "nome": word(0, 25), "telefono": str(i), "attivo": rng.randint(0, 3) and 1} for i in range(150)]
+    held = [c["nome"][a : a + rng.randint(1, 12)] for c in crews for a in [rng.randint(0, 10)]]
+    check(spark, crews, held + [word(2, 8) for _ in range(150)])
+
+
+def test_wanted_names_are_computed_once(spark):
+    """The rows that names come from are read for the names and for the result, not once more for each step."""
+    t = make_tables(spark, artigiani=[{"id": 1, "nome": "Mario Rossi", "telefono": "1", "attivo": 1}])
+    seen = spark.sparkContext.accumulator(0)
+    names = spark.sparkContext.parallelize([(1, "rossi"), (2, "ma")], 1).map(lambda r: seen.add(1) or r).toDF("id bigint, nome_cercato string")
+    assert with_contact_phone(names, t.artigiani, "nome_cercato").count() == 2
+    assert seen.value <= 4

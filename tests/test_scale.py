@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.queries import QUERIES
 from siteloom.operators import counts, lists, lookups
-from siteloom.schema import SCHEMAS
+from siteloom.schema import FOREIGN_KEYS, SCHEMAS
 from tests.conftest import SMALL
 
 WRITES = ("s09", "s10", "s11", "s12", "s13", "t0")
@@ -43,6 +43,12 @@ def test_plan_holds_at_any_size(spark, no_broadcast, name):
         assert "BroadcastHashJoin" not in plan
 
 
+def test_orphans_join_each_parent_once(spark, no_broadcast):
+    """All children of a parent meet it in one join."""
+    parents = len({parent for _, _, parent in FOREIGN_KEYS})
+    assert plan_of(QUERIES["j09_orphans"](spark, SMALL)).count("SortMergeJoin") == parents
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith(("s07", "s08", "m16"))])
 def test_change_sets_are_folded_by_hashing(spark, no_broadcast, name):
     """Keys and stamps are numbers, so that no aggregation of changes sorts them."""
