@@ -16,8 +16,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siteloom.operators.numbering import cuts_below
 from siteloom.schema import PURGE_ORDER, SCHEMAS, SiteTables, conform
@@ -108,6 +110,16 @@ def read_tables(spark: SparkSession, root: str) -> SiteTables:
     return SiteTables(**{name: _read_places(spark, root, name, held.places(name)) for name in SiteTables.NAMES})
 
 
+def if_there(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The rows of a Parquet folder, or None where there is none."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def lookup(spark: SparkSession, root: str, table: str, ids: list[int]) -> DataFrame:
     """Rows with the given ids: folders of other ranges are left out, and of the others the row groups whose filter of
     ids holds none of them."""

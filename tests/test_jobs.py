@@ -81,3 +81,55 @@ def test_stream_jobs(spark, tmp_path):
     spark.createDataFrame(changes, schema).write.parquet(str(tmp_path / "log"))
     main(["change-stream", "--out", str(tmp_path / "o2"), "--rows", str(tmp_path / "log")])
     assert spark.read.parquet(str(tmp_path / "o2" / "log")).count() == 1
+
+
+def test_rows_are_appended_once(spark, snapshot, tmp_path):
+    root, rows, made = (str(tmp_path / p) for p in ("tables", "rows", "made"))
+    main(["restore", "--tables", snapshot, "--out", root, "--ranges", "2"])
+    spark.createDataFrame([(1, 1, "porta rotta, lavori fermi", "Bob")], "id bigint, cantiere_id bigint, testo string, autore string").write.parquet(rows)
+    main(["triage", "--tables", root, "--out", made, "--messages", rows, "--as-of", str(DAY)])
+    for _ in range(2):
+        main(["append", "--tables", root, "--rows", made, "--batch", "triage-1"])
+    back = snapshots.restore_snapshot(spark, root)
+    assert (back.ticket.count(), back.aggiornamenti.count()) == (2, 1)
+
+
+def test_streams_are_merged_by_jobs(spark, snapshot, tmp_path):
+    root, rows, out = (str(tmp_path / p) for p in ("tables", "rows", "out"))
+    main(["restore", "--tables", snapshot, "--out", root])
+    log = spark.createDataFrame([(1, 1, "Bob", "porta rotta", T0)], "id bigint, cantiere_id bigint, autore string, testo string, created_at timestamp_ntz")
+    log.write.parquet(rows)
+    main(["message-stream", "--out", out, "--rows", rows, "--as-of", str(DAY)])
+    for _ in range(2):
+        main(["merge-messages", "--tables", root, "--rows", out, "--now", T0.isoformat()])
+    assert snapshots.restore_snapshot(spark, root).ticket.count() == 2
+    _, changes, schema = LOGS["ticket-changes"]
+    spark.createDataFrame(changes, schema).write.parquet(str(tmp_path / "log"))
+    main(["change-stream", "--out", str(tmp_path / "o2"), "--rows", str(tmp_path / "log")])
+    for _ in range(2):
+        main(["merge-changes", "--tables", root, "--rows", str(tmp_path / "o2" / "log"), "--table", "ticket", "--batch", "log-1"])
+    assert snapshots.restore_snapshot(spark, root).ticket.where("id = 1").first().stato == "Chiuso"
+    notices = spark.createDataFrame([(1, 1, 1, T0), (2, 1, 1, T0 + dt.timedelta(hours=1))], "id bigint, cantiere_id bigint, ticket_id bigint, created_at timestamp_ntz")
+    notices.to(snapshots.SCHEMAS["notifiche"]).write.parquet(str(tmp_path / "sent"))
+    main(["notice-stream", "--out", str(tmp_path / "o3"), "--rows", str(tmp_path / "sent")])
+    main(["compact-notices", "--out", str(tmp_path / "compacted"), "--rows", str(tmp_path / "o3" / "ultime")])
+    assert spark.read.parquet(str(tmp_path / "compacted")).first().notifiche == 2
+
+
+def test_registered_notices(spark, snapshot, tmp_path):
+    rows, out = str(tmp_path / "rows"), str(tmp_path / "out")
+    spark.createDataFrame([(1, "Anna", None)], "ticket_id bigint, destinatario string, canale string").write.parquet(rows)
+    main(["register-notices", "--tables", snapshot, "--out", out, "--rows", rows, "--channel", "Email", "--now", T0.isoformat()])
+    row = spark.read.parquet(f"{out}/notifiche").first()
+    assert (row.id, row.ticket_id, row.destinatario, row.canale, row.created_at) == (1, 1, "Anna", "Email", T0)
+
+
+def test_a_store(spark, snapshot, tmp_path):
+    store = str(tmp_path / "store")
+    main(["load", "--tables", snapshot, "--out", f"{store}/a"])
+    main(["load", "--tables", snapshot, "--out", f"{store}/a"])  # holds sites already
+    main(["purge", "--out", f"{store}/b"])
+    for name, sites in (("b", 0), ("a", 1)):
+        main(["use", "--tables", store, "--name", name])
+        main(["backup", "--store", store, "--out", str(tmp_path / name)])
+        assert snapshots.restore_snapshot(spark, str(tmp_path / name)).cantieri.count() == sites
