@@ -8,15 +8,16 @@ The first factor is a maximum-entropy model over classes: a softmax over the sum
 the word before (one n-gram), the two before (two), the second before alone (a skip), and the first one of the text.
 
 The second is a tree of such softmaxes inside each class (``Tree``), with the same features, hashed with the node. Its
-leaves are the ``HEAD`` most frequent words; one branch of a class's root stands for all other words of the class, which
-share it by their smoothed counts, and unseen words have one more place there. A softmax starts with the branches' counts,
-so without any learnt weight P(word | class) is the word's smoothed count. All factors sum to 1. Places of features grow
-with the root of the number of tokens, up to ``MOST_PLACES`` (the weights of all levels have to fit a worker's memory).
+leaves are the ``HEAD`` most frequent words, the more frequent ones nearer to the root, so that most tokens take one step;
+one branch of a class's root stands for all other words of the class, which share it by their smoothed counts, and unseen
+words have one more place there. A softmax starts with the branches' counts, so without any learnt weight P(word | class)
+is the word's smoothed count. All factors sum to 1. Places of features grow with the root of the number of tokens, up to
+``MOST_PLACES`` (the weights of all levels have to fit a worker's memory).
 
 Training reads all training documents. Counts of all words are merged in each task, then by hash buckets, and stay
-distributed. Weights are trained by distributed gradient updates: in each round every task takes the current weights over
-its part of that round's documents in small steps, and the weights that the tasks return are averaged by tokens. The
-rounds share out the documents, so each is used once.
+distributed. Weights are trained by distributed gradient updates: in each round every task (``TRAINERS`` at most) takes the
+current weights over its part of that round's documents in small steps, and the weights that the tasks return are averaged
+by tokens. The rounds share out the documents, so each is used once.
 
 Scoring is sparse: a document needs the counts of its own words only. The ``HEAD`` most frequent words travel with the
 weights (a fixed number); for others, each task's (word, document, times) records meet the counts in hash buckets, and
@@ -50,9 +51,13 @@ PLACES = 1 << 13
 MOST_PLACES = 1 << 15
 KINDS = 4
 ROUNDS = 3
-#: tokens of one step of a task, and how far a step goes
-STEP = 1 << 15
+#: tokens of one step of a task for each place of a kind, and how far a step goes
+STEP = 4
 RATE = 0.5
+#: tasks that return weights in a round
+TRAINERS = 1024
+#: a node's branches from this on are nodes of the next level, the ones before are words; on the last level all are words
+INNER = 16
 #: words that are sent to every task
 HEAD = 200_000
 #: letters (bytes) that decide a word's class
@@ -112,76 +117,134 @@ def features_of(keys: np.ndarray, places: int, nodes: np.ndarray | None = None)
 
 @dataclass
 class ClassModel:
-    #: (KINDS * places, CLASSES) weights, and one bias for each class (of each node, in a tree)
+    #: (CLASSES, KINDS * places) weights, and one bias for each class (of each node, in a tree)
     weights: np.ndarray
     bias: np.ndarray
 
     @property
     def places(self) -> int:
-        return len(self.weights) // KINDS
+        return self.weights.shape[1] // KINDS
 
     @staticmethod
     def flat(counts: np.ndarray, places: int = PLACES) -> ClassModel:
         """The model that knows how often each class comes."""
         share = (counts + 1.0) / (counts.sum() + CLASSES)
-        return ClassModel(np.zeros((KINDS * places, CLASSES), np.float32), np.log(share).astype(np.float32))
+        return ClassModel(np.zeros((CLASSES, KINDS * places), np.float32), np.log(share).astype(np.float32))
+
+    def _sums(self, rows: np.ndarray, nodes: np.ndarray | None) -> np.ndarray:
+        """What the softmax is taken of, class by class, the largest at 0."""
+        z = self.bias[:, None].repeat(rows.shape[1], 1) if nodes is None else np.ascontiguousarray(self.bias[nodes].T)
+        one = np.empty(rows.shape[1], np.float32)
+        for own, weights in zip(z, self.weights, strict=True):
+            for kind in rows:
+                # every place is in range
+                own += np.take(weights, kind, out=one, mode="clip")
+        z -= z.max(axis=0)
+        return z
 
-    def chances(self, rows: np.ndarray, nodes: np.ndarray | None = None) -> np.ndarray:
-        """P(class) for each token."""
-        z = self.weights[rows[0]]
-        for kind in rows[1:]:
-            z += self.weights[kind]
-        z += self.bias if nodes is None else self.bias[nodes]
-        z -= z.max(axis=1, keepdims=True)
+    def _chances(self, rows: np.ndarray, nodes: np.ndarray | None) -> np.ndarray:
+        z = self._sums(rows, nodes)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z /= z.sum(axis=0)
         return z
 
+    def chances(self, rows: np.ndarray, nodes: np.ndarray | None = None) -> np.ndarray:
+        """P(class) for each token: a line of classes."""
+        return self._chances(rows, nodes).T
+
+    def logs(self, rows: np.ndarray, classes: np.ndarray, nodes: np.ndarray | None = None) -> np.ndarray:
+        """log10 of the chance of each token's class."""
+        z = self._sums(rows, nodes)
+        own = z[classes, np.arange(len(classes))].astype(np.float64)
+        np.exp(z, out=z)
+        return np.maximum((own - np.log(z.sum(axis=0))) / np.log(10), -30)
+
     def learn(self, rows: np.ndarray, classes: np.ndarray, squares: np.ndarray, nodes: np.ndarray | None = None) -> None:
         """One step; each weight's own step shrinks with the gradients it has had (``squares``)."""
-        error = self.chances(rows, nodes)
-        error[np.arange(len(classes)), classes] -= 1
-        for kind in rows:
-            order = np.argsort(kind, kind="stable")
-            starts = run_starts(kind[order])
-            lines = kind[order][starts]
-            total = np.add.reduceat(error[order], starts)
-            squares[lines] += np.square(total)
-            self.weights[lines] -= RATE * total / np.sqrt(squares[lines] + 1)
+        error = self._chances(rows, nodes)
+        error[classes, np.arange(len(classes))] -= 1
+        places = self.places
+        for k, kind in enumerate(rows):
+            low = k * places
+            if 2 * len(kind) < places:
+                used, at = np.unique(kind, return_inverse=True)
+            else:
+                used, at = slice(low, low + places), kind - low
+            n = len(used) if isinstance(used, np.ndarray) else places
+            total = np.empty((CLASSES, n), np.float32)
+            for c in range(CLASSES):
+                total[c] = np.bincount(at, weights=error[c], minlength=n)
+            had = squares[:, used]
+            had += np.square(total)
+            squares[:, used] = had
+            total *= RATE
+            total /= np.sqrt(had + 1)
+            self.weights[:, used] -= total
 
 
 @dataclass
 class Tree:
-    """The levels inside the classes; branch 0 of a class's root stands for its words beyond the head."""
+    """The levels inside the classes; branch 0 of a class's root stands for its words beyond the tree."""
 
-    #: head words in order, and where each goes on each level; a row of branches for each level
+    #: words in order, and where each goes on each level; a row of branches for each level, -1 below a word
     words: np.ndarray
     branches: np.ndarray
     levels: list[ClassModel]
 
+    @staticmethod
+    def _places(rank: np.ndarray) -> np.ndarray:
+        """The branches of a class's words by their rank; a row for each level, -1 below a word and for what has no room.
+
+        On each level but the last a node has INNER words (one less under the root) and as many nodes below it.
+        """
+        inner = CLASSES - INNER
+        depth, room = 1, CLASSES - 1
+        while room <= rank.max(initial=0) and depth < 4:
+            room += -inner * inner ** (depth - 1) + inner**depth * CLASSES
+            depth += 1
+        out = np.full((depth, len(rank)), -1, np.int64)
+        left, here = rank.copy(), np.arange(len(rank))
+        for k in range(depth):
+            nodes = inner**k
+            words = CLASSES if k == depth - 1 else INNER
+            held = nodes * words - (k == 0)
+            ends = here[left[here] < held]
+            place = left[ends]
+            for level in range(k):
+                out[level, ends] = INNER + place % inner
+                place = place // inner
+            out[k, ends] = place + (k == 0)
+            here = here[left[here] >= held]
+            left[here] -= held
+        return out
+
     @staticmethod
     def of(head: tuple[np.ndarray, np.ndarray, np.ndarray], tokens: np.ndarray, words: np.ndarray, places: int) -> Tree:
-        """The tree without learnt weights, in which every head word is a leaf (if its class has less than 31 * 32 * 32)."""
+        """The tree without learnt weights; a class's words beyond the room of four levels count as not in the head."""
         names, counts, classes = head
         if not len(names):
             return Tree(names, np.zeros((0, 0), np.int64), [])
         order = np.lexsort((names, -counts, classes))
         first = run_starts(classes[order])
         rank = np.empty(len(names), np.int64)
-        sizes = np.diff(np.append(first, len(names)))
-        rank[order] = ranges(np.zeros(len(first), np.int64), sizes)
-        own, most = CLASSES - 1, int(sizes.max())
-        depth = 1 if most <= own else 2 if most <= own * CLASSES else 3
-        branches = np.stack([1 + rank % own, rank // own % CLASSES, rank // (own * CLASSES) % CLASSES])[:depth]
+        rank[order] = ranges(np.zeros(len(first), np.int64), np.diff(np.append(first, len(names))))
+        branches = Tree._places(rank)
+        held = branches[0] >= 0
+        names, counts, classes, branches = names[held], counts[held], classes[held], branches[:, held]
         mass, node, levels = counts + SMOOTHING, classes.astype(np.int64), []
-        for k in range(depth):
-            total = np.bincount(node * CLASSES + branches[k], weights=mass, minlength=CLASSES ** (k + 2)).reshape(-1, CLASSES)
+        here = np.arange(len(names))
+        for k, branch in enumerate(branches):
+            nodes = CLASSES * (CLASSES - INNER) ** k
+            total = np.bincount(node * CLASSES + branch[here], weights=mass[here], minlength=nodes * CLASSES).reshape(-1, CLASSES)
             if k == 0:
                 total[:, 0] = np.maximum(tokens + SMOOTHING * (words + 1) - total.sum(axis=1), SMOOTHING)
             share = total / np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
             bias = np.where(share > 0, np.log(np.maximum(share, 1e-300)), -1e9).astype(np.float32)
-            levels.append(ClassModel(np.zeros((KINDS * places, CLASSES), np.float32), bias))
-            node = node * CLASSES + branches[k]
+            levels.append(ClassModel(np.zeros((CLASSES, KINDS * places), np.float32), bias))
+            if k + 1 < len(branches):
+                on = branches[k + 1][here] >= 0
+                node = node[on] * (CLASSES - INNER) + branch[here[on]] - INNER
+                here = here[on]
         return Tree(names, branches, levels)
 
     def steps(self, tokens: np.ndarray, classes: np.ndarray, keys: np.ndarray) -> Iterator[tuple[ClassModel, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -196,16 +259,15 @@ class Tree:
             if k == 0:
                 branch = np.where(known, branch, 0)
             yield level, k, here, features_of(keys[:, here], level.places, node + (k << 32)), node, branch
-            node = node * CLASSES + branch
-            if k == 0:
-                here, node = here[known], node[known]
+            if k + 1 < len(self.levels):
+                on = branch >= INNER
+                here, node = here[on], node[on] * (CLASSES - INNER) + branch[on] - INNER
 
     def gain(self, tokens: np.ndarray, classes: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """What the words before change of log10 P(word | class), for each token."""
         out = np.zeros(len(tokens))
         for level, _, here, rows, nodes, branch in self.steps(tokens, classes, keys):
-            chance = level.chances(rows, nodes)[np.arange(len(here)), branch]
-            out[here] += np.log10(np.maximum(chance, 1e-30)) - level.bias[nodes, branch] / np.log(10)
+            out[here] += level.logs(rows, branch, nodes) - level.bias[nodes, branch] / np.log(10)
         return out
 
 
@@ -255,7 +317,7 @@ def _head(batches: Iterable[pa.RecordBatch], above: int) -> Iterator[pa.RecordBa
 
 
 def _train(batches: Iterable[pa.RecordBatch], model: ClassModel, tree: Tree) -> Iterator[pa.RecordBatch]:
-    """A task's weights after its documents, in packed lines of all levels, and how many tokens it had."""
+    """A task's weights after its documents, in packed parts of all levels, and how many tokens it had."""
     before = [model, *tree.levels]
     own = [ClassModel(m.weights.copy(), m.bias) for m in before]
     grown = Tree(tree.words, tree.branches, own[1:])
@@ -264,18 +326,18 @@ def _train(batches: Iterable[pa.RecordBatch], model: ClassModel, tree: Tree) ->
     for batch in text_slices(batches):
         tokens, classes, first = tokens_of(batch.column("text"))
         keys = keys_of(tokens, first)
-        for a in range(0, len(tokens), STEP):
-            part = slice(a, a + STEP)
+        for a in range(0, len(tokens), STEP * model.places):
+            part = slice(a, a + STEP * model.places)
             own[0].learn(features_of(keys[:, part], model.places), classes[part], squares[0])
             for level, k, _, rows, nodes, branch in grown.steps(tokens[part], classes[part], keys[:, part]):
                 if len(nodes):
                     level.learn(rows, branch, squares[k + 1], nodes)
         seen += len(tokens)
     if seen:
-        step = PLACES // 4
+        step = PLACES // 4 * CLASSES
         for k, (new, old) in enumerate(zip(own, before, strict=True)):
             # half precision on the way; the sum is in single precision
-            changed = (new.weights - old.weights).astype(np.float16)
+            changed = (new.weights - old.weights).astype(np.float16).ravel()
             parts = range(0, len(changed), step)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -335,14 +397,14 @@ def train_language_model(docs: DataFrame, usable: Column, id_column: str = "doc_
     tree = Tree.of(head, tokens, words, places)
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((model, tree))  # KINDS * places * CLASSES floats for each level, and HEAD words
-        parts = own.where(F.col("round") == turn).select("text")
+        parts = own.where(F.col("round") == turn).select("text").coalesce(TRAINERS)
         tried = parts.mapInArrow(lambda batches, shared=shared: _train(batches, *shared.value), "part long, seen long, change binary")
         mean = tried.repartition(KINDS * 4, "part").mapInArrow(_average, "part long, change binary").collect()
-        weights = np.concatenate([m.weights for m in (model, *tree.levels)])
+        weights = np.concatenate([m.weights.ravel() for m in (model, *tree.levels)])
         for r in mean:
-            change = np.frombuffer(r["change"], np.float32).reshape(-1, CLASSES)
+            change = np.frombuffer(r["change"], np.float32)
             weights[r["part"] : r["part"] + len(change)] += change
-        each = np.split(weights, 1 + len(tree.levels))
+        each = [w.reshape(CLASSES, -1) for w in np.split(weights, 1 + len(tree.levels))]
         model = ClassModel(each[0], model.bias)
         tree = Tree(tree.words, tree.branches, [ClassModel(w, old.bias) for w, old in zip(each[1:], tree.levels, strict=True)])
         shared.unpersist()
@@ -396,10 +458,10 @@ class _Scorer:
             part[known] = np.log10(counts[at[known]] + SMOOTHING)
         model = np.empty(len(tokens))
         keys = keys_of(tokens, first)
-        for a in range(0, len(tokens), STEP):
-            step = slice(a, a + STEP)
-            chance = self.classes.chances(features_of(keys[:, step], self.classes.places))
-            model[step] = np.log10(np.maximum(chance[np.arange(len(chance)), classes[step]], 1e-30))
+        size = STEP * self.classes.places
+        for a in range(0, len(tokens), size):
+            step = slice(a, a + size)
+            model[step] = self.classes.logs(features_of(keys[:, step], self.classes.places), classes[step])
             model[step] += self.tree.gain(tokens[step], classes[step], keys[:, step])
         sums = np.zeros(n, SUMS)
         sums["row"], sums["copies"], sums["tokens"] = row, 1, np.diff(first)
