@@ -880,8 +880,8 @@ def r13_site_register(t: SiteTables) -> DataFrame:
 
 @tables_query
 def r13_pick_lists(t: SiteTables) -> DataFrame:
-    sites = registers.site_labels(t).select(F.lit("cantieri").alias("tabella"), "id", "etichetta")
-    tasks = registers.task_labels(t).select(F.lit("attivita").alias("tabella"), "id", "etichetta")
+    sites = registers.site_labels(t, ordered=False).select(F.lit("cantieri").alias("tabella"), "id", "etichetta")
+    tasks = registers.task_labels(t, ordered=False).select(F.lit("attivita").alias("tabella"), "id", "etichetta")
     return sites.unionByName(tasks)
 
 

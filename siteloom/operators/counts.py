@@ -98,7 +98,12 @@ def completion_rate(done: Column, total: Column) -> Column:
 
 def site_progress(sites: DataFrame, tasks: DataFrame) -> DataFrame:
     """Progress table of all sites, with zeros for a site without tasks."""
-    counted = attach(sites.select("id", "nome", "cliente", "capo_cantiere", "stato", "created_at"), task_counts(tasks))
+    return progress_of(sites, task_counts(tasks))
+
+
+def progress_of(sites: DataFrame, counted_tasks: DataFrame) -> DataFrame:
+    """The progress table from counts of tasks."""
+    counted = attach(sites.select("id", "nome", "cliente", "capo_cantiere", "stato", "created_at"), counted_tasks)
     return counted.withColumn(
         "avanzamento", percent_done(F.col("totale"), F.col("somma_percentuali"))
     ).select(
@@ -125,11 +130,14 @@ def kpis(sites: DataFrame, tasks: DataFrame, tickets: DataFrame, as_of: dt.date)
 
     The rollup runs over per-site counts, not over tasks and tickets.
     """
+    return kpis_of(sites, task_counts(tasks, as_of), ticket_counts(tickets))
+
+
+def kpis_of(sites: DataFrame, counted_tasks: DataFrame, counted_tickets: DataFrame) -> DataFrame:
+    """The KPI rows from counts of tasks and tickets."""
     listed = sites.select(F.col("id").alias(SITE))
-    task_part = task_counts(tasks, as_of).select(
-        SITE, "totale", "completate", "attivita_bloccate", "scadute"
-    )
-    ticket_part = ticket_counts(tickets).select(SITE, "ticket_aperti", "bloccanti")
+    task_part = counted_tasks.select(SITE, "totale", "completate", "attivita_bloccate", "scadute")
+    ticket_part = counted_tickets.select(SITE, "ticket_aperti", "bloccanti")
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [task_part, ticket_part, listed])
     return (
         stacked.rollup(SITE)

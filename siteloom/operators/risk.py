@@ -67,10 +67,15 @@ def with_risk(counted: DataFrame, brand: v.Brand = v.NO_BRAND) -> DataFrame:
 
 def risk_counters(sites: DataFrame, tasks: DataFrame, tickets: DataFrame, as_of: dt.date) -> DataFrame:
     """The seven counters of every site. Tasks and tickets are aggregated apart, then joined."""
+    return counters_of(sites, task_counts(tasks, as_of), ticket_counts(tickets))
+
+
+def counters_of(sites: DataFrame, counted_tasks: DataFrame, counted_tickets: DataFrame) -> DataFrame:
+    """The seven counters from counts of tasks and tickets."""
     return attach(
         sites.select("id", "nome"),
-        task_counts(tasks, as_of).select("cantiere_id", "attivita_bloccate", "scadute"),
-        ticket_counts(tickets).select("cantiere_id", "critici", "bloccanti", "alti", "decisioni", "a_rischio"),
+        counted_tasks.select("cantiere_id", "attivita_bloccate", "scadute"),
+        counted_tickets.select("cantiere_id", "critici", "bloccanti", "alti", "decisioni", "a_rischio"),
     )
 
 

@@ -17,9 +17,10 @@ def site_register(tables: SiteTables) -> DataFrame:
     return tables.cantieri.orderBy(*lists.newest_created_first()).select(*columns)
 
 
-def site_labels(tables: SiteTables) -> DataFrame:
+def site_labels(tables: SiteTables, ordered: bool = True) -> DataFrame:
     label = s.label_of(F.col("id"), F.col("nome")).alias("etichetta")
-    return tables.cantieri.orderBy(*lists.newest_created_first()).select("id", label)
+    rows = tables.cantieri.orderBy(*lists.newest_created_first()) if ordered else tables.cantieri
+    return rows.select("id", label)
 
 
 def crew_register(tables: SiteTables) -> DataFrame:
@@ -32,9 +33,10 @@ def task_register(tables: SiteTables) -> DataFrame:
     return tables.attivita.select(SITE, "id", *columns).orderBy(SITE, *lists.by_due_date())
 
 
-def task_labels(tables: SiteTables) -> DataFrame:
+def task_labels(tables: SiteTables, ordered: bool = True) -> DataFrame:
     label = s.label_of(F.col("id"), F.col("titolo")).alias("etichetta")
-    return tables.attivita.select(SITE, "id", label).orderBy(SITE, *lists.newest_id_first())
+    rows = tables.attivita.select(SITE, "id", label)
+    return rows.orderBy(SITE, *lists.newest_id_first()) if ordered else rows
 
 
 def ticket_register(tables: SiteTables) -> DataFrame:
