@@ -54,8 +54,8 @@ ROUNDS = 3
 #: tokens of one step of a task for each place of a kind, and how far a step goes
 STEP = 4
 RATE = 0.5
-#: tasks that return weights in a round
-TRAINERS = 1024
+#: tasks that return weights in a round at most, and the tokens that make one more of them
+TRAINERS, TRAINED = 1024, 1 << 21
 #: a node's branches from this on are nodes of the next level, the ones before are words; on the last level all are words
 INNER = 16
 #: words that are sent to every task
@@ -397,7 +397,9 @@ def train_language_model(docs: DataFrame, usable: Column, id_column: str = "doc_
     tree = Tree.of(head, tokens, words, places)
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((model, tree))  # KINDS * places * CLASSES floats for each level, and HEAD words
-        parts = own.where(F.col("round") == turn).select("text").coalesce(TRAINERS)
+        # weights travel once for each trainer, so one gets a good many tokens
+        trainers = min(TRAINERS, 1 + int(tokens.sum()) // (rounds * TRAINED))
+        parts = own.where(F.col("round") == turn).select("text").coalesce(trainers)
         tried = parts.mapInArrow(lambda batches, shared=shared: _train(batches, *shared.value), "part long, seen long, change binary")
         mean = tried.repartition(KINDS * 4, "part").mapInArrow(_average, "part long, change binary").collect()
         weights = np.concatenate([m.weights.ravel() for m in (model, *tree.levels)])
