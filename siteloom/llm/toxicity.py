@@ -122,10 +122,16 @@ def _features(batches: Iterable[pa.RecordBatch], swap: dict[int, int]) -> Iterat
 def fit_toxicity(
     labelled: DataFrame, text_column: str = "text", label_column: str = "toxic", sample: int = SAMPLE, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS
 ) -> ToxicityModel:
-    """Fit on about ``sample`` labelled rows."""
+    """Fit on at most ``sample`` labelled texts, drawn by a hash of the text; equal texts with one label count once.
+
+    The MOST_WORDS words that go most strongly with a label are kept, of those in LEAST_TEXTS sampled texts or more.
+    """
     rows = labelled.select(F.col(text_column).alias("text"), F.col(label_column).cast("int").alias("toxic")).where("toxic in (0, 1)")
     share = min(1.0, sample / max(rows.count(), 1))
-    rows = rows.where(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    draw = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1_000_000))
+    # copies of a drawn text become one in the task that reads them
+    drawn = rows.where(draw < int(share * 1_000_000) + 1).distinct()
+    rows = drawn.orderBy(draw, F.xxhash64("text"), "toxic").limit(sample)
     swap = swaps(groups)
     seen = rows.mapInArrow(lambda batches: _features(batches, swap), "toxic int, places binary, swapped binary").collect()
     y = np.array([r["toxic"] for r in seen], np.float64)

@@ -275,6 +275,20 @@ def test_toxicity(ready, docs):
     assert all(0 <= r["score"] <= 1 for r in scored.collect())
 
 
+def test_toxicity_sample_is_bounded(ready, monkeypatch):
+    """However often a text comes, the fit gets it once, and no more texts than asked for."""
+    rows = [("same text all over", 0)] * 3000 + [(f"you idiot number{i}", 1) for i in range(400)] + [(f"a fine day number{i}", 0) for i in range(400)]
+    labelled = ready.createDataFrame(rows, "text string, toxic int")
+    sizes = []
+    solve = toxicity._solve
+    monkeypatch.setattr(toxicity, "_solve", lambda x, y, *rest: sizes.append(len(x)) or solve(x, y, *rest))
+    model = toxicity.fit_toxicity(labelled)
+    probe = ready.createDataFrame([("idiot", 1), ("fine day", 0)], "text string, k int")
+    assert all((r["score"] >= 0.5) == r["k"] for r in toxicity.score_toxicity(probe, model).collect())
+    toxicity.fit_toxicity(labelled, sample=100)
+    assert sizes[0] == 801 and sizes[1] <= 100
+
+
 def test_toxicity_ignores_mentions(ready):
     """Labels that go with a group's name don't make the name toxic."""
     rows = [(f"hello muslims number{i}", 1 if i % 4 else 0) for i in range(200)] + [(f"hello christians number{i}", 0) for i in range(200)]
