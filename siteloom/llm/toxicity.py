@@ -108,6 +108,7 @@ def _features(batches: Iterable[pa.RecordBatch], swap: dict[int, int]) -> Iterat
         has = np.isin(np.arange(n), changed)
         yield pa.RecordBatch.from_arrays(
             [
+                batch.column("key"),
                 batch.column("toxic"),
                 pa.array([places[first[i] : first[i + 1]].astype(np.int32).tobytes() for i in range(n)], pa.binary()),
                 pa.array(
@@ -115,7 +116,7 @@ def _features(batches: Iterable[pa.RecordBatch], swap: dict[int, int]) -> Iterat
                     pa.binary(),
                 ),
             ],
-            ["toxic", "places", "swapped"],
+            ["key", "toxic", "places", "swapped"],
         )
 
 
@@ -129,11 +130,11 @@ def fit_toxicity(
     rows = labelled.select(F.col(text_column).alias("text"), F.col(label_column).cast("int").alias("toxic")).where("toxic in (0, 1)")
     share = min(1.0, sample / max(rows.count(), 1))
     draw = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1_000_000))
-    # copies of a drawn text become one in the task that reads them
-    drawn = rows.where(draw < int(share * 1_000_000) + 1).distinct()
-    rows = drawn.orderBy(draw, F.xxhash64("text"), "toxic").limit(sample)
+    rows = rows.where(draw < int(share * 1_000_000) + 1).select("text", "toxic", F.xxhash64("text").alias("key"))
     swap = swaps(groups)
-    seen = rows.mapInArrow(lambda batches: _features(batches, swap), "toxic int, places binary, swapped binary").collect()
+    found = rows.mapInArrow(lambda batches: _features(batches, swap), "key long, toxic int, places binary, swapped binary")
+    # copies of a drawn text become one before they are dealt out
+    seen = found.distinct().orderBy(F.xxhash64(F.lit(5), "key"), "key", "toxic").limit(sample).collect()
     y = np.array([r["toxic"] for r in seen], np.float64)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
