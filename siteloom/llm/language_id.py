@@ -6,8 +6,9 @@ regression is solved once for each language against the rest. The kernel is an i
 so landmarks, map and regression fold into one matrix, and a batch of texts is scored by one product with it. N-grams are
 hashed into ``WIDTH`` places.
 
-Fitting takes a bounded sample: at most ``SAMPLE`` labelled texts, about the same number of each language as far as there
-are as many, chosen by a hash. Scoring reads every whole text.
+Fitting takes a bounded sample: at most ``SAMPLE`` different labelled texts, as many of each language as far as there are as
+many, chosen by a hash; copies of a text count once. Every language is learnt that has a text, unless there are more
+languages than ``SAMPLE``. Scoring reads every whole text.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; without any labelled text all get it;
 ties go to the language that sorts first; repeated rows give repeated results.
@@ -20,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.llm.arrays import text_bytes, text_slices
 from siteloom.llm.carried import column, row_schema, unpacked, whole_row
+from siteloom.sources.scratch import written
 
 UNKNOWN = "und"
 SAMPLE = 3000
@@ -34,8 +36,6 @@ WIDTH = 1 << 15
 LONGEST = 4
 #: texts whose presence vectors are held at a time
 ROWS = 128
-#: languages whose shares are broadcast; of more, shares and texts meet by a shuffle
-FEW_LANGUAGES = 10_000
 
 _ODD = np.uint32(0x9E3779B1)
 # letters in lower case, everything else of ASCII as a blank
@@ -91,28 +91,34 @@ class LanguageModel:
 
 
 def _pack_presence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The presence vectors of different texts; a task sends the copies that it meets as one."""
+    met: set[tuple[str, int]] = set()  # drawn texts, so as many as the sample holds at most
     for batch in text_slices(batches):
+        keys = list(zip(batch.column("lang").to_pylist(), batch.column("draw").to_pylist(), strict=True))
+        first = {key: i for i, key in reversed(list(enumerate(keys))) if key not in met}
+        met.update(first)
+        batch = batch.take(pa.array(sorted(first.values()), pa.int64()))
         for rows, has in presence(batch.column("text")):
             bits = [row.tobytes() for row in np.packbits(has, axis=1)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang")[rows], pa.array(bits, pa.binary())], ["lang", "bits"])
+            own = batch.slice(rows.start, rows.stop - rows.start)
+            yield pa.RecordBatch.from_arrays([own.column(c) for c in ("lang", "draw", "turn")] + [pa.array(bits, pa.binary())], ["lang", "draw", "turn", "bits"])
 
 
 def fit_languages(
     docs: DataFrame, usable: Column, text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS
 ) -> LanguageModel:
-    """Fit on at most ``sample`` of the ``usable`` rows that have a text and a language."""
+    """Fit on at most ``sample`` different texts of the ``usable`` rows that have a text and a language."""
     rows = docs.where(usable).select(column(text_column).alias("text"), column(lang_column).cast("string").alias("lang"))
-    rows = rows.where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    # a fifth more than its share of each language, so that chance leaves enough; the limit is the bound
-    languages = counts.count()
-    each = 1.2 * sample / max(languages, 1)
-    shares = counts.select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(each) / F.col("n")).alias("share"))
-    # few languages, one of which may hold most texts: send the shares to the texts, so that no text is shuffled by language
-    shares = F.broadcast(shares) if languages <= FEW_LANGUAGES else shares
-    rows = rows.withColumn("draw", F.xxhash64(F.lit(3), "text")).join(shares, F.col("lang") == F.col("of"))
-    rows = rows.where(F.pmod("draw", F.lit(1_000_000)) < F.col("share") * 1_000_000).orderBy("draw").limit(sample)
-    seen = rows.select("text", "lang").mapInArrow(_pack_presence, "lang string, bits binary").collect()
+    rows = rows.where("text is not null and lang is not null").withColumn("draw", F.xxhash64(F.lit(3), "text"))
+    # copies are one draw; every language's first draw comes before any second one
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    drawn = rows.select("lang", "draw").distinct().withColumn("turn", turn).where(F.col("turn") <= sample)
+    drawn = written(drawn.orderBy("turn", "draw", "lang").limit(sample), "drawn")
+    # at most ``sample`` rows of two numbers and a name
+    known = F.broadcast(drawn.select(F.col("lang").alias("of"), F.col("draw").alias("drawn"), "turn"))
+    texts = rows.join(known, (F.col("lang") == F.col("of")) & (F.col("draw") == F.col("drawn"))).select("text", "lang", "draw", "turn")
+    packed = texts.mapInArrow(_pack_presence, "lang string, draw long, turn int, bits binary")
+    seen = packed.groupBy("turn", "draw", "lang").agg(F.first("bits").alias("bits")).orderBy("turn", "draw", "lang").collect()
     if not seen:
         return LanguageModel([], np.zeros((WIDTH, 0), np.float32))
     languages = sorted({r["lang"] for r in seen})

@@ -40,6 +40,26 @@ def test_exact_dedup(ready, docs, small_rows, odd_rows):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _, _, stays, _ in brute.exact_groups(odd_rows) if stays]
 
 
+def test_exact_dedup_of_crowded_keys(docs, small, small_rows, odd_rows, monkeypatch):
+    """Beginnings that many texts share, and a map so full that most rows fall on marked bits, change nothing."""
+    monkeypatch.setattr(exact_dedup, "MAP_BITS", 8)
+    for rows, plain in ((docs, odd_rows), (small, small_rows)):
+        groups = collected(exact_dedup.duplicate_groups(rows, head=1), "text_sha256", "keep_id", "group_size")
+        assert groups == sorted({(sha, keep, n) for _, keep, n, _, sha in brute.exact_groups(plain) if n > 1})
+        kept = exact_dedup.drop_duplicates(rows, head=0)
+        assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _, _, stays, _ in brute.exact_groups(plain) if stays]
+
+
+def test_exact_dedup_hashes_only_shared_beginnings(ready):
+    rows = ready.createDataFrame([(i, f"{i:05d} words of one length") for i in range(500)] + [(900, "ab"), (901, "a b")], "doc_id long, text string")
+    shared = exact_dedup._shared_beginnings(rows, "text", exact_dedup.HEAD)
+    hashed = exact_dedup._with_full_hash(rows, shared, exact_dedup.HEAD)
+    assert sorted(r["doc_id"] for r in hashed.where("sha is not null").collect()) == [900, 901]
+    found = rows.transform(exact_dedup.duplicate_groups)
+    assert "SortAggregate" not in found._jdf.queryExecution().toString()
+    assert [r["group_size"] for r in found.collect()] == [2]
+
+
 def test_shingle_join(ready, docs, small_rows, odd_rows):
     assert collected(shingle_join.shingle_components(docs), "doc_id", "n_shingles", "component_id") == brute.shingle_components(odd_rows)
     assert collected(QUERIES["op4_shingle_join"](ready, SMALL), "doc_id", "n_shingles", "component_id") == brute.shingle_components(small_rows)
@@ -255,6 +275,20 @@ def test_language_id(ready, docs, small):
     assert {r["lang_pred"] for r in language_id.predict_languages(docs, untrained).collect()} == {"und"}
 
 
+def test_language_sample_holds_every_language(ready):
+    """However often a text comes, wherever its hash falls, it is one of the sample; each language is in it."""
+    hot = min((f"une phrase tr\u00e8s fr\u00e9quente {i}" for i in range(200)), key=lambda t: ready.range(1).select(F.xxhash64(F.lit(3), F.lit(t))).first()[0])
+    rows = [(hot, "xx")] * 3000 + [(f"the weather is fine on day {i}", "en") for i in range(600)] + [(f"il fait beau le jour {i}", "fr") for i in range(600)]
+    table = ready.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string").repartition(6)
+    for sample in (language_id.SAMPLE, 60, 3):
+        model = language_id.fit_languages(table, F.lit(True), sample=sample)
+        assert model.languages == ["en", "fr", "xx"]
+    model = language_id.fit_languages(table, F.lit(True), sample=60)
+    assert np.array_equal(model.matrix, language_id.fit_languages(table.repartition(11), F.lit(True), sample=60).matrix)
+    probe = ready.createDataFrame([("the day is fine", "en"), ("le jour est beau", "fr")], "text string, lang string")
+    assert all(r["lang"] == r["lang_pred"] for r in language_id.predict_languages(probe, model).collect())
+
+
 def test_language_kernel():
     """The matrix of a model gives what kernels with each landmark give."""
     import pyarrow as pa
