@@ -1,10 +1,11 @@
 """Mixing sources to target weights: fixed blocks of words, drawn for output shards, found through permutations.
 
 Each source is one stream of its documents' words, cut into blocks of ``block`` words. A source's share of the mix is a
-number of slots; a slot falls into an output shard by a hash, so the counts of the sources in a shard are a multinomial
-draw. Slot j of a pass takes block perm(j), where perm is a keyed permutation of the source's blocks (swap-or-not), and
-slots join blocks by that index. A new pass begins when all blocks are taken; the last slot is cut so that each source
-gives its target to the word.
+number of slots. Lot by lot, multinomial counts say how many slots of a source each output shard gets, and the lot's slots
+are dealt out by those counts in order. Slot j of a pass takes block perm(j), where perm is a keyed permutation of the
+source's blocks (swap-or-not), and slots join blocks by that index. A new pass begins when all blocks are taken; the last
+slot is cut so that each source gives its target to the word. The mix comes as documents (``mixed_documents``) or shard by
+shard (``mixed_shards``, ``write_shards``).
 
 Defined results: a null source is one source, last in order; empty or null texts have size 0 and give nothing; repeated
 rows are documents of their own; an empty table gives an empty mix. Every draw comes from hashes: reruns agree.
@@ -84,14 +85,21 @@ class Mix:
     places: DataFrame
     #: the drawn blocks: source, turn (pass over the source), slot, shard, block, words (taken from the block's beginning)
     slots: DataFrame
-    #: for each document of size over 0 and drawn block: source, begins, turn, and the words taken (start, end)
+    #: for each document of size over 0 and drawn block: source, begins, turn, shard, and the words taken (start, end)
     takes: DataFrame
 
     def taken(self) -> DataFrame:
-        """The places with the number of words the mix takes of each document."""
-        words = self.takes.groupBy(F.col("source").alias("_source"), F.col("begins").alias("_begins")).agg(F.sum(F.col("end") - F.col("start")).alias("_taken"))
+        """The places with the number of words the mix takes of each document, and of the shards that get some."""
+        words = self.takes.groupBy(F.col("source").alias("_source"), F.col("begins").alias("_begins")).agg(
+            F.sum(F.col("end") - F.col("start")).alias("_taken"), F.size(F.collect_set("shard")).cast("long").alias("_shards")
+        )
         same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("begins") == F.col("_begins")) & (F.col("size") > 0)
-        return self.places.join(words, same, "left").select(*self.places.columns, F.coalesce("_taken", F.lit(0)).alias("taken"))
+        found = [F.coalesce(f"_{c}", F.lit(0)).cast("long").alias(c) for c in ("taken", "shards")]
+        return self.places.join(words, same, "left").select(*self.places.columns, *found)
+
+    def shard_counts(self) -> DataFrame:
+        """For each shard and source that gives it some: the drawn blocks and their words."""
+        return self.slots.groupBy("shard", "source").agg(F.count("*").alias("blocks"), F.sum("words").alias("words"))
 
 
 def mix_sources(
@@ -145,15 +153,17 @@ def draw_slots(targets: DataFrame, block: int = BLOCK, shards: int = SHARDS, see
     # a row grows 4096-fold here, so the spread has a fixed width: joined again by their bytes, all would fall to one task
     width = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(width, "source", "turn", "lot")
-    slot = F.explode(F.sequence(F.col("lot") * together, F.least(needed, (F.col("lot") + 1) * together) - 1))
-    rows = rows.withColumn("slot", slot)
+    numbers = F.sequence(F.col("lot") * together, F.least(needed, (F.col("lot") + 1) * together) - 1)
+    # a draw for each slot is a multinomial sample; sorted, it is the counts, dealt out to the slots shard by shard
+    draws = F.sort_array(F.transform(numbers, lambda number: F.pmod(F.xxhash64("key", number), F.lit(shards))))
+    rows = rows.select("*", F.posexplode(draws).alias("at", "shard")).withColumn("slot", F.col("lot") * together + F.col("at"))
     before = F.col("slot") * block - F.when(F.col("short_slot") < F.col("slot"), block - F.col("short")).otherwise(0)
     held = F.when(F.col("short_slot") == F.col("slot"), F.col("short")).otherwise(F.lit(block))
     return rows.select(
         "source",
         "turn",
         "slot",
-        F.pmod(F.xxhash64("key", "slot"), F.lit(shards)).alias("shard"),
+        "shard",
         permuted(F.col("slot"), F.col("n"), F.col("key")).alias("block"),
         F.least(held, F.col("wanted") - before).alias("words"),
     ).where("words > 0")
@@ -165,12 +175,12 @@ def _take(places: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     blocks = places.where("size > 0").select(
         "source", "begins", "size", F.explode(F.sequence(F.floor(F.col("begins") / block), F.floor(last / block))).alias("index")
     )
-    drawn = slots.select(F.col("source").alias("_source"), "turn", "block", "words")
+    drawn = slots.select(F.col("source").alias("_source"), "turn", "shard", "block", "words")
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("index") == F.col("block"))
     start = F.greatest(F.col("index") * block - F.col("begins"), F.lit(0))
     end = F.least(F.col("index") * block + F.col("words") - F.col("begins"), F.col("size"))
     # sizes of drawn rows can't be told in advance, so Spark must not take them for small
-    return blocks.join(drawn.hint("merge"), same).select("source", "begins", "turn", start.alias("start"), end.alias("end")).where("end > start")
+    return blocks.join(drawn.hint("merge"), same).select("source", "begins", "turn", "shard", start.alias("start"), end.alias("end")).where("end > start")
 
 
 def mixed_documents(docs: DataFrame, mix: Mix, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -178,19 +188,35 @@ def mixed_documents(docs: DataFrame, mix: Mix, id_column: str = "doc_id", text_c
 
     A text that a pass takes whole stays as it is; of others the taken words are joined by one space.
     """
-    pieces = mix.takes.groupBy(F.col("source").alias("from_source"), F.col("begins").alias("from_place"), "turn").agg(
+    return _cut(docs, mix, id_column, text_column, [])
+
+
+def mixed_shards(docs: DataFrame, mix: Mix, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The mix by output shard: for each shard, document and pass the words that it takes, with ``shard`` and the columns of
+    ``docs``; a column of theirs with that name gives way."""
+    return _cut(docs, mix, id_column, text_column, ["shard"])
+
+
+def write_shards(docs: DataFrame, mix: Mix, path: str, id_column: str = "doc_id", text_column: str = "text") -> None:
+    """Write the mix with a folder for each output shard."""
+    mixed_shards(docs, mix, id_column, text_column).write.partitionBy("shard").parquet(path)
+
+
+def _cut(docs: DataFrame, mix: Mix, id_column: str, text_column: str, apart: list[str]) -> DataFrame:
+    """The words that documents give to each pass, and further ``apart`` by columns of the takes."""
+    pieces = mix.takes.groupBy(F.col("source").alias("from_source"), F.col("begins").alias("from_place"), "turn", *apart).agg(
         F.sum(F.col("end") - F.col("start")).alias("words"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("pieces")
     )
     same_place = F.col("source").eqNullSafe(F.col("from_source")) & (F.col("begins") == F.col("from_place")) & (F.col("size") > 0)
     # rows that repeat are told apart by a number on either side
     copy = F.row_number().over(Window.partitionBy("doc_id", "print").orderBy("begins"))
     places = mix.places.where("size > 0").withColumn("copy", copy)
-    parts = places.join(pieces, same_place).select("doc_id", "print", "copy", "words", "pieces", F.col("words").eqNullSafe(F.col("size")).alias("whole"))
+    parts = places.join(pieces, same_place).select(*apart, "doc_id", "print", "copy", "words", "pieces", F.col("words").eqNullSafe(F.col("size")).alias("whole"))
     texts = docs.select(whole_row(docs), column(id_column).alias("id"), column(text_column).alias("text"), text_print(column(text_column)).alias("text_print"))
     texts = texts.withColumn("number", F.row_number().over(Window.partitionBy("id", "text_print").orderBy("id")))
     same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_print") == F.col("print")) & (F.col("number") == F.col("copy"))
     joined = texts.join(parts, same).withColumn("list", F.when(~F.col("whole"), F.regexp_extract_all("text", F.lit(f"({WORD})"))))
     cut = F.flatten(F.transform("pieces", lambda p: F.slice(F.col("list"), p["start"].cast("int") + 1, (p["end"] - p["start"]).cast("int"))))
     text = F.when(F.col("whole"), F.col("text")).otherwise(F.array_join(cut, " "))
-    own = [text.alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return joined.select(*own)
+    own = [text.alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in apart]
+    return joined.select(*apart, *own)

@@ -114,7 +114,7 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mix = mix_sources(table(spark, folder, "documents").select("doc_id", "text", "source"))
-    return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
+    return mix.taken().select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 @query

@@ -151,6 +151,19 @@ def test_mixing(which, docs, small):
         assert not own or max(own.values()) - min(own.values()) <= 1 or min(own.values()) >= 1
         assert len({(r["turn"], r["slot"]) for r in slots if r["source"] == source}) == sum(own.values())
     assert sum(r["words"] for r in slots) == sum(taken.values())
+    counts = {(r["shard"], r["source"]): (r["blocks"], r["words"]) for r in mix.shard_counts().collect()}
+    for (shard, source), (blocks, words) in counts.items():
+        own = [r["words"] for r in slots if r["shard"] == shard and r["source"] == source]
+        assert (len(own), sum(own)) == (blocks, words)
+    # as shards: each gets the words of the blocks that were dealt to it
+    sharded = mixing.mixed_shards(rows, mix)
+    assert sharded.columns == ["shard", *rows.columns]
+    by_shard, by_document = Counter(), Counter()
+    for r in sharded.collect():
+        by_shard[r["shard"], r["source"]] += len(brute.words(r["text"]))
+        by_document[r["doc_id"]] += len(brute.words(r["text"]))
+    assert by_shard == {key: words for key, (_, words) in counts.items()}
+    assert +by_document == +sum((Counter({r["doc_id"]: r["taken"]}) for r in found), Counter())
     again = mixing.mix_sources(rows.repartition(3), block=16).taken().select(*mix.taken().columns)
     assert collected(again, "doc_id", "size", "taken") == collected(mix.taken(), "doc_id", "size", "taken")
     # as documents
@@ -162,6 +175,27 @@ def test_mixing(which, docs, small):
     assert +words == +sum((Counter({r["doc_id"]: r["taken"]}) for r in found), Counter())
 
 
+def test_shard_counts_are_multinomial(ready):
+    """Two sources, 20,000 slots: chi squares of the shards' counts by 16 equal shares, not too far and not too near."""
+    targets = ready.createDataFrame([("a", 640_000, 960_000.0), (None, 320_000, 320_000.0)], "source string, source_size long, target double")
+    slots = mixing.draw_slots(targets, block=64)
+    for source, n in (("a", 15_000), (None, 5_000)):
+        own = Counter(r["shard"] for r in slots.where(F.col("source").eqNullSafe(F.lit(source))).select("shard").collect())
+        assert set(own) == set(range(16)) and sum(own.values()) == n
+        assert 2 < sum((c - n / 16) ** 2 / (n / 16) for c in own.values()) < 45
+    # slots of a lot come shard by shard, as the counts say
+    lot = [r["shard"] for r in slots.where("source = 'a' and turn = 0 and slot < 4096").orderBy("slot").collect()]
+    assert len(lot) == 4096 and lot == sorted(lot)
+
+
+def test_written_shards(ready, small, tmp_path):
+    mix = mixing.mix_sources(small)
+    mixing.write_shards(small, mix, f"{tmp_path}/mix")
+    back = ready.read.parquet(f"{tmp_path}/mix")
+    assert {r["shard"] for r in back.select("shard").distinct().collect()} == {r["shard"] for r in mix.slots.select("shard").distinct().collect()}
+    assert sorted(back.columns) == sorted(["shard", *small.columns])
+
+
 def test_permutation(ready):
     rows = ready.range(100).withColumn("n", F.lit(100).cast("long")).withColumn("k", F.lit(7).cast("long"))
     there = mixing.permuted(F.col("id"), F.col("n"), F.col("k"))
