@@ -36,6 +36,7 @@ from siteloom.llm import buckets
 from siteloom.llm.arrays import Sequences, find_words, mix, ranges, run_starts, text_bytes, text_slices
 from siteloom.llm.carried import column, unpacked, whole_row
 from siteloom.llm.components import Forest, components
+from siteloom.llm.hot import join_facts
 from siteloom.sources.scratch import written
 
 WIDTH = 5
@@ -363,24 +364,31 @@ def _sets(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(of), np.concatenate(values)
 
 
-def _in_blocks(members: DataFrame, weight: str, most: int) -> DataFrame:
-    """Members of groups (group, node, ...), each group cut into blocks of about ``most`` and given out by pairs of blocks."""
-    totals = members.groupBy(F.col("group").alias("_group")).agg(F.ceil(F.sum(weight) / most).alias("blocks"))
-    rows = members.join(totals, F.col("group") == F.col("_group")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+def _in_blocks(members: DataFrame, weight: str, most: int, total: int) -> DataFrame:
+    """Members of groups (group, node, ...; ``total`` rows), each group cut into blocks of about ``most`` and given out by
+    pairs of blocks."""
+    totals = written(members.groupBy("group").agg(F.ceil(F.sum(weight) / most).alias("blocks"), F.count("*").alias("n_members")), "blocks")
+    rows = join_facts(members, totals, "group", "n_members", total, F.col("node")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")})
-    return rows.drop("_group", "blocks", "_other")
+    return rows.drop("blocks", "_other")
 
 
 def shingle_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest id that links reach)."""
-    placed = _placed(docs, id_column, text_column)
-    placed = placed.join(_smallest_ids(placed), F.col("component") == F.col("_component"), "left")
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
+    placed = written(_placed(docs, id_column, text_column), "placed")
+    found = _with_component(placed, _smallest_ids(placed)).unionByName(placed.where("component is null"), allowMissingColumns=True)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
 
 
 def _smallest_ids(placed: DataFrame) -> DataFrame:
-    return placed.where("n > 0").groupBy(F.col("component").alias("_component")).agg(F.min("doc_id").alias("smallest"))
+    ids = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("members"))
+    return written(ids, "smallest")
+
+
+def _with_component(placed: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows that are in a component, with what is known of it."""
+    return join_facts(placed, known, "component", "members", placed.count(), F.xxhash64("doc_id", "text_key"))
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -396,22 +404,24 @@ def _placed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     profiles = written(rows.mapInArrow(_profile, f"doc_id {kind}, text_key long, n long, node long, sketch binary"), "profiles")
     # a set's texts are looked up in one of its rows
     key = F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("text_key")
-    nodes = profiles.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), key, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = profiles.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), key, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("members"))
     nodes = written(nodes, "sets")
     n_buckets = buckets.bucket_count(rows)
     keys = rows.mapInArrow(partial(_keys, n_buckets=n_buckets), buckets.SCHEMA)
     met = buckets.gathered(keys, n_buckets).mapInArrow(_meet, "first long, node long").distinct()
     met = written(met, "meetings")
     told = met.union(met.select("first", "first").distinct()).select(F.col("first").alias("group"), F.col("node").alias("_node"))
+    told = written(told, "told")
     sketched = told.join(nodes.select("node", "n", "sketch"), F.col("_node") == F.col("node")).drop("_node")
-    groups = _in_blocks(sketched.withColumn("one", F.lit(1)), "one", SKETCH_BLOCK).select("group", "i", "j", "block", "node", "n", "sketch")
+    groups = _in_blocks(sketched.withColumn("one", F.lit(1)), "one", SKETCH_BLOCK, told.count()).select("group", "i", "j", "block", "node", "n", "sketch")
     groups = groups.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
     candidates = components(groups.mapInArrow(_screen, "a long, b long"))
     linked = components(_verified(rows, nodes, written(candidates, "candidates")))
-    known = nodes.select(F.col("node").alias("_node")).join(linked, F.col("_node") == F.col("node"), "left")
-    known = known.select("_node", F.coalesce("component", "_node").alias("component"))
-    own = profiles.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return own.join(known, F.col("node") == F.col("_node"), "left").select("doc_id", "text_key", "n", "component")
+    known = nodes.select("node", "members").join(linked, "node", "left")
+    known = written(known.select("node", "members", F.coalesce("component", "node").alias("component")), "known")
+    own = profiles.where("n > 0").select("doc_id", "text_key", "n", "node")
+    own = join_facts(own, known, "node", "members", profiles.count(), F.xxhash64("doc_id", "text_key"))
+    return own.drop("node").unionByName(profiles.where("n = 0").select("doc_id", "text_key", "n"), allowMissingColumns=True)
 
 
 def _verified(rows: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -420,7 +430,7 @@ def _verified(rows: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataF
     chosen = nodes.select("node", "n", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
     members = members.join(chosen, F.col("_node") == F.col("node")).drop("_node")
     texts = members.join(rows, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))).select("group", "node", "n", "text")
-    groups = _in_blocks(texts, "n", VERIFY_BLOCK).select("group", "i", "j", "block", "node", "text")
+    groups = _in_blocks(texts, "n", VERIFY_BLOCK, candidates.count()).select("group", "i", "j", "block", "node", "text")
     groups = groups.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
     return groups.mapInArrow(partial(_verify, numerator=80, denominator=100), "a long, b long")
 
@@ -433,10 +443,11 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     """
     placed = written(_placed(docs, id_column, text_column).where("n > 0"), "placed")
     smallest = _smallest_ids(placed)
-    of_id = placed.join(smallest, (F.col("component") == F.col("_component")) & F.col("doc_id").eqNullSafe(F.col("smallest")))
-    stays = of_id.groupBy("_component").agg(F.min("smallest").alias("smallest"), F.min("text_key").alias("least_key"))
+    of_id = _with_component(placed, smallest).where(F.col("doc_id").eqNullSafe(F.col("smallest")))
+    stays = of_id.groupBy("component").agg(F.min("smallest").alias("smallest"), F.min("text_key").alias("least_key"))
+    stays = written(stays.join(smallest.select("component", "members"), "component"), "stays")
     others = ~(F.col("doc_id").eqNullSafe(F.col("smallest")) & (F.col("text_key") == F.col("least_key")))
-    gone = placed.join(stays, F.col("component") == F.col("_component")).where(others)
+    gone = _with_component(placed, stays).where(others)
     gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
     rows = docs.select(whole_row(docs), column(id_column).alias("_id"), F.xxhash64(column(text_column)).alias("_key"))
     rows = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")

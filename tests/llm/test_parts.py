@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from siteloom.llm import arrays, buckets, components, packing, running, substring_dedup
+from siteloom.llm import arrays, buckets, components, hot, packing, running, substring_dedup
 from siteloom.llm.exact_dedup import squeezed
 from siteloom.llm.oracles import ORACLES
 from siteloom.llm.queries import QUERIES, fold
@@ -93,6 +93,20 @@ def test_components(ready):
     assert components.components(ready.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_facts_of_hot_keys(ready):
+    """A key with most rows meets them in many places, and every row once."""
+    rows = ready.createDataFrame([(1 if i < 4000 else i, i) for i in range(5000)] + [(None, -1), (77, -2)], "k long, v long")
+    facts = rows.where("k > 1000 or k = 1").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("most"))
+    for parts in (1, 7, 1000):
+        hot.PARTS, before = parts, hot.PARTS
+        try:
+            found = hot.join_facts(rows, facts, "k", "n", 5000, F.col("v"))
+            assert found.columns == ["k", "v", "most"]
+            assert sorted(map(tuple, found.collect())) == sorted((1 if i < 4000 else i, i, 3999 if i < 4000 else i) for i in range(5000))
+        finally:
+            hot.PARTS = before
+
+
 def test_running_totals(ready):
     rows = ready.createDataFrame([(k, i, i % 5) for k in ("a", None, "b") for i in range(300)], "k string, i int, v int").cache()
     found = running.with_total_before(rows, ["k"], ["i"], F.col("v"), "before").collect()
