@@ -126,6 +126,14 @@ def test_substring_dedup(ready, docs, small_rows, odd_rows):
     assert collected(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring_dedup(small_rows)
 
 
+@pytest.mark.parametrize("group", [0, 3])
+def test_substring_dedup_of_crowded_anchors(docs, odd_rows, monkeypatch, group):
+    """With all anchors crowded, and with some, the words that go are the same."""
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    kept = substring_dedup.remove_duplicate_spans(docs, substring_dedup.duplicate_spans(docs))
+    assert collected(kept, "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)) == brute.substring_dedup(odd_rows)
+
+
 @pytest.mark.parametrize("which", ["odd", "small"])
 def test_mixing(which, docs, small):
     rows = docs if which == "odd" else small

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import brute
 import duckdb
@@ -136,6 +137,33 @@ def test_anchors_cover_windows():
         assert sorted(s for b in own for s in range(b["start"], b["start"] + b["windows"])) == list(range(n - 34))
 
 
+def test_greedy_parse():
+    """The factors of blocks cover the words of all windows that start more than once, and no others."""
+    draw = random.Random(4)
+    passages = [[draw.choice("abcdefgh") for _ in range(60)] for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(draw.randint(1, 3)):
+            own, a = draw.choice(passages), draw.randrange(30)
+            parts += own[a : a + draw.randint(20, 60)] + [draw.choice("xyz") for _ in range(draw.randint(0, 3))]
+        texts.append(parts)
+    words = substring_dedup._words(pa.array([" ".join(x) for x in texts]))
+    blocks = substring_dedup.blocks_of(words, np.arange(len(texts)))
+    starts, windows = blocks["start"], blocks["windows"].astype(np.int64)
+    references = substring_dedup.references_of(words, np.arange(len(texts)), blocks["row"], starts, starts + windows)
+    assert (references["anchor"] == blocks["anchor"]).all()
+    rows, begin, end = substring_dedup.parse(references)
+    assert (end - begin >= 35).all()
+    count = Counter(tuple(x[i : i + 35]) for x in texts for i in range(len(x) - 34))
+    covered = [set() for _ in texts]
+    for row, a, b in zip(rows.tolist(), begin.tolist(), end.tolist(), strict=True):
+        assert all(count[tuple(texts[row][i : i + 35])] > 1 for i in range(a, b - 34))
+        covered[row].update(range(a, b))
+    for x, found in zip(texts, covered, strict=True):
+        assert found == {j for i in range(len(x) - 34) if count[tuple(x[i : i + 35])] > 1 for j in range(i, i + 35)}
+
+
 def test_written_sequences(ready, path, tmp_path):
     rows = ready.createDataFrame([(1, "a b c"), (2, "d " * 30), (3, None)], "doc_id long, text string")
     pieces = packing.cut_documents(rows, path, capacity=16)
