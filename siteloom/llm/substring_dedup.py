@@ -58,6 +58,8 @@ REFERENCE = np.dtype(
 )
 #: blocks of one anchor that are parsed in one task; those of an anchor with more are looked up window by window
 GROUP = 1 << 15
+#: crowded anchors that are sent to all blocks (8 bytes each); more are joined by anchor
+FEW_CROWDED = 1 << 18
 #: references a task holds before it packs them, and how many it parses at a time
 HELD = PARSED = 1 << 15
 
@@ -376,8 +378,11 @@ def duplicate_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     index = rows.mapInArrow(partial(_index, n_buckets=n_buckets), f"kind int, {buckets.SCHEMA}")
     spans = written(buckets.gathered(index, n_buckets).mapInArrow(_look_up, SPANS), "factors")
     doubtful = spans.where("doubtful")
-    # blocks are counted before the shuffle; Spark sends the few crowded anchors to the blocks if they are as small as they are
-    crowded = doubtful.groupBy(F.col("anchor").alias("_anchor")).count().where(F.col("count") > GROUP).select("_anchor")
+    # blocks are counted before the shuffle, so a crowded anchor is one row of each task there
+    counted = doubtful.groupBy(F.col("anchor").alias("_anchor")).count()
+    crowded = written(counted.where(F.col("count") > GROUP).select("_anchor"), "crowded")
+    if crowded.count() <= FEW_CROWDED:
+        crowded = F.broadcast(crowded)
     marked = doubtful.join(crowded, F.col("anchor") == F.col("_anchor"), "left")
     block = F.struct("start", "stop", F.col("_anchor").isNotNull().alias("crowded"))
     own = marked.groupBy(F.col("row").alias("_row")).agg(F.collect_list(block).alias("blocks"))

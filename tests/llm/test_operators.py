@@ -126,10 +126,11 @@ def test_substring_dedup(ready, docs, small_rows, odd_rows):
     assert collected(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring_dedup(small_rows)
 
 
-@pytest.mark.parametrize("group", [0, 3])
-def test_substring_dedup_of_crowded_anchors(docs, odd_rows, monkeypatch, group):
-    """With all anchors crowded, and with some, the words that go are the same."""
+@pytest.mark.parametrize(("group", "few"), [(0, 1 << 18), (3, 0)])
+def test_substring_dedup_of_crowded_anchors(docs, odd_rows, monkeypatch, group, few):
+    """With all anchors crowded, and with some, sent or joined, the words that go are the same."""
     monkeypatch.setattr(substring_dedup, "GROUP", group)
+    monkeypatch.setattr(substring_dedup, "FEW_CROWDED", few)
     kept = substring_dedup.remove_duplicate_spans(docs, substring_dedup.duplicate_spans(docs))
     assert collected(kept, "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)) == brute.substring_dedup(odd_rows)
 
