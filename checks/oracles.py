@@ -648,6 +648,9 @@ LEFT JOIN tasks_run_6 b ON b.cantiere_id = x.cantiere_id LEFT JOIN tasks_next_5
     "m10_triage_updates": _with(
         "SELECT id, tipo, priorita, stato, impatto, titolo FROM triaged", feed="SELECT id, testo FROM aggiornamenti"
     ),
+    "m10_triage_by_words": _with(
+        "SELECT id, tipo, priorita, stato, impatto, titolo FROM triaged", feed="SELECT id, testo FROM aggiornamenti"
+    ),
     "m11_message_title": _with("SELECT id, titolo FROM triaged"),
     "m12_notice_text": _with("SELECT id, messaggio FROM notice_bodies"),
     "m13_clean_phone": _with(f"SELECT id, {PHONE.format('telefono')} AS telefono FROM artigiani"),

@@ -13,7 +13,7 @@ from checks.change_sets import change_set
 from siteloom import vocabulary as v
 from siteloom.functions import predicates as p
 from siteloom.functions import scalars as s
-from siteloom.functions.triage import message_title, triage
+from siteloom.functions.triage import message_title, triage, triage_by_language, word_table
 from siteloom.operators import budget, changes, counts, lists, lookups, notices, risk, templates
 from siteloom.operators.counts import SITE
 from siteloom.plans import client, dashboard, foreman, registers, reports, sections
@@ -595,6 +595,13 @@ def m10_triage_updates(src: StarSchema) -> DataFrame:
     return triage(src.table("aggiornamenti")).select("id", "tipo", "priorita", "stato", "impatto", "titolo")
 
 
+@source_query
+def m10_triage_by_words(src: StarSchema) -> DataFrame:
+    """The whole field-update log again, by a table of words."""
+    log = src.table("aggiornamenti")
+    return triage_by_language(log, word_table(log.sparkSession)).select("id", "tipo", "priorita", "stato", "impatto", "titolo")
+
+
 @source_query
 def m11_message_title(src: StarSchema) -> DataFrame:
     return src.messages().select("id", message_title(F.col("testo")).alias("titolo"))

@@ -2,7 +2,8 @@
 
 python -m siteloom JOB --tables DIR --out DIR [--as-of DAY] [--site ID]
 
-``triage`` turns messages (--messages DIR) into new tickets and field updates;
+``triage`` turns messages (--messages DIR) into new tickets and field updates, by
+the built-in words or by those of a table (--words DIR: lingua, elenco, parola);
 ``tasks``, ``sites``, ``crews``, ``tickets`` and ``quick-tickets`` complete typed
 rows (--rows DIR, numbered by a column ``richiesta``), ``register-notices`` those
 typed over proposed notices (by ``ticket_id``). These jobs write the rows to
@@ -38,7 +39,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siteloom import vocabulary as v
 from siteloom.functions import scalars as s
-from siteloom.functions.triage import triage
+from siteloom.functions.triage import triage, triage_by_language
 from siteloom.operators import changes
 from siteloom.operators.notices import outbound_notices, registered_notices, retyped_notices
 from siteloom.plans import client, dashboard, foreman, notices, reports
@@ -73,7 +74,8 @@ def _new_rows(job: str, t: SiteTables, rows: DataFrame, day: dt.date, now: dt.da
         sent = registered_notices(typed, now, given.state, given.channel)
         return {"notifiche": changes.new_rows(sent, "notifiche", t.notifiche, "ticket_id", now)}
     if job == "triage":
-        found = triage(rows)
+        words = rows.sparkSession.read.parquet(given.words) if given.words else None
+        found = triage(rows) if words is None else triage_by_language(rows, words)
         made = {"ticket": changes.ticket_batch(found, day), "aggiornamenti": changes.update_batch(found)}
         return {name: changes.new_rows(batch, name, t[name], "messaggio_id", now) for name, batch in made.items()}
     table, batch = {
@@ -166,6 +168,7 @@ def _arguments(arguments: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--as-of", type=dt.date.fromisoformat, default=dt.date.today())
     parser.add_argument("--now", type=dt.datetime.fromisoformat, default=dt.datetime.now(), help="creation time of new rows")
     parser.add_argument("--messages", "--rows", dest="rows", help="folder with the rows that a job reads")
+    parser.add_argument("--words", help="triage: folder with a table of words, by language")
     parser.add_argument("--table", choices=["attivita", "ticket"], help="merge-changes: the table")
     parser.add_argument("--batch", help="name of what is added; added once")
     parser.add_argument("--upto", type=int, help="merge-messages: the last batch that a running stream has finished")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from siteloom import vocabulary as v
 from siteloom.functions import predicates as p
 from siteloom.functions import scalars as s
-from siteloom.functions.triage import TriageWords, triage
+from siteloom.functions import triage as triage_module
+from siteloom.functions.triage import LISTS, TriageWords, triage, triage_by_language, word_table
 from siteloom.operators import budget, counts, lists, notices, risk, templates
 from siteloom.operators.changes import validated
 from siteloom.plans import client, dashboard, foreman, reports
@@ -115,6 +116,39 @@ def test_triage_with_other_words(spark):
     assert (row.tipo, row.priorita, row.stato) == ("Blocco", "Critica", "Bloccante")
 
 
+OUTPUTS = ["tipo", "priorita", "stato", "impatto", "titolo"]
+
+
+def test_triage_by_a_table_of_words(spark):
+    rows = [(i, case[0]) for i, case in enumerate(TRIAGE)]
+    messages = spark.createDataFrame(rows, "id int, testo string")
+    got = triage_by_language(messages, word_table(spark)).orderBy("id").collect()
+    assert [(r.testo, r.tipo, r.priorita, r.stato, r.impatto, r.titolo) for r in got] == TRIAGE
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_triage_by_language(spark, monkeypatch, small):
+    """Each message by its own language's words; words in others, with marks, in capitals; odd rows of the table."""
+    monkeypatch.setattr(triage_module, "SMALL_WORDS", 1 << 20 if small else -1)
+    english = TriageWords(
+        block=["stuck", "a.b", r"c\Ed", "on hold", "hold"], urgent=["now", "on h", "."], material=["tiles", "tile"], decision=["APPROVE"], completion=["done", "aa"]
+    )
+    words = word_table(spark).union(word_table(spark, english, "en")).union(word_table(spark, english, "en"))
+    odd = [("en", "block", ""), ("en", "block", None), ("en", "no such list", "we"), ("en", None, "we"), ("de", "urgent", "sofort")]
+    words = words.union(spark.createDataFrame(odd, words.schema))
+    texts = ["We are STUCK now", "on hold", "axb", "A.B", r"x c\ed", "approve tiles", "aaa done", "urgente", "sofort", "", None, "n" * 9000 + "ow", "hold on h"]
+    plain = {"en": english, "de": TriageWords([], ["sofort"], [], [], []), "fr": TriageWords([], [], [], [], []), None: TriageWords()}
+    for language, own in plain.items():
+        rows = [(i, text, language, "kept") for i, text in enumerate(texts)]
+        messages = spark.createDataFrame(rows, "id int, testo string, lingua string, modello string")
+        lowered = TriageWords(**{name: [w.lower() for w in getattr(own, name)] for name in LISTS})
+        columns = ["id", "testo", "lingua", "modello", *OUTPUTS]
+        expected = triage(messages, words=lowered).select(columns).orderBy("id").collect()
+        assert triage_by_language(messages, words).select(columns).orderBy("id").collect() == expected
+    nothing = triage_by_language(messages.limit(0), words.limit(0))
+    assert nothing.columns == [*messages.columns, *OUTPUTS] and nothing.count() == 0
+
+
 # --- demo site -------------------------------------------------------------
 def test_demo_site(spark):
     t = demo_tables(spark)

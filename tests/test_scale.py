@@ -39,7 +39,7 @@ def test_plan_holds_at_any_size(spark, no_broadcast, name):
     else:
         assert all("cantiere_id" in line for line in windows)
         assert plan.count("WindowGroupLimit") == 2 * len(windows)
-    if not name.startswith(("j08", "j10", "j11", "m27", "r12", "s05", "s06")):
+    if not name.startswith(("j08", "j10", "j11", "m10_triage_by_words", "m27", "r12", "s05", "s06")):
         assert "BroadcastHashJoin" not in plan
 
 
