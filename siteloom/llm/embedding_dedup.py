@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.arrays import mix, run_starts
+from siteloom.llm.arrays import mix, ranges, run_starts
 from siteloom.llm.components import Forest, components
 from siteloom.sources.scratch import written
 
@@ -46,6 +46,8 @@ PAIRS = 4000
 AXES = 4
 #: nodes of a block
 BLOCK = 512
+#: rows of whole groups that a task compares together, and the most rows of a group whose product is made with others'
+TOGETHER, SMALL_GROUP = 4096, 32
 #: a bucket's number: 32 bits of the key, these for the table, and the vectors' length
 TABLE_BITS = 8
 
@@ -136,12 +138,35 @@ def plan(counts: dict[int, int], probes: int, least: float, tables: int | None =
     return tables or needed, chosen
 
 
-def _vectors(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(v, v[:1].decode(), offset=1).astype(np.float64) for v in column.to_pylist()]
+def _rows_of_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values in a row, and where each begins (one more entry than values)."""
+    column = column.cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), bounds
+
+
+def _same_length(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Vectors ``at`` of one length, from their bytes."""
+    letters = raw[starts[at]]
+    out = np.zeros((len(at), 0))
+    for letter in np.unique(letters):
+        kind = np.dtype(chr(letter))
+        own = np.flatnonzero(letters == letter)
+        width = int(sizes[at[own[0]]]) - 1
+        part = raw[starts[at[own], None] + 1 + np.arange(width)].view(kind).astype(np.float64)
+        if not out.shape[1]:
+            out = np.zeros((len(at), part.shape[1]))
+        out[own] = part
+    return out
+
 
+def _dims(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many components each vector has."""
+    return (np.diff(bounds) - 1) // np.where(raw[bounds[:-1]] == ord("f"), 4, 8)
 
-def _unit(rows: list[np.ndarray]) -> np.ndarray:
-    x = np.array(rows)
+
+def _unit(x: np.ndarray) -> np.ndarray:
     # divide by the largest component first: its square may overflow
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -164,24 +189,32 @@ def _clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sign(batches: Iterable[pa.RecordBatch], tables: int, hashes: dict[int, int], probes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = _vectors(batch.column("vector"))
-        keys = np.zeros((len(rows), tables, probes + 1), np.uint32)
-        sizes = np.array([len(r) for r in rows], np.int32)
+        if not len(batch):
+            continue
+        raw, bounds = _rows_of_bytes(batch.column("vector"))
+        keys = np.zeros((len(batch), tables, probes + 1), np.uint32)
+        sizes = _dims(raw, bounds)
         for d in np.unique(sizes):
             own = np.flatnonzero(sizes == d)
             for part in np.array_split(own, len(own) // 2000 + 1):
-                keys[part] = bucket_keys(_unit([rows[i] for i in part]), tables, hashes[width_of(int(d))], probes)
+                x = _unit(_same_length(raw, bounds[:-1], np.diff(bounds), part))
+                keys[part] = bucket_keys(x, tables, hashes[width_of(int(d))], probes)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array(sizes, pa.int32()), pa.array([k.tobytes() for k in keys], pa.binary())], ["node", "length", "keys"]
+            [batch.column("node"), pa.array(sizes.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary())], ["node", "length", "keys"]
         )
 
 
+def _keys(column: pa.Array, tables: int) -> np.ndarray:
+    raw, bounds = _rows_of_bytes(column)
+    return raw[bounds[0] : bounds[-1]].view(np.uint32).reshape(len(column), tables, -1)
+
+
 def _list_keys(batches: Iterable[pa.RecordBatch], tables: int) -> Iterator[pa.RecordBatch]:
     """(bucket, node, whether it is the node's own), each bucket once; a bucket is a vector's length, a table and a key."""
     for batch in batches:
         if not len(batch):
             continue
-        keys = np.array([np.frombuffer(k, np.uint32) for k in batch.column("keys").to_pylist()]).reshape(len(batch), tables, -1)
+        keys = _keys(batch.column("keys"), tables)
         wide = keys.astype(np.int64) | (np.arange(tables, dtype=np.int64) << 32)[None, :, None]
         # keys of different lengths may be equal by chance
         wide |= (batch.column("length").to_numpy().astype(np.int64) << TABLE_BITS + 32)[:, None, None]
@@ -196,51 +229,91 @@ def _list_keys(batches: Iterable[pa.RecordBatch], tables: int) -> Iterator[pa.Re
 
 
 def _compare(batches: Iterable[pa.RecordBatch], least: float, tables: int) -> Iterator[pa.RecordBatch]:
-    """Verify the pairs of each (bucket, i, j): rows of block i with rows of block j."""
+    """Verify the pairs of each (bucket, i, j): rows of block i with rows of block j. Whole groups are held until they have
+    ``TOGETHER`` rows; a group has 2 * ``BLOCK`` or so."""
     held: list[pa.RecordBatch] = []
-    last = None
+    last, count = None, 0
     for batch in batches:
+        if not len(batch):
+            continue
         group = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
-        starts = run_starts(*group.T).tolist()
-        for a, b in zip(starts, [*starts[1:], len(group)], strict=True):
-            key = tuple(group[a])
-            if held and key != last:
-                yield from _compare_group(held, least, tables)
-                held = []
-            last = key
-            held.append(batch.slice(a, b - a))
+        starts = run_starts(*group.T)
+        # a group may go on in the next batch, so what is held ends where a new one begins
+        begin = 0
+        for a in starts.tolist():
+            if count + a - begin >= TOGETHER and (a or tuple(group[0]) != last):
+                held.append(batch.slice(begin, a - begin))
+                yield from _compare_groups(held, least, tables)
+                held, count, begin = [], 0, a
+        held.append(batch.slice(begin))
+        count += len(batch) - begin
+        last = tuple(group[-1])
     if held:
-        yield from _compare_group(held, least, tables)
-
-
-def _compare_group(parts: list[pa.RecordBatch], least: float, tables: int) -> Iterator[pa.RecordBatch]:
+        yield from _compare_groups(held, least, tables)
+
+
+def _near_pairs(x: np.ndarray, i: np.ndarray, j: np.ndarray, block: np.ndarray, first: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group with a cosine of ``least`` or more: of block i the one, of block j the other."""
+    one, other = [], []
+    small = np.flatnonzero(sizes <= SMALL_GROUP)
+    # groups of one size have their products at once
+    for n in np.unique(sizes[small]):
+        own = first[small[sizes[small] == n]]
+        for part in np.array_split(own, len(own) * n // TOGETHER + 1):
+            rows = x[part[:, None] + np.arange(n)]
+            group, a, b = np.nonzero(rows @ rows.transpose(0, 2, 1) >= least)
+            one.append(part[group] + a)
+            other.append(part[group] + b)
+    for k in np.flatnonzero(sizes > SMALL_GROUP):
+        rows = x[first[k] : first[k] + sizes[k]]
+        a, b = np.nonzero(rows @ rows.T >= least)
+        one.append(first[k] + a)
+        other.append(first[k] + b)
+    a, b = np.concatenate(one), np.concatenate(other)
+    wanted = (block[a] == i[a]) & (block[b] == j[b]) & ((i[a] != j[a]) | (a < b))
+    return a[wanted], b[wanted]
+
+
+def _compare_groups(parts: list[pa.RecordBatch], least: float, tables: int) -> Iterator[pa.RecordBatch]:
     rows = pa.Table.from_batches(parts)
-    if len(rows) < 2:
+    bucket, i, j, nodes, block, copies = (rows.column(c).to_numpy() for c in ("bucket", "i", "j", "node", "block", "copies"))
+    first = run_starts(bucket, i, j)
+    sizes = np.diff(np.append(first, len(rows)))
+    vectors = rows.column("vector").combine_chunks()
+    raw, bounds = _rows_of_bytes(vectors)
+    dims = _dims(raw, bounds)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    # a group's vectors have one length
+    for d in np.unique(dims[first]):
+        own = np.flatnonzero((dims[first] == d) & (sizes > 1))
+        if not len(own):
+            continue
+        at = ranges(first[own], sizes[own])
+        x = _unit(_same_length(raw, bounds[:-1], np.diff(bounds), at))
+        begin = np.cumsum(sizes[own]) - sizes[own]
+        a, b = _near_pairs(x, i[at], j[at], block[at], begin, sizes[own], least)
+        pairs.append((at[a], at[b]))
+    if not pairs:
         return
-    bucket, i, j = (rows.column(c)[0].as_py() for c in ("bucket", "i", "j"))
-    nodes, block, copies = (rows.column(c).to_numpy() for c in ("node", "block", "copies"))
-    x = _unit(_vectors(rows.column("vector")))
-    keys = np.array([np.frombuffer(k, np.uint32) for k in rows.column("keys").to_pylist()]).reshape(len(nodes), tables, -1)
-    near = x @ x.T >= least
-    near &= (block == i)[:, None] & (block == j)[None, :]
-    if i == j:
-        near = np.triu(near, 1)
-    a, b = np.nonzero(near)
-    first = np.zeros(len(a), bool)
+    a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
+    if not len(a):
+        return
+    keys = _keys(rows.column("keys").combine_chunks(), tables)
+    counted = np.zeros(len(a), bool)
     open_pairs = np.ones(len(a), bool)
+    here = bucket[a]
+    own_table = here >> 32 & (1 << TABLE_BITS) - 1
+    top = np.int64(1) << 32
     for table in range(tables):
         mine, theirs = keys[a, table], keys[b, table]
         one = (mine[:, :1] == theirs).any(axis=1)
         other = (theirs[:, :1] == mine).any(axis=1)
         met = open_pairs & (one | other)
-        if table == bucket >> 32 & (1 << TABLE_BITS) - 1:
-            # they may meet in the own buckets of both: the smaller key counts
-            top = np.int64(1) << 32
-            where = np.minimum(np.where(one, mine[:, 0].astype(np.int64), top), np.where(other, theirs[:, 0].astype(np.int64), top))
-            first = met & (where == bucket & 0xFFFFFFFF)
-            break
-        open_pairs &= ~met
-    a, b = a[first], b[first]
+        # they may meet in the own buckets of both: the smaller key counts
+        where = np.minimum(np.where(one, mine[:, 0].astype(np.int64), top), np.where(other, theirs[:, 0].astype(np.int64), top))
+        counted |= met & (own_table == table) & (where == here & 0xFFFFFFFF)
+        open_pairs &= ~met & (own_table > table)
+    a, b = a[counted], b[counted]
     if not len(a):
         return
     links = np.bincount(a, weights=copies[b], minlength=len(nodes)) + np.bincount(b, weights=copies[a], minlength=len(nodes))
