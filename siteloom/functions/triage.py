@@ -133,7 +133,9 @@ def triage_by_language(messages: DataFrame, words: DataFrame, message_col: str =
     size = words.agg(F.sum(F.octet_length("parola") + 16).alias("n")).first()["n"] or 0
     if size <= SMALL_WORDS:
         patterns = F.broadcast(patterns)
-    language = F.coalesce(F.col(language_col), F.lit("")) if language_col in messages.columns else F.lit("")
+    # empty, but a value of the row: a constant would turn the join by equality into nested loops
+    none = F.coalesce(F.substring(F.col(message_col), 1, 0), F.lit(""))
+    language = F.coalesce(F.col(language_col), F.lit("")) if language_col in messages.columns else none
     joined = messages.withColumn("_key", language).join(patterns, F.col("_key") == F.col("_lingua"), "left")
     lowered = F.lower(F.coalesce(F.col(message_col), F.lit("")))
     hits = F.array_distinct(F.regexp_extract_all(lowered, F.col("_modello"), F.lit(1)))
