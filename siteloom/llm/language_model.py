@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,14 @@ INNER = 16
 HEAD = 200_000
 #: letters (bytes) that decide a word's class
 LETTERS = 2
+#: classes whose weights stand side by side: one look-up reads them all, and two are added up as a complex number
+SIDE = 4
+#: tokens whose softmax is taken at a time, so that what is between fits a processor's cache
+BLOCK = 1 << 12
+#: a step's places are updated one by one if this many times its tokens are fewer than all places
+FEW = 4
+#: leading bits of hashes by which a word is looked up
+LEAD = 18
 
 #: the hash of the end of a text, no word's but by chance
 END = int(mix(np.array([0x454E44], np.uint64))[0])
@@ -112,12 +120,55 @@ def features_of(keys: np.ndarray, places: int, nodes: np.ndarray | None = None)
     """For each token and kind of feature, its row in the weight table; of a tree's level, hashed with the node."""
     if nodes is not None:
         keys = mix(keys ^ mix(nodes.astype(np.uint64) + np.uint64(1)))
-    return (keys % np.uint64(places)).astype(np.int64) + np.arange(KINDS)[:, None] * places
+    # a power of two
+    return (keys & np.uint64(places - 1)).astype(np.int64) + np.arange(KINDS)[:, None] * places
+
+
+class Lookup:
+    """Where words stand in a sorted table of distinct ones; hashes are spread evenly, so few share their leading bits."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.shift = np.uint64(64 - LEAD)
+        lead = (words >> self.shift).astype(np.int64)
+        self.first = np.searchsorted(lead, np.arange(1 << LEAD))
+        self.most = int(np.bincount(lead).max(initial=0))
+
+    def __call__(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each token, any one if it has none, and whether it has one."""
+        if not len(self.words):
+            return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+        last = len(self.words) - 1
+        at = np.minimum(self.first[(tokens >> self.shift).astype(np.int64)], last)
+        found = self.words[at]
+        left = np.flatnonzero(found < tokens)
+        for _ in range(self.most):
+            if not len(left):
+                break
+            at[left] = np.minimum(at[left] + 1, last)
+            found[left] = self.words[at[left]]
+            left = left[(found[left] < tokens[left]) & (at[left] < last)]
+        return at, found == tokens
+
+
+def by_side(values: np.ndarray) -> np.ndarray:
+    """Values with a line for each class, as (CLASSES / SIDE, places, SIDE)."""
+    return np.ascontiguousarray(values.reshape(CLASSES // SIDE, SIDE, -1).swapaxes(1, 2), np.float32)
+
+
+def at_once(values: np.ndarray) -> np.ndarray:
+    """The SIDE numbers side by side as one item, to be moved only."""
+    return values.view(np.complex128)[..., 0]
+
+
+def spot(classes: np.ndarray, at: np.ndarray, places: int) -> np.ndarray:
+    """Where a class's number for a place is, among all of ``places`` in that order."""
+    return (classes // SIDE * places + at) * SIDE + classes % SIDE
 
 
 @dataclass
 class ClassModel:
-    #: (CLASSES, KINDS * places) weights, and one bias for each class (of each node, in a tree)
+    #: (CLASSES / SIDE, KINDS * places, SIDE) weights, and one bias for each class (of each node, in a tree) in that order
     weights: np.ndarray
     bias: np.ndarray
 
@@ -125,61 +176,88 @@ class ClassModel:
     def places(self) -> int:
         return self.weights.shape[1] // KINDS
 
+    @staticmethod
+    def of(bias: np.ndarray, places: int) -> ClassModel:
+        """Without learnt weights; a line of biases for each class."""
+        return ClassModel(np.zeros((CLASSES // SIDE, KINDS * places, SIDE), np.float32), by_side(bias))
+
     @staticmethod
     def flat(counts: np.ndarray, places: int = PLACES) -> ClassModel:
         """The model that knows how often each class comes."""
         share = (counts + 1.0) / (counts.sum() + CLASSES)
-        return ClassModel(np.zeros((CLASSES, KINDS * places), np.float32), np.log(share).astype(np.float32))
-
-    def _sums(self, rows: np.ndarray, nodes: np.ndarray | None) -> np.ndarray:
-        """What the softmax is taken of, class by class, the largest at 0."""
-        z = self.bias[:, None].repeat(rows.shape[1], 1) if nodes is None else np.ascontiguousarray(self.bias[nodes].T)
-        one = np.empty(rows.shape[1], np.float32)
-        for own, weights in zip(z, self.weights, strict=True):
-            for kind in rows:
-                # every place is in range
-                own += np.take(weights, kind, out=one, mode="clip")
-        z -= z.max(axis=0)
-        return z
+        return ClassModel.of(np.log(share), places)
+
+    def _sums(self, rows: np.ndarray, nodes: np.ndarray | None) -> Iterator[tuple[slice, np.ndarray]]:
+        """Block by block, what the softmax is taken of: SIDE classes by SIDE classes, token by token; the largest is 0."""
+        n = rows.shape[1]
+        parts = [slice(a, min(a + BLOCK, n)) for a in range(0, n, BLOCK)]
+        sums = np.empty((CLASSES // SIDE, n, SIDE), np.float32)
+        some = np.empty((min(BLOCK, n), SIDE), np.float32)
+        # the weights of SIDE classes are read for all tokens before the next ones; every place is in range
+        for own, bias, weights in zip(sums, at_once(self.bias), at_once(self.weights), strict=True):
+            for part in parts:
+                mine, one = own[part], some[: part.stop - part.start]
+                if nodes is None:
+                    at_once(mine)[:] = bias
+                else:
+                    bias.take(nodes[part], out=at_once(mine), mode="clip")
+                for kind in rows:
+                    weights.take(kind[part], out=at_once(one), mode="clip")
+                    mine += one
+        for part in parts:
+            z = sums[:, part]
+            sides = z.max(axis=0).T
+            z -= np.maximum.reduce(list(sides)).repeat(SIDE).reshape(-1, SIDE)
+            yield part, z
+
+    @staticmethod
+    def _total(z: np.ndarray) -> np.ndarray:
+        """The sum over all classes, for each token."""
+        return z.sum(axis=0) @ np.ones(SIDE, np.float32)
 
     def _chances(self, rows: np.ndarray, nodes: np.ndarray | None) -> np.ndarray:
-        z = self._sums(rows, nodes)
-        np.exp(z, out=z)
-        z /= z.sum(axis=0)
-        return z
+        out = np.empty((CLASSES // SIDE, rows.shape[1], SIDE), np.float32)
+        for part, z in self._sums(rows, nodes):
+            np.exp(z, out=z)
+            np.multiply(z, (1 / self._total(z)).repeat(SIDE).reshape(-1, SIDE), out=out[:, part])
+        return out
 
     def chances(self, rows: np.ndarray, nodes: np.ndarray | None = None) -> np.ndarray:
         """P(class) for each token: a line of classes."""
-        return self._chances(rows, nodes).T
+        return self._chances(rows, nodes).swapaxes(0, 1).reshape(-1, CLASSES)
 
     def logs(self, rows: np.ndarray, classes: np.ndarray, nodes: np.ndarray | None = None) -> np.ndarray:
         """log10 of the chance of each token's class."""
-        z = self._sums(rows, nodes)
-        own = z[classes, np.arange(len(classes))].astype(np.float64)
-        np.exp(z, out=z)
-        return np.maximum((own - np.log(z.sum(axis=0))) / np.log(10), -30)
+        out = np.empty(len(classes))
+        for part, z in self._sums(rows, nodes):
+            own = z[classes[part] // SIDE, np.arange(z.shape[1]), classes[part] % SIDE].astype(np.float64)
+            np.exp(z, out=z)
+            out[part] = np.maximum((own - np.log(self._total(z))) / np.log(10), -30)
+        return out
 
     def learn(self, rows: np.ndarray, classes: np.ndarray, squares: np.ndarray, nodes: np.ndarray | None = None) -> None:
         """One step; each weight's own step shrinks with the gradients it has had (``squares``)."""
         error = self._chances(rows, nodes)
-        error[classes, np.arange(len(classes))] -= 1
+        error.reshape(-1)[spot(classes, np.arange(len(classes)), len(classes))] -= 1
         places = self.places
         for k, kind in enumerate(rows):
             low = k * places
-            if 2 * len(kind) < places:
-                used, at = np.unique(kind, return_inverse=True)
-            else:
-                used, at = slice(low, low + places), kind - low
-            n = len(used) if isinstance(used, np.ndarray) else places
-            total = np.empty((CLASSES, n), np.float32)
-            for c in range(CLASSES):
-                total[c] = np.bincount(at, weights=error[c], minlength=n)
-            had = squares[:, used]
-            had += np.square(total)
-            squares[:, used] = had
-            total *= RATE
-            total /= np.sqrt(had + 1)
-            self.weights[:, used] -= total
+            few = FEW * len(kind) < places
+            used, at = np.unique(kind, return_inverse=True) if few else (slice(low, low + places), kind - low)
+            shape = (len(used) if few else places, SIDE)
+            total, root = np.empty(shape, np.float32), np.empty(shape, np.float32)
+            for wrong, weights, square in zip(error.view(np.complex64), self.weights, squares, strict=True):
+                total[:] = 0
+                for two, own in zip(total.view(np.complex64).T, wrong.T, strict=True):
+                    np.add.at(two, at, own)
+                had = square[used]
+                had += np.square(total, out=root)
+                if few:
+                    square[used] = had
+                total *= RATE
+                np.sqrt(np.add(had, 1, out=root), out=root)
+                total /= root
+                weights[used] -= total
 
 
 @dataclass
@@ -191,6 +269,10 @@ class Tree:
     branches: np.ndarray
     levels: list[ClassModel]
 
+    @cached_property
+    def find(self) -> Lookup:
+        return Lookup(self.words)
+
     @staticmethod
     def _places(rank: np.ndarray) -> np.ndarray:
         """The branches of a class's words by their rank; a row for each level, -1 below a word and for what has no room.
@@ -238,22 +320,25 @@ class Tree:
             total = np.bincount(node * CLASSES + branch[here], weights=mass[here], minlength=nodes * CLASSES).reshape(-1, CLASSES)
             if k == 0:
                 total[:, 0] = np.maximum(tokens + SMOOTHING * (words + 1) - total.sum(axis=1), SMOOTHING)
-            share = total / np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
-            bias = np.where(share > 0, np.log(np.maximum(share, 1e-300)), -1e9).astype(np.float32)
-            levels.append(ClassModel(np.zeros((CLASSES, KINDS * places), np.float32), bias))
+            total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
+            bias = np.full(total.shape, -1e9, np.float32)
+            np.log(total, out=bias, where=total > 0, casting="same_kind")
+            levels.append(ClassModel.of(bias.T, places))
             if k + 1 < len(branches):
                 on = branches[k + 1][here] >= 0
                 node = node[on] * (CLASSES - INNER) + branch[here[on]] - INNER
                 here = here[on]
         return Tree(names, branches, levels)
 
-    def steps(self, tokens: np.ndarray, classes: np.ndarray, keys: np.ndarray) -> Iterator[tuple[ClassModel, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Level by level: the model, its number, the tokens that come so far, their feature rows, nodes and branches."""
+    def steps(self, places: tuple[np.ndarray, np.ndarray], classes: np.ndarray, keys: np.ndarray) -> Iterator[tuple[ClassModel, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Level by level: the model, its number, the tokens that come so far, their feature rows, nodes and branches.
+
+        ``places`` says where the tokens stand among the words, and whether they do.
+        """
         if not self.levels:
             return
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        known = self.words[at] == tokens
-        here, node = np.arange(len(tokens)), classes
+        at, known = places
+        here, node = np.arange(len(classes)), classes
         for k, level in enumerate(self.levels):
             branch = self.branches[k][at[here]]
             if k == 0:
@@ -265,9 +350,12 @@ class Tree:
 
     def gain(self, tokens: np.ndarray, classes: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """What the words before change of log10 P(word | class), for each token."""
-        out = np.zeros(len(tokens))
-        for level, _, here, rows, nodes, branch in self.steps(tokens, classes, keys):
-            out[here] += level.logs(rows, branch, nodes) - level.bias[nodes, branch] / np.log(10)
+        return self.gain_at(self.find(tokens), classes, keys)
+
+    def gain_at(self, places: tuple[np.ndarray, np.ndarray], classes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(classes))
+        for level, _, here, rows, nodes, branch in self.steps(places, classes, keys):
+            out[here] += level.logs(rows, branch, nodes) - level.bias[branch // SIDE, nodes, branch % SIDE] / np.log(10)
         return out
 
 
@@ -275,9 +363,10 @@ def _count(batches: Iterable[pa.RecordBatch], n_buckets: int) -> Iterator[pa.Rec
     def counted() -> Iterator[np.ndarray]:
         for batch in text_slices(batches):
             tokens, classes, _ = tokens_of(batch.column("text"))
-            words, first, n = np.unique(tokens, return_index=True, return_counts=True)
-            out = np.zeros(len(words), COUNTS)
-            out["word"], out["n"], out["cls"] = words, n, classes[first]
+            order = np.argsort(tokens)
+            first = run_starts(tokens[order])
+            out = np.zeros(len(first), COUNTS)
+            out["word"], out["n"], out["cls"] = tokens[order[first]], np.diff(np.append(first, len(tokens))), classes[order[first]]
             yield out
 
     yield from buckets.packed(counted(), "word", n_buckets, _add_counts)
@@ -325,11 +414,11 @@ def _train(batches: Iterable[pa.RecordBatch], model: ClassModel, tree: Tree) ->
     seen = 0
     for batch in text_slices(batches):
         tokens, classes, first = tokens_of(batch.column("text"))
-        keys = keys_of(tokens, first)
+        keys, (at, known) = keys_of(tokens, first), grown.find(tokens)
         for a in range(0, len(tokens), STEP * model.places):
             part = slice(a, a + STEP * model.places)
             own[0].learn(features_of(keys[:, part], model.places), classes[part], squares[0])
-            for level, k, _, rows, nodes, branch in grown.steps(tokens[part], classes[part], keys[:, part]):
+            for level, k, _, rows, nodes, branch in grown.steps((at[part], known[part]), classes[part], keys[:, part]):
                 if len(nodes):
                     level.learn(rows, branch, squares[k + 1], nodes)
         seen += len(tokens)
@@ -406,7 +495,7 @@ def train_language_model(docs: DataFrame, usable: Column, id_column: str = "doc_
         for r in mean:
             change = np.frombuffer(r["change"], np.float32)
             weights[r["part"] : r["part"] + len(change)] += change
-        each = [w.reshape(CLASSES, -1) for w in np.split(weights, 1 + len(tree.levels))]
+        each = [w.reshape(model.weights.shape) for w in np.split(weights, 1 + len(tree.levels))]
         model = ClassModel(each[0], model.bias)
         tree = Tree(tree.words, tree.branches, [ClassModel(w, old.bias) for w, old in zip(each[1:], tree.levels, strict=True)])
         shared.unpersist()
@@ -446,14 +535,19 @@ class _Scorer:
     by_class: np.ndarray
     everything: float
 
+    @cached_property
+    def find(self) -> Lookup:
+        return Lookup(self.head[0])
+
     def score(self, column: pa.Array, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sums of each text with all other words taken as unseen, and the uses of those words."""
         tokens, classes, first = tokens_of(column)
         n = len(column)
         of = np.repeat(np.arange(n), np.diff(first))
         words, counts, _ = self.head
-        at = np.minimum(np.searchsorted(words, tokens), max(len(words) - 1, 0))
-        known = words[at] == tokens if len(words) else np.zeros(len(tokens), bool)
+        at, known = self.find(tokens)
+        # the tree holds all words of the head, or fewer
+        inside, within = (at, known) if len(self.tree.words) == len(words) else self.tree.find(tokens)
         rare = np.log10(SMOOTHING)
         part = np.full(len(tokens), rare)
         if len(words):
@@ -464,7 +558,7 @@ class _Scorer:
         for a in range(0, len(tokens), size):
             step = slice(a, a + size)
             model[step] = self.classes.logs(features_of(keys[:, step], self.classes.places), classes[step])
-            model[step] += self.tree.gain(tokens[step], classes[step], keys[:, step])
+            model[step] += self.tree.gain_at((inside[step], within[step]), classes[step], keys[:, step])
         sums = np.zeros(n, SUMS)
         sums["row"], sums["copies"], sums["tokens"] = row, 1, np.diff(first)
         sums["known"] = np.bincount(of, weights=known, minlength=n)
