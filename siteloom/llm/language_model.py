@@ -66,7 +66,7 @@ LETTERS = 2
 SIDE = 4
 #: tokens whose softmax is taken at a time, so that what is between fits a processor's cache
 BLOCK = 1 << 12
-#: a step's places are updated one by one if this many times its tokens are fewer than all places
+#: a step's places are read and updated one by one if this many times its tokens are fewer than all places
 FEW = 4
 #: leading bits of hashes by which a word is looked up
 LEAD = 18
@@ -195,6 +195,9 @@ class ClassModel:
         some = np.empty((min(BLOCK, n), SIDE), np.float32)
         # the weights of SIDE classes are read for all tokens before the next ones; every place is in range
         for own, bias, weights in zip(sums, at_once(self.bias), at_once(self.weights), strict=True):
+            if FEW * n > self.places:
+                # read once in order, what follows is out of order
+                weights = weights.copy()
             for part in parts:
                 mine, one = own[part], some[: part.stop - part.start]
                 if nodes is None:
@@ -240,13 +243,18 @@ class ClassModel:
         error = self._chances(rows, nodes)
         error.reshape(-1)[spot(classes, np.arange(len(classes)), len(classes))] -= 1
         places = self.places
+        few = FEW * len(classes) < places
+        kinds = []
         for k, kind in enumerate(rows):
             low = k * places
-            few = FEW * len(kind) < places
             used, at = np.unique(kind, return_inverse=True) if few else (slice(low, low + places), kind - low)
-            shape = (len(used) if few else places, SIDE)
-            total, root = np.empty(shape, np.float32), np.empty(shape, np.float32)
-            for wrong, weights, square in zip(error.view(np.complex64), self.weights, squares, strict=True):
+            kinds.append((used, at, len(used) if few else places))
+        most = max(n for _, _, n in kinds)
+        sums, roots = np.empty((most, SIDE), np.float32), np.empty((most, SIDE), np.float32)
+        # all kinds of SIDE classes before the next ones, as the errors of these fit a near cache
+        for wrong, weights, square in zip(error.view(np.complex64), self.weights, squares, strict=True):
+            for used, at, n in kinds:
+                total, root = sums[:n], roots[:n]
                 total[:] = 0
                 for two, own in zip(total.view(np.complex64).T, wrong.T, strict=True):
                     np.add.at(two, at, own)
@@ -338,15 +346,15 @@ class Tree:
         if not self.levels:
             return
         at, known = places
-        here, node = np.arange(len(classes)), classes
+        here, node = None, classes
         for k, level in enumerate(self.levels):
-            branch = self.branches[k][at[here]]
-            if k == 0:
-                branch = np.where(known, branch, 0)
-            yield level, k, here, features_of(keys[:, here], level.places, node + (k << 32)), node, branch
+            # all tokens come to the first level
+            branch = np.where(known, self.branches[k][at], 0) if here is None else self.branches[k][at[here]]
+            own = keys if here is None else keys[:, here]
+            yield level, k, slice(None) if here is None else here, features_of(own, level.places, node + (k << 32)), node, branch
             if k + 1 < len(self.levels):
-                on = branch >= INNER
-                here, node = here[on], node[on] * (CLASSES - INNER) + branch[on] - INNER
+                on = np.flatnonzero(branch >= INNER)
+                here, node = on if here is None else here[on], node[on] * (CLASSES - INNER) + branch[on] - INNER
 
     def gain(self, tokens: np.ndarray, classes: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """What the words before change of log10 P(word | class), for each token."""
