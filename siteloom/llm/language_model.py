@@ -17,7 +17,8 @@ is the word's smoothed count. All factors sum to 1. Places of features grow with
 Training reads all training documents. Counts of all words are merged in each task, then by hash buckets, and stay
 distributed. Weights are trained by distributed gradient updates: in each round every task (``TRAINERS`` at most) takes the
 current weights over its part of that round's documents in small steps, and the weights that the tasks return are averaged
-by tokens. The rounds share out the documents, so each is used once.
+by tokens. Fewer tokens come to a tree's deeper levels, so these wait until there are enough for a step, or no more text. The
+rounds share out the documents, so each is used once.
 
 Scoring is sparse: a document needs the counts of its own words only. The ``HEAD`` most frequent words travel with the
 weights (a fixed number); for others, each task's (word, document, times) records meet the counts in hash buckets, and
@@ -51,7 +52,7 @@ PLACES = 1 << 13
 MOST_PLACES = 1 << 15
 KINDS = 4
 ROUNDS = 3
-#: tokens of one step of a task for each place of a kind, and how far a step goes
+#: tokens of one step of a task on each level for each place of a kind, and how far a step goes
 STEP = 4
 RATE = 0.5
 #: tasks that return weights in a round at most, and the tokens that make one more of them
@@ -419,6 +420,15 @@ def _train(batches: Iterable[pa.RecordBatch], model: ClassModel, tree: Tree) ->
     own = [ClassModel(m.weights.copy(), m.bias) for m in before]
     grown = Tree(tree.words, tree.branches, own[1:])
     squares = [np.zeros_like(m.weights) for m in own]
+    # tokens of each level of the tree that wait for a step
+    waiting: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in grown.levels]
+
+    def learn(k: int, least: int) -> None:
+        if sum(len(nodes) for _, _, nodes in waiting[k]) >= least:
+            rows, branch, nodes = (np.concatenate(x, axis=-1) for x in zip(*waiting[k], strict=True))
+            grown.levels[k].learn(rows, branch, squares[k + 1], nodes)
+            waiting[k].clear()
+
     seen = 0
     for batch in text_slices(batches):
         tokens, classes, first = tokens_of(batch.column("text"))
@@ -426,10 +436,12 @@ def _train(batches: Iterable[pa.RecordBatch], model: ClassModel, tree: Tree) ->
         for a in range(0, len(tokens), STEP * model.places):
             part = slice(a, a + STEP * model.places)
             own[0].learn(features_of(keys[:, part], model.places), classes[part], squares[0])
-            for level, k, _, rows, nodes, branch in grown.steps((at[part], known[part]), classes[part], keys[:, part]):
-                if len(nodes):
-                    level.learn(rows, branch, squares[k + 1], nodes)
+            for _, k, _, rows, nodes, branch in grown.steps((at[part], known[part]), classes[part], keys[:, part]):
+                waiting[k].append((rows, branch, nodes))
+                learn(k, STEP * model.places if k else 1)
         seen += len(tokens)
+    for k in range(len(waiting)):
+        learn(k, 1)
     if seen:
         step = PLACES // 4 * CLASSES
         for k, (new, old) in enumerate(zip(own, before, strict=True)):

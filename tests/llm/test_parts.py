@@ -309,3 +309,30 @@ def test_lookup_finds_what_a_search_finds(n):
     at, found = language_model.Lookup(words)(tokens)
     assert found.tolist() == np.isin(tokens, words).tolist()
     assert (words[at[found]] == tokens[found]).all()
+
+
+def test_every_token_of_every_level_is_learnt_once(monkeypatch):
+    """Deeper levels learn in fewer steps than they get tokens in, and none of their tokens is left over."""
+    draw = np.random.default_rng(3)
+    texts = pa.RecordBatch.from_pydict({"text": [" ".join(f"we{x}" for x in draw.integers(0, 900, 700)) for _ in range(20)]})
+    tokens, classes, first = language_model.tokens_of(texts.column("text"))
+    words, at, n = np.unique(tokens, return_index=True, return_counts=True)
+    sums = np.bincount(classes, minlength=language_model.CLASSES)
+    kinds = np.bincount(classes[at], minlength=language_model.CLASSES)
+    model = language_model.ClassModel.flat(sums, 512)
+    tree = language_model.Tree.of((words, n, classes[at]), sums, kinds, 512)
+    keys = language_model.keys_of(tokens, first)
+    wanted = [len(tokens), *(len(nodes) for *_, nodes, _ in tree.steps(tree.find(tokens), classes, keys))]
+    learnt, own = {}, language_model.ClassModel.learn
+
+    def learn(self, rows, classes, squares, nodes=None):
+        learnt.setdefault(id(self), []).append(len(classes))
+        own(self, rows, classes, squares, nodes)
+
+    monkeypatch.setattr(language_model.ClassModel, "learn", learn)
+    out = list(language_model._train([texts], model, tree))
+    assert out[0].column("seen")[0].as_py() == len(tokens)
+    steps = list(learnt.values())
+    assert [sum(s) for s in steps] == wanted and len(wanted) > 2
+    assert all(min(s[:-1], default=2048) >= 2048 for s in steps[2:])
+    assert len(steps[2]) < len(steps[1])
