@@ -153,8 +153,8 @@ class Lookup:
 
 
 def by_side(values: np.ndarray) -> np.ndarray:
-    """Values with a line for each class, as (CLASSES / SIDE, places, SIDE)."""
-    return np.ascontiguousarray(values.reshape(CLASSES // SIDE, SIDE, -1).swapaxes(1, 2), np.float32)
+    """Lines of a value for each class, as (CLASSES / SIDE, lines, SIDE)."""
+    return np.ascontiguousarray(values.reshape(-1, CLASSES // SIDE, SIDE).swapaxes(0, 1), np.float32)
 
 
 def at_once(values: np.ndarray) -> np.ndarray:
@@ -179,7 +179,7 @@ class ClassModel:
 
     @staticmethod
     def of(bias: np.ndarray, places: int) -> ClassModel:
-        """Without learnt weights; a line of biases for each class."""
+        """Without learnt weights; biases of all classes in a line (for each node)."""
         return ClassModel(np.zeros((CLASSES // SIDE, KINDS * places, SIDE), np.float32), by_side(bias))
 
     @staticmethod
@@ -332,7 +332,7 @@ class Tree:
             total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
             bias = np.full(total.shape, -1e9, np.float32)
             np.log(total, out=bias, where=total > 0, casting="same_kind")
-            levels.append(ClassModel.of(bias.T, places))
+            levels.append(ClassModel.of(bias, places))
             if k + 1 < len(branches):
                 on = branches[k + 1][here] >= 0
                 node = node[on] * (CLASSES - INNER) + branch[here[on]] - INNER
@@ -515,6 +515,7 @@ def train_language_model(docs: DataFrame, usable: Column, id_column: str = "doc_
         for r in mean:
             change = np.frombuffer(r["change"], np.float32)
             weights[r["part"] : r["part"] + len(change)] += change
+        del mean
         each = [w.reshape(model.weights.shape) for w in np.split(weights, 1 + len(tree.levels))]
         model = ClassModel(each[0], model.bias)
         tree = Tree(tree.words, tree.branches, [ClassModel(w, old.bias) for w, old in zip(each[1:], tree.levels, strict=True)])

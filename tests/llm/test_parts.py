@@ -253,7 +253,7 @@ def _steps(n, places=language_model.PLACES):
     rows = kinds + np.arange(language_model.KINDS)[:, None] * places
     nodes, classes = draw.integers(0, 7, n), draw.integers(0, language_model.CLASSES, n)
     bias = draw.normal(size=(language_model.CLASSES, 7)).astype(np.float32)
-    return nodes, rows, classes, bias, language_model.ClassModel.of(bias, places)
+    return nodes, rows, classes, bias, language_model.ClassModel.of(bias.T, places)
 
 
 def _lines(values):
